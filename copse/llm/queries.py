@@ -11,8 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copse.llm import fingerprints, simhash_dedup
-from copse.llm.common import cut, table
+from copse.llm import ann, bpe, fingerprints, line_dedup, packing, pii, secrets, simhash_dedup, toxicity, urls
+from copse.llm.common import cut, spans_digest, table
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_digests(table(spark, sf_dir, "documents"))
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,14 +24,76 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.search(prints).drop("hi", "lo")
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"), host="source")
+    return kept.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.md5(F.encode("text", "UTF-8")).alias("kept_md5"))
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def _found(found: DataFrame, counts: dict[str, str], base: list[str], kinds: list[str]) -> DataFrame:
+    of = lambda these: F.filter("found", lambda s: s["kind"].isin(these))
+    n = [F.size(of([kind])).cast("long").alias(name) for name, kind in counts.items()]
+    sha = F.sha2(F.encode(spans_digest(of(base), kinds), "UTF-8"), 256).alias("base_sha256")
+    return found.select("doc_id", *n, sha, spans_digest("found", kinds).alias("spans"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return _found(found, {f"n_{k}": k for k in secrets.BASE}, secrets.BASE, secrets.KINDS)
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("w0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit_on(docs, table(spark, sf_dir, "labels")))
+    predicted = F.when(F.col("toxicity") >= 0.5, 1).otherwise(0).cast("int").alias("predicted")
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), predicted)
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    return _found(found, {f"n_{k}": k for k in pii.BASE}, pii.BASE, pii.KINDS)
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest_documents(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_fingerprints": op2_fingerprints,
-    "op7_simhash_dedup": op7_simhash_dedup,
+    f.__name__: f
+    for f in (op1_packing, op2_fingerprints, op3_url_filters, op4_line_dedup, op5_nearest, op6_secrets, op7_simhash_dedup, op8_toxicity, op9_pii, op10_byte_bpe, pipeline)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": f"""
+        WITH lines AS (
+            SELECT rowid_, source, doc_id, pos, string_split(text, chr(10))[pos] AS line
+            FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS rowid_ FROM documents) d, unnest(range(1, len(string_split(text, chr(10))) + 1)) u(pos)
+        ), total AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
+        seen AS (SELECT source, line, count(DISTINCT rowid_) AS n FROM lines GROUP BY source, line),
+        judged AS (
+            SELECT l.*, trim(l.line, ' ') <> '' AND n >= {line_dedup.MIN_PAGES} AND n > {line_dedup.RATIO} * total AS dropped
+            FROM lines l JOIN seen USING (source, line) JOIN total USING (source)
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+            length(kept) AS kept_chars, md5(kept) AS kept_md5
+        FROM (SELECT *, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped) OVER (PARTITION BY rowid_), '') AS kept FROM judged)
+        GROUP BY rowid_, doc_id, kept""",
+}
