@@ -28,8 +28,12 @@ from copse.llm.common import small_batches, text_of
 
 #: Bounds of the fit: sampled labelled rows, features of the classifier, voters found in the training rows.
 SAMPLE, FEATURES, MINED = 12_000, 20_000, 60
-#: Lengths of the word beginnings that are features beside whole words.
-PREFIXES = (4, 5)
+#: Lengths of the word beginnings that are features beside whole words; how often they occur makes further features.
+PREFIXES, TIMES = (4, 5, 6), (2, 3)
+#: Standard errors by which a feature's log-odds must stand above zero to be used.
+SIGNIFICANT = 3.0
+#: Accuracy of the given labels as a voter.
+LABEL = 0.97
 
 # fixed values: a small list of insults
 INSULTS = frozenset("clown disgusting idiot loser moron pathetic scum stupid trash worthless".split())
@@ -38,10 +42,23 @@ _WORD = re.compile(r"[^\W\d_]+")
 _ABSTAIN, _CLEAN, _TOXIC = 0, 1, 2
 
 
-def features(text: str) -> set[str]:
-    """Lower-case words, and their beginnings with a mark that keeps them apart from words."""
-    words = set(_WORD.findall(text.lower()))
-    return words.union(*({f"{w[:n]}-" for w in words if len(w) > n} for n in PREFIXES))
+def word_counts(text: str) -> Counter[str]:
+    """Lower-case words and how often each occurs."""
+    return Counter(_WORD.findall(text.lower()))
+
+
+def features(words: Counter[str]) -> set[str]:
+    """Words, their beginnings with a mark that keeps them apart from words, and beginnings that occur more than once."""
+    starts: Counter[str] = Counter()
+    for w, n in words.items():
+        for k in PREFIXES:
+            if len(w) > k:
+                starts[w[:k]] += n
+    out = {*words, *(f"{w}-" for w in starts)}
+    for k in TIMES:
+        out.update([f"{w}-{k}" for w, n in starts.items() if n >= k])
+        out.update([f"{w}+{k}" for w, n in words.items() if n >= k])
+    return out
 
 
 def patterns(text: str) -> list[int]:
@@ -68,8 +85,12 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 12) -> LabelModel:
-    """Expectation maximisation from a first guess of the posteriors; ``votes`` is documents x voters."""
+def fit_label_model(votes: np.ndarray, start: np.ndarray, anchor: float | None = None, rounds: int = 12) -> LabelModel:
+    """Expectation maximisation from a first guess of the posteriors; ``votes`` is documents x voters.
+
+    To abstain is no evidence. With ``anchor``, the first voter's accuracy is known and stays as given, which keeps
+    the classes from drifting to another split that the voters agree on.
+    """
     n, m = votes.shape
     onehot = np.stack([votes == v for v in (_ABSTAIN, _CLEAN, _TOXIC)], axis=-1).astype(float)
     post, model = start, None
@@ -83,7 +104,12 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 12) -> L
         scale = left.std(axis=0) + 1e-9
         together = (left.T @ left) / n / np.outer(scale, scale)
         np.fill_diagonal(together, 0)
-        model = LabelModel(prior, np.log(on / off), 1 / (1 + np.clip(together, 0, 1).sum(axis=1)))
+        log_odds, weights = np.log(on / off), 1 / (1 + np.clip(together, 0, 1).sum(axis=1))
+        log_odds[:, _ABSTAIN] = 0
+        if anchor:
+            log_odds[0, [_CLEAN, _TOXIC]] = math.log((1 - anchor) / anchor), math.log(anchor / (1 - anchor))
+            weights[0] = 1
+        model = LabelModel(prior, log_odds, weights)
         post = model.posterior(votes)
     return model
 
@@ -96,7 +122,7 @@ class Model:
     weights: dict[str, float]
 
     def score(self, text: str) -> float:
-        z = self.bias + sum(self.weights.get(f, 0.0) for f in features(text))
+        z = self.bias + sum(self.weights[f] for f in features(word_counts(text)) if f in self.weights)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -117,20 +143,22 @@ def fit(sets: list[set[str]], votes_of_patterns: list[list[int]], labels: list[i
         if label:
             toxic.update(s)
     n1, n0 = y.sum(), len(y) - y.sum()
-    odds = {f: math.log((toxic[f] + 0.2) / n1 / ((c - toxic[f] + 0.2) / n0)) for f, c in seen.items() if c >= 3}
-    strength = {f: o * math.sqrt(seen[f]) for f, o in odds.items()}
-    ranked = sorted(strength, key=lambda f: (-strength[f], f))
-    mined = [f for f in ranked[:MINED] if odds[f] > 1]
-    strong = {f for f in ranked[: 20 * MINED] if odds[f] > 2.5}
-    words, starts = {f for f in strong if f[-1] != "-"}, {f for f in strong if f[-1] == "-"}
+    strength, odds = {}, {}
+    for f, c in seen.items():
+        a, b = toxic[f] + 0.5, c - toxic[f] + 0.5
+        odds[f] = math.log(a / (n1 + 1) / (b / (n0 + 1)))
+        strength[f] = odds[f] / math.sqrt(1 / a + 1 / b)
+    chosen = sorted((f for f in strength if strength[f] > SIGNIFICANT), key=lambda f: (-strength[f], f))[:FEATURES]
+    mined, strong = chosen[:MINED], {f for f in chosen if odds[f] > 2.5}
+    words = {f for f in strong if "-" not in f}
+    starts = strong - words
     votes = []
     for s, by_patterns, label in zip(sets, votes_of_patterns, labels, strict=True):
         lexicon = [_TOXIC if s & found else _CLEAN for found in (INSULTS, words, starts)]
         votes.append([_TOXIC if label else _CLEAN, *lexicon, *by_patterns, *(_TOXIC if f in s else _ABSTAIN for f in mined)])
     votes = np.array(votes)
-    target = fit_label_model(votes, np.where(y > 0, 0.95, 0.05)).posterior(votes)
+    target = fit_label_model(votes, np.where(y > 0, LABEL, 1 - LABEL), LABEL).posterior(votes)
 
-    chosen = sorted(strength, key=lambda f: (-abs(strength[f]), f))[:FEATURES]
     number = {f: i for i, f in enumerate(chosen)}
     pairs = [(d, number[f]) for d, s in enumerate(sets) for f in s if f in number]
     doc, feature = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
@@ -164,7 +192,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, toxic = (c.to_pylist() for c in batch.columns)
-            found = [" ".join(sorted(set(_WORD.findall(t.lower())))) for t in texts]
+            found = [" ".join(_WORD.findall(t.lower())) for t in texts]
             cols = [pa.array(ids, pa.int64()), pa.array(found, pa.string()), pa.array([patterns(t) for t in texts], pa.list_(pa.int32())), pa.array(toxic, pa.int32())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "words", "patterns", "toxic"])
 
@@ -172,7 +200,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     seen = rows.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text", "CAST(toxic AS INT) AS toxic")
     seen = seen.mapInArrow(words, "doc_id long, words string, patterns array<int>, toxic int")
     found = sorted((r.doc_id, r.words, r.patterns, r.toxic) for r in seen.collect())
-    return fit([features(w) for _, w, _, _ in found], [p for _, _, p, _ in found], [y for _, _, _, y in found])
+    return fit([features(Counter(w.split())) for _, w, _, _ in found], [p for _, _, p, _ in found], [y for _, _, _, y in found])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
