@@ -61,8 +61,10 @@ def file_changes(commits: DataFrame, changes: DataFrame) -> DataFrame:
     """
     rows = changes.join(commits.select("ord", "time"), "ord").crossJoin(F.broadcast(half_life(commits)))
     weight = F.when(F.col("half_life") == 0, 1.0).otherwise(F.pow(F.lit(0.5), (F.col("now") - F.col("time")) / F.when(F.col("half_life") != 0, F.col("half_life"))))
+    # summed as decimals, so that the sum does not depend on the order in which tasks finish
+    momentum = F.sum(weight.cast("decimal(28, 15)")).cast("double")
     return rows.groupBy("path").agg(
-        F.count("*").alias("changes"), F.sum(F.col("added") + F.col("deleted")).alias("churn"), F.sum(weight).alias("momentum"), F.max("time").alias("last_change")
+        F.count("*").alias("changes"), F.sum(F.col("added") + F.col("deleted")).alias("churn"), momentum.alias("momentum"), F.max("time").alias("last_change")
     )
 
 

@@ -1 +1,237 @@
-ORACLE_SQL: dict[str, str] = {}
+"""DuckDB SQL for the registered queries, written independently of the DataFrame plans."""
+
+from __future__ import annotations
+
+from copse.functions import text
+from copse.functions.languages import BOOLEANS, DECISIONS, LOOPS, NAMES, SYNTAX
+from copse.functions.paths import DOC_DIRS, DOC_EXTENSIONS, GENERATED_FILE, GENERATED_HEADER, OWN_REPORT, TEST_DIRS, TEST_FILE, VENDOR_DIRS, glob_pattern
+from copse.operators.history import BOT_ACCOUNTS
+from copse.operators.verdicts import MIN_BUSY
+from copse.plans.queries import EXTENSIONS, GLOBS, LOOSE, MARKS
+
+
+def _q(value: str) -> str:
+    """A string literal; line feeds by their code."""
+    parts = ["'" + p.replace("'", "''") + "'" for p in value.split("\n")]
+    return "(" + " || chr(10) || ".join(parts) + ")"
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(map(_q, values)) + "]"
+
+
+def _re(text_: str) -> str:
+    """A pattern for RE2, whose quantifiers are never possessive."""
+    return _q(text_.replace("*+", "*"))
+
+
+def _case(column: str, groups: dict[str, str], default: str) -> str:
+    arms = " ".join(f"WHEN {column} IN ({', '.join(_q(e) for e in extensions.split())}) THEN {_q(name)}" for name, extensions in groups.items() if extensions)
+    return f"CASE {arms} ELSE {_q(default)} END"
+
+
+def _escape(value: str) -> str:
+    return "".join(c if c.isalnum() else "\\" + c for c in value)
+
+
+def _marking(blocks, line) -> str:
+    comments = [rf"(?s:{_escape(a)}.*?(?:{_escape(b)}|\z))" for a, b in blocks] + ([rf"{_escape(line)}[^\n]*"] if line else [])
+    strings = [rf"({q})[^{q}\\\n]*(?:\\[^\n]?[^{q}\\\n]*)*({q}?)" for q in "\"'`"]
+    return "|".join([f"({'|'.join(comments)})" if comments else r"(\x{FDD2})", *strings])
+
+
+def _marked() -> str:
+    repl = "chr(64976) || '\\1' || chr(64977) || '\\2\\3\\4\\5\\6\\7'"
+    arms = " ".join(f"WHEN syntax = '{n}' THEN regexp_replace(content, {_q(_marking(b, line))}, {repl}, 'g')" for n, (b, line, _) in SYNTAX.items())
+    return f"CASE {arms} ELSE regexp_replace(content, {_q(_marking([], None))}, {repl}, 'g') END"
+
+
+def _decisions(column: str, bucket: str) -> str:
+    arms = []
+    for name, (words, operators, _) in DECISIONS.items():
+        own = [w for w in words.split() if bucket == ("loop" if w in LOOPS else "bool" if w in BOOLEANS else "branch")]
+        parts = [rf"\b(?:{'|'.join(own)})\b"] if own else []
+        parts += [_escape(o) for o in operators.split()] if bucket == "bool" else []
+        if parts:
+            arms.append(f"WHEN dialect = '{name}' THEN len(regexp_extract_all({column}, {_q('|'.join(parts))}))")
+    return f"(CASE {' '.join(arms)} ELSE 0 END)"
+
+
+def _tokens(column: str) -> str:
+    space = text.SPACE.replace("\\x0B", "\\x{0B}")
+    parts = f"regexp_replace(regexp_replace({column}, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Za-z])([0-9])', '\\1_\\2', 'g')"
+    pairs = f"regexp_replace({column}, '[\\x{{10000}}-\\x{{10FFFF}}]', '§§', 'g')"
+    words = f"list_filter(regexp_extract_all({column}, '[A-Za-z0-9_]+'), lambda w: replace(w, '_', '') = '')"
+    return (
+        f"(length({column}) - length(replace({column}, chr(10), '')) + len(regexp_extract_all({pairs}, '[^{space}A-Za-z0-9_]{{1,3}}'))"
+        f" + len(regexp_extract_all({parts}, '[A-Za-z0-9]{{1,10}}')) + len({words}))"
+    )
+
+
+_CONTENT = "text"
+for _old, _new in MARKS:
+    _CONTENT = f"replace({_CONTENT}, {_q(_old)}, {_q(_new)})"
+
+_BASE = "list_extract(string_split(path, '/'), -1)"
+_DIRS = "string_split(path, '/')[1:len(string_split(path, '/')) - 1]"
+_MATCHED = "(" + " OR ".join(f"regexp_matches({c}, {_q(glob_pattern(g))})" for g in GLOBS for c in ("path", _BASE)) + ")"
+
+#: Named parts, each from those before it.
+PARTS: dict[str, str] = {
+    "document_files": f"""SELECT doc_id, {_CONTENT} AS content, source || '/' || lang || '/' ||
+        CASE WHEN doc_id % 10 = 0 THEN 'tests/' WHEN doc_id % 17 = 0 THEN 'vendor/' WHEN doc_id % 19 = 0 THEN 'docs/' ELSE '' END ||
+        'd' || (doc_id // 97)::VARCHAR || '/doc_' || (doc_id % 97)::VARCHAR || {_list(EXTENSIONS)}[(doc_id % {len(EXTENSIONS)} + 1)::INT] AS path FROM documents""",
+    "plain_files": "SELECT 'site/' || page_id::VARCHAR || '.html' AS path, html AS content FROM pages UNION ALL SELECT path, content FROM document_files",
+    "files": f"""SELECT path, content, CASE
+        WHEN regexp_matches(content[1:2048], {_q(GENERATED_HEADER)}) OR regexp_matches(content[1:2048], {_q(OWN_REPORT)}) THEN 'generated'
+        WHEN list_has_any({_DIRS}, {_list(VENDOR_DIRS)}) THEN 'vendored'
+        WHEN regexp_matches({_BASE}, {_q(GENERATED_FILE)}) THEN 'generated'
+        WHEN list_has_any({_DIRS}, {_list(TEST_DIRS)}) OR regexp_matches({_BASE}, {_q(TEST_FILE)}) THEN 'test'
+        WHEN list_has_any({_DIRS}, {_list(DOC_DIRS)}) OR list_contains({_list(DOC_EXTENSIONS)}, lower(regexp_extract({_BASE}, '\\.[^.]*$'))) THEN 'docs'
+        ELSE 'source' END AS role FROM plain_files""",
+    "named": f"SELECT *, regexp_extract({_BASE}, '^.+?(\\.[^.]*)$', 1) AS ext FROM files",
+    "typed": f"""SELECT *, {_case('lower(ext)', NAMES, 'Other')} AS language, {_case('lower(ext)', {k: v[2] for k, v in SYNTAX.items()}, 'plain')} AS syntax,
+        {_case('lower(ext)', {k: v[2] for k, v in DECISIONS.items()}, 'braces')} AS dialect, string_split(content, chr(10)) AS split FROM named""",
+    "marked": f"SELECT *, {_marked()} AS marked FROM typed",
+    "stripped": """SELECT *, array_to_string(list_transform(string_split(marked, chr(64976)), lambda p: CASE WHEN contains(p, chr(64977))
+        THEN regexp_replace(split_part(p, chr(64977), 1), '[^\\n]', '', 'g') || split_part(p, chr(64977), 2) ELSE p END), '') AS code_text FROM marked""",
+    "lexed": """SELECT * EXCLUDE (split, marked), CASE WHEN split[-1] = '' THEN split[1:len(split) - 1] ELSE split END AS lines FROM stripped""",
+    "code_split": "SELECT path, string_split(code_text, chr(10)) AS kept FROM lexed",
+    "rows_": f"""SELECT path, role, language, dialect, line, raw, code, CASE WHEN NOT regexp_matches(raw, '[^{text.SPACE.replace(chr(92) + 'x0B', chr(92) + 'x{0B}')}]') THEN 'blank'
+        WHEN regexp_matches(code, '[^ \\t\\r\\f\\x{{0B}}]') THEN 'code' ELSE 'comment' END AS kind
+        FROM (SELECT l.path, role, language, dialect, unnest(lines) AS raw, unnest(c.kept[1:len(lines)]) AS code, unnest(range(1, len(lines) + 1)) AS line FROM lexed l JOIN code_split c USING (path))""",
+    "measured": f"""SELECT path, role, language, count(line) FILTER (WHERE kind = 'code') AS code, count(line) FILTER (WHERE kind = 'comment') AS comment,
+        count(line) FILTER (WHERE kind = 'blank') AS blank, count(line) AS total, any_value(branch) AS branch, any_value(loop) AS loop, any_value(bool) AS bool,
+        any_value(branch) + any_value(loop) + any_value(bool) AS complexity
+        FROM (SELECT path, role, language, {_decisions('code_text', 'branch')}::BIGINT AS branch, {_decisions('code_text', 'loop')}::BIGINT AS loop,
+            {_decisions('code_text', 'bool')}::BIGINT AS bool FROM lexed) LEFT JOIN (SELECT path, line, kind FROM rows_) USING (path) GROUP BY path, role, language""",
+    "chosen": "SELECT *, CASE WHEN code > 0 THEN complexity / code * 100 ELSE 0.0::DOUBLE END AS density FROM measured WHERE role = 'source'",
+    "hits": f"""SELECT path, line, {' + '.join(_decisions('code', b) for b in ('branch', 'loop', 'bool'))} AS n FROM rows_ WHERE role = 'source'""",
+    "densest": """SELECT path, max(run)::BIGINT AS densest FROM (SELECT path, sum(n) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN 39 PRECEDING AND CURRENT ROW) AS run FROM hits)
+        GROUP BY path HAVING max(run) > 0""",
+    "scored": """SELECT c.*, coalesce(densest, 0) AS densest, CASE WHEN complexity > 0 THEN coalesce(densest, 0) / complexity * 100 ELSE 0.0::DOUBLE END AS concentration
+        FROM chosen c LEFT JOIN densest USING (path)""",
+    "costs": f"""SELECT path, coalesce(sum(t), 0)::BIGINT AS tokens, coalesce(sum(t) FILTER (WHERE kind <> 'comment'), 0)::BIGINT AS code_tokens,
+        coalesce(sum(t) FILTER (WHERE kind = 'comment'), 0)::BIGINT AS comment_tokens
+        FROM files LEFT JOIN (SELECT path, kind, {_tokens('raw')} + 1 AS t FROM rows_) USING (path) WHERE role = 'source' GROUP BY path""",
+    "commits": """SELECT o_orderkey AS ord, epoch(o_orderdate)::BIGINT AS time, CASE WHEN o_custkey % 31 = 0 THEN 'renovate@example.com' ELSE replace(lower(c_name), '#', '.') || '@example.com' END AS email,
+        CASE WHEN o_custkey % 29 = 0 THEN lower(c_name) || ' [bot]' ELSE lower(c_name) END AS name FROM orders JOIN customer ON o_custkey = c_custkey""",
+    "people": f"SELECT * FROM commits WHERE NOT (ends_with(trim(lower(name)), '[bot]') OR list_contains({_list(BOT_ACCOUNTS)}, regexp_replace(split_part(lower(email), '@', 1), '\\[bot\\]$', '')))",
+    "changes": "SELECT l_orderkey AS ord, 'mod' || (l_suppkey % 20)::VARCHAR || '/s' || l_suppkey::VARCHAR || '.ts' AS path, l_quantity::BIGINT AS added, l_linenumber::BIGINT AS deleted FROM lineitem",
+    "document_changes": "SELECT l_orderkey AS ord, path, l_quantity::BIGINT AS added, l_linenumber::BIGINT AS deleted FROM lineitem JOIN document_files ON l_partkey = doc_id",
+    "life": "SELECT max(time) AS now, (max(time) - min(time)) / 4 AS half FROM people WHERE time > 0",
+    "history": """SELECT path, count(*) AS changes, sum(added + deleted)::BIGINT AS churn, sum(CASE WHEN half = 0 THEN 1.0 ELSE pow(0.5::DOUBLE, (now - time) / half) END) AS momentum, max(time) AS last_change
+        FROM changes JOIN people USING (ord), life GROUP BY path""",
+    "document_history": """SELECT path, count(*) AS changes, sum(added + deleted)::BIGINT AS churn, sum(CASE WHEN half = 0 THEN 1.0 ELSE pow(0.5::DOUBLE, (now - time) / half) END) AS momentum
+        FROM document_changes JOIN people USING (ord), life GROUP BY path""",
+    "members": "SELECT DISTINCT ord, path FROM changes",
+    "bounded": f"SELECT * FROM members WHERE ord IN (SELECT ord FROM members GROUP BY ord HAVING count(*) <= {LOOSE['max_commit_size']})",
+    "revised": "SELECT path, count(*) AS revisions FROM bounded GROUP BY path",
+    "pairs": f"""SELECT * FROM (SELECT p.a, p.b, shared, x.revisions AS revisions_a, y.revisions AS revisions_b, shared / ((x.revisions + y.revisions) / 2) * 100 AS strength
+        FROM (SELECT m.path AS a, n.path AS b, count(*) AS shared FROM bounded m JOIN bounded n ON m.ord = n.ord AND m.path < n.path GROUP BY m.path, n.path) p
+        JOIN revised x ON p.a = x.path JOIN revised y ON p.b = y.path)
+        WHERE revisions_a >= {LOOSE['min_revisions']} AND revisions_b >= {LOOSE['min_revisions']} AND shared >= {LOOSE['min_shared']} AND strength >= {LOOSE['min_strength']}""",
+    "blame": "SELECT path, line, kind, ((line * 7919 + length(path) * 104729) % 400) * 1000000 AS time FROM rows_ WHERE role = 'source'",
+    "runs": "SELECT path, line - row_number() OVER (PARTITION BY path ORDER BY line) AS run, line, time FROM blame WHERE kind = 'comment'",
+    "comment_blocks": "SELECT path, run, max(line) AS last, max(time) AS comment_time FROM runs GROUP BY path, run",
+    "code_numbered": "SELECT path, line, time, row_number() OVER (PARTITION BY path ORDER BY line) AS k FROM blame WHERE kind = 'code'",
+    "drifting": """SELECT b.path, b.run, b.comment_time, max(c.time) AS code_time FROM comment_blocks b
+        JOIN (SELECT b.path, b.run, min(c.k) AS k FROM comment_blocks b JOIN code_numbered c ON b.path = c.path AND c.line > b.last GROUP BY b.path, b.run) f ON b.path = f.path AND b.run = f.run
+        JOIN code_numbered c ON c.path = b.path AND c.k BETWEEN f.k AND f.k + 9 GROUP BY b.path, b.run, b.comment_time""",
+    "drifts": f"SELECT path, count(*) AS blocks, count(*) FILTER (WHERE code_time - comment_time > {3 * 365 * 86400}) AS drifted FROM drifting GROUP BY path",
+    "code_rows": f"""SELECT path, line, regexp_replace(regexp_replace(raw, '^[{text.SPACE}]+|[{text.SPACE}]+$', '', 'g'), '[{text.SPACE}]+', ' ', 'g') AS t,
+        row_number() OVER (PARTITION BY path ORDER BY line) - 1 AS i FROM rows_ WHERE role = 'source' AND kind = 'code'""",
+    "windowed": """SELECT path, i, string_agg(t, chr(10)) OVER w AS key, count(*) OVER w AS n FROM code_rows WINDOW w AS (PARTITION BY path ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)""",
+    "dup_classes": "SELECT key, count(*) AS copies FROM windowed WHERE n = 5 GROUP BY key HAVING count(*) > 1",
+}
+
+
+def _with(body: str) -> str:
+    """A query after the parts that it needs, and those that they need."""
+    needed: set[str] = set()
+
+    def visit(sql: str) -> None:
+        for name, part in PARTS.items():
+            if name not in needed and name in sql:
+                needed.add(name)
+                visit(part)
+
+    visit(body)
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({p})" for n, p in PARTS.items() if n in needed) + f"\n{body}"
+
+
+def _quantile(table: str, column: str, fraction: float, where: str = "TRUE") -> str:
+    """The value at index min(n - 1, floor(n * fraction)); 0 of none."""
+    ranked = f"SELECT {column} AS v, row_number() OVER (ORDER BY {column}) - 1 AS k, count(*) OVER () AS n FROM {table} WHERE {where}"
+    return f"coalesce((SELECT v FROM ({ranked}) WHERE k = least(n - 1, floor(n * {fraction}::DOUBLE)::BIGINT)), 0)"
+
+
+_SUMS = ", ".join(f"coalesce(sum({c}), 0)::BIGINT AS {c}" for c in ("code", "comment", "blank", "total", "complexity"))
+_IGNORED = f"(list_has_any({_DIRS}, ['vendor', 'tests']) OR {_BASE} = 'doc_1.py' OR lower(regexp_extract({_BASE}, '\\.[^.]*$')) IN ('.md', '.css') OR {_MATCHED})"
+_DIST = "SELECT language, code, row_number() OVER (PARTITION BY language ORDER BY code) - 1 AS k, count(*) OVER (PARTITION BY language) AS n FROM chosen"
+_REFACTOR = f"""SELECT m.path, complexity, code, density, tokens, coalesce(changes, 0) AS changes, coalesce(churn, 0) AS churn, coalesce(momentum, 0) AS momentum
+    FROM chosen m JOIN costs USING (path) LEFT JOIN document_history h USING (path) WHERE complexity > 0"""
+_LIMITS = f"{_quantile('inputs', 'momentum', 0.5, 'changes > 0')} AS busy, {_quantile('inputs', 'density', 0.75)} AS dense, {_quantile('inputs', 'tokens', 0.75)} AS costly"
+_RENAMES = """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'src/' || p_brand || '/f' || p_partkey::VARCHAR WHEN p_partkey % 3 = 1 THEN p_name ELSE 'x' END AS old_path,
+    CASE WHEN p_partkey % 3 = 0 THEN 'src/' || p_type || '/f' || p_partkey::VARCHAR WHEN p_partkey % 3 = 1 THEN p_type ELSE p_brand || '/x' END AS new_path FROM part"""
+_SIZES = " ".join(f"WHEN code < {bound} THEN {_q(label)}" for bound, label in text.SIZE_TIERS)
+
+ORACLE_SQL: dict[str, str] = {
+    "line_kinds": _with("SELECT path, language, code, comment, blank, total FROM measured"),
+    "count_by_language": _with(f"SELECT language, count(*) AS files, {_SUMS} FROM chosen GROUP BY language"),
+    "count_totals": _with(f"SELECT count(*) AS files, {_SUMS} FROM chosen"),
+    "size_distribution": _with(
+        f"""SELECT language, max(code) AS max_code, max(code) FILTER (WHERE k = least(n - 1, floor(n * 0.5::DOUBLE)::BIGINT)) AS median_code,
+        max(code) FILTER (WHERE k = least(n - 1, floor(n * 0.9::DOUBLE)::BIGINT)) AS p90_code FROM ({_DIST}) GROUP BY language"""
+    ),
+    "concentration": _with(
+        f"""SELECT max(k)::BIGINT AS largest_files, round(sum(code) FILTER (WHERE r <= k) / sum(code) * 100, 6)::DOUBLE AS share, {_quantile('chosen', 'code', 0.5)} AS median_code,
+        {_quantile('chosen', 'code', 0.9)} AS p90_code FROM (SELECT code, row_number() OVER (ORDER BY code DESC) AS r, greatest(1, floor(count(*) OVER () * 0.05::DOUBLE + 0.5)) AS k FROM chosen)"""
+    ),
+    "largest_files": _with("SELECT path, code, comment, complexity FROM chosen ORDER BY code DESC, path LIMIT 25"),
+    "role_classify": _with("SELECT path, role FROM files"),
+    "role_summary": _with("SELECT role, count(*) AS files, sum(code)::BIGINT AS code FROM measured GROUP BY role"),
+    "test_ratio": _with(
+        """SELECT source_code, test_code, round(test_code / source_code, 6)::DOUBLE AS ratio FROM (SELECT sum(code) FILTER (WHERE role = 'source')::BIGINT AS source_code,
+        sum(code) FILTER (WHERE role = 'test')::BIGINT AS test_code FROM measured)"""
+    ),
+    "ignore_filter": _with(f"SELECT path FROM plain_files WHERE NOT {_IGNORED}"),
+    "glob_match": _with(f"SELECT path, {_MATCHED} AS matched FROM plain_files"),
+    "complexity_rank": _with(
+        "SELECT path, language, complexity, code, round(density, 6) AS density, densest, round(concentration, 6) AS concentration FROM scored WHERE complexity > 0 AND code >= 3"
+    ),
+    "complexity_density": _with("SELECT path, round(density, 6) AS density FROM chosen"),
+    "complexity_breakdown": _with("SELECT path, branch, loop, bool, complexity FROM chosen"),
+    "densest_window": _with("SELECT path, densest FROM densest"),
+    "token_estimate": f"SELECT doc_id, {_tokens('text')}::BIGINT AS tokens FROM documents",
+    "context_files": _with("SELECT path, tokens, code_tokens, comment_tokens FROM costs"),
+    "context_dirs": _with("SELECT CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '.' END AS dir, sum(tokens)::BIGINT AS tokens, count(*) AS files FROM costs GROUP BY dir"),
+    "context_totals": _with("SELECT sum(tokens)::BIGINT AS tokens, sum(code_tokens)::BIGINT AS code_tokens, sum(comment_tokens)::BIGINT AS comment_tokens FROM costs"),
+    "navigability": _with(
+        f"""SELECT count(*) AS files, max(depth)::INT AS max_depth, (SELECT coalesce(sum(c), 0)::BIGINT FROM (SELECT count(*) AS c FROM plain_files GROUP BY {_BASE} HAVING count(*) > 1)) AS ambiguous_files,
+        {_quantile("(SELECT len(string_split(path, '/')) AS depth FROM plain_files)", 'depth', 0.5)}::INT AS median_depth FROM (SELECT len(string_split(path, '/')) AS depth FROM plain_files)"""
+    ),
+    "repeated_names": _with(f"SELECT {_BASE} AS name, count(*) AS count FROM plain_files GROUP BY name HAVING count(*) > 1"),
+    "budget_tiers": _with("SELECT share::DOUBLE AS share, threshold::BIGINT AS threshold, (SELECT count(*) FROM costs WHERE tokens > threshold) AS files FROM (VALUES (0.5, 4000), (0.25, 2000), (0.1, 800)) t(share, threshold)"),
+    "diff_scope": _with("SELECT path, role FROM files WHERE path IN (SELECT path FROM document_files WHERE doc_id % 7 = 0)"),
+    "bot_filter": _with("SELECT ord, name FROM people"),
+    "rename_pair": _RENAMES,
+    "file_changes": _with("SELECT path, changes, churn, round(momentum, 6) AS momentum, last_change FROM history"),
+    "coupling_pairs": _with("SELECT a, b, shared, revisions_a, revisions_b, round(strength, 6) AS strength FROM pairs"),
+    "coupling_files": _with(
+        """SELECT path, any_value(revisions) AS revisions, sum(shared)::BIGINT AS sum_of_coupling, count(*) AS partners FROM
+        (SELECT a AS path, revisions_a AS revisions, shared FROM pairs UNION ALL SELECT b, revisions_b, shared FROM pairs) GROUP BY path"""
+    ),
+    "coupling_commits": _with("SELECT count(*) FILTER (WHERE n <= 5) AS commits, count(*) FILTER (WHERE n > 5) AS skipped FROM (SELECT ord, count(*) AS n FROM members GROUP BY ord)"),
+    "comment_drift": _with("SELECT path, blocks, drifted FROM drifts"),
+    "drift_summary": _with("SELECT count(*) AS files_checked, sum(blocks)::BIGINT AS blocks, sum(drifted)::BIGINT AS drifted FROM drifts"),
+    "dup_windows": _with("SELECT copies, count(*) AS classes FROM dup_classes GROUP BY copies"),
+    "refactor_verdicts": _with(
+        f"""SELECT path, changes, churn, round(momentum, 6) AS momentum, tokens * changes AS recurring_tokens, CASE WHEN code > 0 THEN round(churn / code * 100, 6) ELSE 0 END AS churn_ratio,
+        CASE WHEN changes = 0 THEN 'inert' WHEN NOT (momentum >= busy AND changes >= {MIN_BUSY}) THEN 'quiet' WHEN density >= dense THEN 'refactor' WHEN tokens >= costly THEN 'split' ELSE 'watch' END AS verdict
+        FROM (SELECT *, {_LIMITS} FROM inputs)""".replace("inputs", f"({_REFACTOR})")
+    ),
+    "refactor_limits": _with(f"SELECT round(busy, 6) AS busy, round(dense, 6) AS dense, costly FROM (SELECT {_LIMITS})".replace("inputs", f"({_REFACTOR})")),
+    "size_label": _with(f"SELECT code, CASE {_SIZES} ELSE {_q(text.LARGEST_TIER)} END AS label FROM (SELECT sum(code)::BIGINT AS code FROM chosen)"),
+}
+
