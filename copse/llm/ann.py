@@ -119,13 +119,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     sizes = rows.agg(F.count("*"), F.count_if("q")).first()
     blocks, query_blocks = (max(1, -(-n // size)) for n, size in zip(sizes, (BLOCK, QUERY_BLOCK), strict=True))
     longest = rows.groupBy("dim").agg(F.max(norm).alias("longest"))
-    deal = lambda n: F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n))
+    deal = lambda n: F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n)).cast("int")
     base = rows.join(longest, "dim").select(
         "dim", F.coalesce("vec_id", F.lit(_NO_ID)).cast("long").alias("vec_id"), "vector", "longest", deal(blocks).alias("block")
     )
     base = base.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     queries = rows.where("q AND vec_id IS NOT NULL").selectExpr("dim AS dim", "vec_id AS query_id", "vector AS vector").distinct()
-    queries = queries.withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)))
+    queries = queries.withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
     queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     key = ["dim", "block", "query_block"]
     found = queries.groupBy(*key).cogroup(base.groupBy(*key)).applyInPandas(_search(k), "query_id long, vec_id long, score double")

@@ -46,3 +46,15 @@ def test_odd_vectors_and_ties(spark):
     assert found[20] == [(0, 1.0), (1, 0.5), (2, 0.5), (None, 0.5)]
     assert found[40] == [(8, 2.0)] and found[60] == []
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_every_query_meets_every_block(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 100)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 4)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(700)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(13)
+    got = ann.search(df, F.col("vec_id") % 20 == 0).collect()
+    want = brute(rows, 20)
+    assert len(got) == 20 * len(want) == 20 * 35
+    assert sum((r.vec_id in dict(want[r.query_id])) for r in got) / len(got) > 0.95
