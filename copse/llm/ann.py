@@ -25,7 +25,7 @@ from copse.llm.common import cut
 #: Orthonormal bases of directions; share of directions that must collide; verified candidates of a block: a number
 #: and a share; growth of the windows; seed of the directions; vectors and queries of a block.
 BASES, THRESHOLD, ENOUGH, SHARE, GROWTH, SEED = 2, 0.85, 400, 0.12, 1.15, 7
-BLOCK, QUERY_BLOCK = 32768, 256
+BLOCK, QUERY_BLOCK = 32768, 1024
 
 
 @functools.cache
@@ -36,43 +36,77 @@ def directions(dim: int, bases: int = BASES, seed: int = SEED) -> np.ndarray:
 
 
 class Index:
-    """The sorted arrays of a block of vectors."""
+    """The sorted arrays of a block of vectors.
+
+    An array is kept as the place of each vector in the order of a direction, so that a window, which is a range of
+    places, is compared with all vectors at once.
+    """
 
     def __init__(self, vectors: np.ndarray, longest: float):
         self.vectors, self.longest, n = vectors, longest, len(vectors)
         rest = np.sqrt(np.maximum(0, longest**2 - (vectors**2).sum(axis=1)))
         self.by = directions(vectors.shape[1] + 1)
-        numbers = np.c_[vectors, rest] @ self.by
-        self.order = np.argsort(numbers, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(numbers, self.order.T, axis=0).T.copy()
+        numbers = (np.c_[vectors, rest] @ self.by).T
+        order = np.argsort(numbers, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(numbers, order, axis=1)
+        self.place = np.empty(order.shape, dtype=np.uint16 if n < 65536 else np.uint32)
+        np.put_along_axis(self.place, order, np.arange(n, dtype=self.place.dtype)[None, :], axis=1)
         self.first = self.sorted.std(axis=1).mean() / 4 or 1e-9
         self.enough = min(n, ENOUGH + int(SHARE * n))
-
-    def candidates(self, query: np.ndarray) -> np.ndarray:
-        """Rows that collide with the query in enough directions."""
-        at = np.r_[query / np.linalg.norm(query) * self.longest, 0] @ self.by
-        m, n = self.order.shape
-        collisions = np.zeros(n, dtype=np.int64)
-        low = [int(np.searchsorted(s, x)) for s, x in zip(self.sorted, at, strict=True)]
-        high, width = list(low), self.first
-        while True:
-            new = []
-            for j in range(m):
-                a, b = np.searchsorted(self.sorted[j], (at[j] - width, at[j] + width))
-                a, b = min(int(a), low[j]), max(int(b), high[j])
-                new += [self.order[j, a : low[j]], self.order[j, high[j] : b]]
-                low[j], high[j] = a, b
-            collisions += np.bincount(np.concatenate(new), minlength=n)
-            found = np.flatnonzero(collisions >= THRESHOLD * m)
-            if len(found) >= self.enough:
-                return found
-            width *= GROWTH
-
-    def nearest(self, ids: np.ndarray, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        self.level = 0  # where the last query ended; neighbours of other queries are about as far
+
+    def ask(self, queries: np.ndarray) -> None:
+        """Take in a block of queries; their windows of each level are found together, when a query needs them."""
+        self.queries = queries
+        at = np.c_[queries / np.linalg.norm(queries, axis=1, keepdims=True) * self.longest, np.zeros(len(queries))]
+        self.at, self.windows = (at @ self.by).T, {}
+
+    def _collisions(self, q: int, level: int) -> np.ndarray:
+        """In how many directions each vector lies in the window of a query at a level."""
+        if level not in self.windows:
+            width = self.first * GROWTH**level
+            low = np.stack([line.searchsorted(x - width) for line, x in zip(self.sorted, self.at, strict=True)], axis=1)
+            high = np.stack([line.searchsorted(x + width, "right") for line, x in zip(self.sorted, self.at, strict=True)], axis=1)
+            self.windows[level] = low.astype(self.place.dtype), (high - low).astype(self.place.dtype)
+        (lows, sizes), n = self.windows[level], self.place.shape[1]
+        total, few = np.zeros(n, dtype=np.uint16), np.zeros(n, dtype=np.uint8)
+        gap, inside = np.empty(n, dtype=self.place.dtype), np.empty(n, dtype=bool)
+        counted = inside.view(np.uint8)
+        for j, (place, low, size) in enumerate(zip(self.place, lows[q], sizes[q], strict=True)):
+            if j % 255 == 254:  # before a byte can overflow
+                total += few
+                few[:] = 0
+            np.subtract(place, low, out=gap)  # places below the window wrap around
+            np.less(gap, size, out=inside)
+            np.add(few, counted, out=few)
+        return total + few
+
+    def candidates(self, q: int) -> np.ndarray:
+        """Rows that collide with a query in enough directions, at the first level that has enough of them.
+
+        A level's window holds those of the levels before, so the first such level is found from any other.
+        """
+        found_at = lambda level: np.flatnonzero(self._collisions(q, level) >= THRESHOLD * len(self.at))
+        found = found_at(self.level)
+        if len(found) >= self.enough:
+            while self.level and len(less := found_at(self.level - 1)) >= self.enough:
+                self.level, found = self.level - 1, less
+        while len(found) < self.enough:
+            self.level += 1
+            found = found_at(self.level)
+        return found
+
+    def nearest(self, ids: np.ndarray, query_id: int, q: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and scores of the best ``k`` candidates but the query's own id; ties to the smaller id, null ids last."""
-        found = self.candidates(query)
+        found = self.candidates(q)
         found = found[ids[found] != query_id]
-        scores = (self.vectors[found] * query).sum(axis=1)
+        vectors = self.vectors.take(found, axis=0)
+        if len(found) > k:  # a fast product, whose rounding may differ from row to row, leaves those that can be among the best
+            rough = vectors @ self.queries[q]
+            least = np.partition(rough, len(found) - k)[len(found) - k]
+            able = rough >= least - 1e-9 * (1 + abs(least))
+            found, vectors = found[able], vectors[able]
+        scores = (vectors * self.queries[q]).sum(axis=1)
         best = np.lexsort((ids[found], -scores))[:k]
         return found[best], scores[best]
 
@@ -90,8 +124,9 @@ def _search(k: int):
         if len(queries) and len(base):
             ids = base["vec_id"].to_numpy()
             index = Index(_matrix(base["vector"]), float(base["longest"].iloc[0]))
-            for query_id, vector in zip(queries["query_id"], _matrix(queries["vector"]), strict=True):
-                rows, scores = index.nearest(ids, query_id, vector, k)
+            index.ask(_matrix(queries["vector"]))
+            for q, query_id in enumerate(queries["query_id"]):
+                rows, scores = index.nearest(ids, query_id, q, k)
                 out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[rows], "score": scores}))
         found = pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         return found.astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
