@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from copse.llm.common import small_batches, text_of
+from copse.llm.common import cut, small_batches, text_of
 
 #: Bounds of the fit: sampled labelled rows, features of the classifier, voters found in the training rows.
 SAMPLE, FEATURES, MINED = 12_000, 20_000, 60
@@ -126,42 +126,31 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def fit(sets: list[set[str]], votes_of_patterns: list[list[int]], labels: list[int], rounds: int = 150, decay: float = 1e-4) -> Model:
-    """Voters from the labelled rows, the label model over their votes, and the classifier on its posteriors.
+def fit(chosen: list[tuple[str, float]], rows: list[tuple[list[int], list[int], int]], rounds: int = 150, decay: float = 1e-3) -> Model:
+    """The label model over the voters' votes on labelled rows, and the classifier on its posteriors.
 
-    A row is its set of features, its patterns' votes and its label.
-
-    Rows of one class alone, or no rows, give a constant score near that class's share.
+    ``chosen`` has features with their log-odds, those that stand out most first; a row is the numbers of the chosen
+    features that it has, its patterns' votes and its label. Rows of one class alone, or no rows, give a constant
+    score near that class's share.
     """
-    y = np.array(labels, dtype=float)
+    y = np.array([label for *_, label in rows], dtype=float)
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
         return Model(math.log(share / (1 - share)), {})
-    seen, toxic = Counter(), Counter()
-    for s, label in zip(sets, labels, strict=True):
-        seen.update(s)
-        if label:
-            toxic.update(s)
-    n1, n0 = y.sum(), len(y) - y.sum()
-    strength, odds = {}, {}
-    for f, c in seen.items():
-        a, b = toxic[f] + 0.5, c - toxic[f] + 0.5
-        odds[f] = math.log(a / (n1 + 1) / (b / (n0 + 1)))
-        strength[f] = odds[f] / math.sqrt(1 / a + 1 / b)
-    chosen = sorted((f for f in strength if strength[f] > SIGNIFICANT), key=lambda f: (-strength[f], f))[:FEATURES]
-    mined, strong = chosen[:MINED], {f for f in chosen if odds[f] > 2.5}
-    words = {f for f in strong if "-" not in f}
-    starts = strong - words
+    mined = range(min(MINED, len(chosen)))
+    strong = {i for i, (_, odds) in enumerate(chosen) if odds > 2.5}
+    words = {i for i in strong if "-" not in chosen[i][0]}
+    insults = {i for i, (f, _) in enumerate(chosen) if f in INSULTS}
+    sets = [frozenset(numbers) for numbers, _, _ in rows]
     votes = []
-    for s, by_patterns, label in zip(sets, votes_of_patterns, labels, strict=True):
-        lexicon = [_TOXIC if s & found else _CLEAN for found in (INSULTS, words, starts)]
+    for s, (_, by_patterns, label) in zip(sets, rows, strict=True):
+        lexicon = [_TOXIC if s & found else _CLEAN for found in (insults, words, strong - words)]
         votes.append([_TOXIC if label else _CLEAN, *lexicon, *by_patterns, *(_TOXIC if f in s else _ABSTAIN for f in mined)])
-    votes = np.array(votes)
+    votes = np.array(votes, dtype=np.int8)
     target = fit_label_model(votes, np.where(y > 0, LABEL, 1 - LABEL), LABEL).posterior(votes)
 
-    number = {f: i for i, f in enumerate(chosen)}
-    pairs = [(d, number[f]) for d, s in enumerate(sets) for f in s if f in number]
-    doc, feature = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
+    doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    feature = np.array([f for s in sets for f in s], dtype=np.int64)
     w, bias = np.zeros(len(chosen)), math.log((target.sum() + 1) / (len(target) - target.sum() + 1))
     moment, size, bias_moment, bias_size = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):  # Adam over all rows
@@ -173,7 +162,7 @@ def fit(sets: list[set[str]], votes_of_patterns: list[list[int]], labels: list[i
         g = gap.sum()
         bias_moment, bias_size = 0.9 * bias_moment + 0.1 * g, 0.99 * bias_size + 0.01 * g * g
         bias -= 0.05 * (bias_moment / (1 - 0.9**t)) / (math.sqrt(bias_size / (1 - 0.99**t)) + 1e-8)
-    return Model(float(bias), {f: float(w[i]) for f, i in number.items() if abs(w[i]) > 1e-3})
+    return Model(float(bias), {f: float(w[i]) for i, (f, _) in enumerate(chosen) if abs(w[i]) > 1e-3})
 
 
 def held_out(doc_id: Column) -> Column:
@@ -186,21 +175,49 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     share = min(1.0, sample / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # the sample's bound is the bound of what is broadcast here; the driver gets each row's different words
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    # the sample's bound is the bound of what is broadcast here
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    small_batches(docs.sparkSession)
+    seen = cut(rows.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text", "CAST(toxic AS INT) AS toxic"))
+    found = standing_out(seen)
+    numbers = {f: i for i, (f, _) in enumerate(found)}
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, toxic = (c.to_pylist() for c in batch.columns)
-            found = [" ".join(_WORD.findall(t.lower())) for t in texts]
-            cols = [pa.array(ids, pa.int64()), pa.array(found, pa.string()), pa.array([patterns(t) for t in texts], pa.list_(pa.int32())), pa.array(toxic, pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "words", "patterns", "toxic"])
+            texts = batch.column(1).to_pylist()
+            own = [sorted(numbers[f] for f in features(word_counts(t)) if f in numbers) for t in texts]
+            cols = [batch.column(0), pa.array(own, pa.list_(pa.int32())), pa.array([patterns(t) for t in texts], pa.list_(pa.int32())), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "features", "patterns", "toxic"])
 
-    small_batches(docs.sparkSession)
-    seen = rows.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text", "CAST(toxic AS INT) AS toxic")
-    seen = seen.mapInArrow(words, "doc_id long, words string, patterns array<int>, toxic int")
-    found = sorted((r.doc_id, r.words, r.patterns, r.toxic) for r in seen.collect())
-    return fit([features(Counter(w.split())) for _, w, _, _ in found], [p for _, _, p, _ in found], [y for _, _, _, y in found])
+    kept = seen.mapInArrow(reduced, "doc_id long, features array<int>, patterns array<int>, toxic int").collect()
+    return fit(found, [(f, p, y) for _, f, p, y in sorted((r.doc_id, r.features, r.patterns, r.toxic) for r in kept)])
+
+
+def standing_out(sample: DataFrame, limit: int = FEATURES) -> list[tuple[str, float]]:
+    """The features with their log-odds that toxic rows have most more often than clean ones, the surest first.
+
+    Rows that have a feature are counted where they are read before anything is shuffled; at most ``limit`` features
+    come back.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            all_of, toxic_of = Counter(), Counter()
+            for text, toxic in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                own = features(word_counts(text))
+                all_of.update(own)
+                if toxic:
+                    toxic_of.update(own)
+            cols = [pa.array(list(all_of), pa.string()), pa.array(list(all_of.values()), pa.int64()), pa.array([toxic_of[f] for f in all_of], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["feature", "n", "a"])
+
+    sizes = sample.agg(F.count("*"), F.count_if(F.col("toxic") > 0)).first()
+    counted = sample.mapInArrow(each, "feature string, n long, a long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
+    a, b = F.col("a") + 0.5, F.col("n") - F.col("a") + 0.5
+    odds = F.log(a * (sizes[0] - sizes[1] + 1) / (b * (sizes[1] + 1)))
+    strength = odds / F.sqrt(1 / a + 1 / b)
+    best = counted.select("feature", odds.alias("odds"), strength.alias("strength")).where(F.col("strength") > SIGNIFICANT)
+    return [(r.feature, r.odds) for r in best.orderBy(F.desc("strength"), "feature").limit(limit).collect()]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

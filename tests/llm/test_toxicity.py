@@ -42,7 +42,7 @@ def test_no_labels_or_one_class(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.fit_on(docs, none).score("a") == 0.5
-    assert toxicity.fit([{"a"}] * 9, [[0, 0, 0]] * 9, [0] * 9).score("a") < 0.2
+    assert toxicity.fit([("a", 1.0)], [([0], [0, 0, 0], 0)] * 9).score("a") < 0.2
 
 
 def test_label_model_finds_accuracies_and_copies():
