@@ -2,7 +2,8 @@
 
 Every run of ``min_lines`` code lines of a file is a window, keyed by hashes of its lines. Windows that occur more
 than once form classes. Where every occurrence of a class is followed by the same next class, both belong to one
-block; islands of such windows are blocks, and a block whose occurrences all follow equal windows grows to the left.
+block; islands of such windows are blocks, and a block grows to either side while equal windows stand beside all its
+occurrences. A repeat of which every window also occurs elsewhere is not a block of its own: those inside it are.
 Only keys travel: lines are hashed before anything is shuffled, and windows that occur once leave after one
 pre-aggregated count.
 """
@@ -63,17 +64,26 @@ def _blocks(found: DataFrame, min_lines: int) -> DataFrame:
         F.min_by("key", "i").alias("class"), F.first("n").alias("n"), F.min("i").alias("first"), F.max("i").alias("end")
     )
     islands = cut(islands)
-    # growth to the left: while the islands just before all occurrences of a class are of one class
-    left = islands.select("path", F.col("end").alias("before"), F.col("class").alias("left"), (F.col("end") - F.col("first") + 1).alias("by"))
+    # growth: while the islands just before, or just after, all occurrences of a class are of one class
+    sides = islands.select("path", F.col("first").alias("from"), F.col("end").alias("to"), F.col("class").alias("beside"))
     done, open_ = None, islands
     while True:
-        met = open_.join(left, (open_["path"] == left["path"]) & (open_["first"] == left["before"] + 1), "left").select(open_["*"], "left", "by")
-        same = met.groupBy("class", "n").agg(F.min("left").alias("l"), F.max("left").alias("r"), F.count("left").alias("c"), F.first("by").alias("grow"))
-        same = same.where((F.col("l") == F.col("r")) & (F.col("c") == F.col("n"))).select("class", "grow")
-        now = cut(open_.join(same, "class", "left"))
-        still = now.where(F.col("grow").isNull()).drop("grow")
+        for edge, at, new in (("from", F.col("end") + 1, "to"), ("to", F.col("first") - 1, "from")):
+            near = sides.select("path", F.col(edge).alias("at"), F.col(new).alias("reach"), "beside")
+            met = open_.withColumn("at", at).join(near, ["path", "at"], "left")
+            one = met.groupBy("class").agg(F.min("beside").alias("l"), F.max("beside").alias("r"), F.count("beside").alias("c"), F.first("n").alias("m"))
+            one = one.where((F.col("l") == F.col("r")) & (F.col("c") == F.col("m"))).select("class", F.lit(True).alias("grows"))
+            moved = met.join(one, "class", "left").withColumn(f"to_{new}", F.when(F.col("grows"), F.col("reach")))
+            kept = [c for c in open_.columns if c != "moved"]
+            side = "end" if new == "to" else "first"
+            open_ = moved.select(
+                *[F.coalesce(f"to_{new}", c).alias(c) if c == side else F.col(c) for c in kept],
+                (F.coalesce("grows", F.lit(False)) | (F.col("moved") if "moved" in open_.columns else F.lit(False))).alias("moved"),
+            )
+        now = cut(open_)
+        still = now.where("NOT moved").drop("moved")
         done = still if done is None else done.unionByName(still)
-        open_ = now.where(F.col("grow").isNotNull()).withColumn("first", F.col("first") - F.col("grow")).drop("grow")
+        open_ = now.where("moved").drop("moved")
         if open_.isEmpty():
             break
     return done.select("class", "path", "first", (F.col("end") + min_lines - 1).alias("last"))
@@ -100,7 +110,10 @@ def clones(
     out = out.where(F.col("copies") >= max(2, min_copies))
     if cross_file_only:
         out = out.where(F.size(F.array_distinct("fragments.path")) > 1)
-    return out.select("class", "line_count", "copies", "fragments")
+    # classes that have grown into the same block are one
+    return out.groupBy("fragments").agg(F.min("class").alias("class"), F.first("line_count").alias("line_count"), F.first("copies").alias("copies")).select(
+        "class", "line_count", "copies", "fragments"
+    )
 
 
 def order(groups: DataFrame) -> DataFrame:
