@@ -14,26 +14,24 @@ def density() -> Column:
     return F.when(F.col("code") > 0, F.col("complexity") / F.col("code") * 100).otherwise(0.0)
 
 
-def densest_windows(lexed: DataFrame, window: int = text.DENSEST_WINDOW) -> DataFrame:
-    """``path, densest``: the most decisions in any run of ``window`` lines; files without decisions are left out.
+def _hits() -> Column:
+    """The lines that have decisions, with their number, as an array."""
+    decisions = lambda line: sum((text.decisions(line, F.col("ext"), b) for b in ("branch", "loop", "bool")), F.lit(0))
+    return F.filter(F.transform("code_lines", lambda line, i: F.struct(i.alias("line"), decisions(line).alias("n"))), lambda h: h["n"] > 0)
 
-    Only lines that have decisions are exploded and sorted.
-    """
-    pattern = lambda line: sum((text.decisions(line, F.col("ext"), b) for b in ("branch", "loop", "bool")), F.lit(0))
-    hits = F.filter(F.transform("code_lines", lambda line, i: F.struct(i.alias("line"), pattern(line).alias("n"))), lambda h: h["n"] > 0)
-    rows = lexed.select("path", F.explode(hits).alias("h")).select("path", "h.line", "h.n")
-    run = Window.partitionBy("path").orderBy("line").rangeBetween(-(window - 1), 0)
-    return rows.withColumn("run", F.sum("n").over(run)).groupBy("path").agg(F.max("run").cast("long").alias("densest"))
 
-
-def complexity(files: DataFrame) -> DataFrame:
+def complexity(files: DataFrame, window: int = text.DENSEST_WINDOW) -> DataFrame:
     """``path, language, complexity, code, density, branch, loop, bool, densest, concentration`` of measured files.
 
-    ``concentration`` is the percentage of a file's decisions in its densest window.
+    ``densest`` is the most decisions in any run of ``window`` lines, and ``concentration`` its percentage of the
+    file's. Only lines that have decisions are exploded; the window and the sums share one shuffle by path.
     """
-    base = files.select("path", "language", "complexity", "code", density().alias("density"), "branch", "loop", "bool")
-    out = base.join(densest_windows(files.where(F.col("complexity") > 0)), "path", "left").fillna(0, ["densest"])
-    return out.withColumn("concentration", F.when(F.col("complexity") > 0, F.col("densest") / F.col("complexity") * 100).otherwise(0.0))
+    names = ["path", "language", "complexity", "code", "branch", "loop", "bool"]
+    rows = files.select(*names, F.explode_outer(_hits()).alias("h")).select(*names, "h.line", "h.n")
+    run = Window.partitionBy("path").orderBy("line").rangeBetween(-(window - 1), 0)
+    out = rows.withColumn("run", F.sum("n").over(run)).groupBy(*names).agg(F.coalesce(F.max("run"), F.lit(0)).cast("long").alias("densest"))
+    share = F.when(F.col("complexity") > 0, F.col("densest") / F.col("complexity") * 100).otherwise(0.0)
+    return out.select("path", "language", "complexity", "code", density().alias("density"), "branch", "loop", "bool", "densest", share.alias("concentration"))
 
 
 def rank(scored: DataFrame, sort: str = "raw", min_lines: int = 1) -> DataFrame:

@@ -37,17 +37,27 @@ def code_rows(lexed: DataFrame, normalizer: Callable[[Column], Column] = text.no
 
 
 def windows(rows: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """``path, i, key`` of each window of ``code_rows``: its first code line's index, and its lines' hashes as a key."""
+    """``path, i, key, start_line, end_line, total`` of each window of ``code_rows``.
+
+    ``i`` is its first code line's index, ``key`` its lines' hashes, and ``total`` the file's code lines.
+    """
     last = F.size("rows") - min_lines
-    keys = F.transform(
+    part = lambda name, i: F.slice(F.col(f"rows.{name}"), i + 1, F.lit(min_lines))
+    line = lambda i: F.element_at("rows.line", i + 1)
+    found = F.transform(
         F.sequence(F.lit(0), last),
-        lambda i: F.struct(F.xxhash64(F.slice(F.col("rows.h"), i + 1, F.lit(min_lines))).alias("a"), F.hash(F.slice(F.col("rows.g"), i + 1, F.lit(min_lines))).alias("b")),
+        lambda i: F.struct(
+            F.struct(F.xxhash64(part("h", i)).alias("a"), F.hash(part("g", i)).alias("b")).alias("key"),
+            line(i).alias("start_line"),
+            line(i + min_lines - 1).alias("end_line"),
+        ),
     )
-    return rows.where(last >= 0).select("path", F.posexplode(keys).alias("i", "key"))
+    placed = rows.where(last >= 0).select("path", F.size("rows").alias("total"), F.posexplode(found).alias("i", "w"))
+    return placed.select("path", "i", "w.key", "w.start_line", "w.end_line", "total")
 
 
 def _blocks(found: DataFrame, min_lines: int) -> DataFrame:
-    """``class, path, first, last``: code line indexes of each occurrence of each maximal block."""
+    """``class, path, first, last, start_line, end_line, total``: each occurrence of each maximal block."""
     repeated = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     occurrences = found.join(repeated, "key")
     along = Window.partitionBy("path").orderBy("i")
@@ -61,32 +71,29 @@ def _blocks(found: DataFrame, min_lines: int) -> DataFrame:
     starts = joined.withColumn("start", F.when(before, 0).otherwise(1))
     starts = starts.withColumn("island", F.sum("start").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     islands = starts.groupBy("path", "island").agg(
-        F.min_by("key", "i").alias("class"), F.first("n").alias("n"), F.min("i").alias("first"), F.max("i").alias("end")
-    )
+        F.min_by("key", "i").alias("class"), F.first("n").alias("n"), F.min("i").alias("first"), F.max("i").alias("end"),
+        F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.first("total").alias("total"),
+    )
     islands = cut(islands)
     # growth: while the islands just before, or just after, all occurrences of a class are of one class
-    sides = islands.select("path", F.col("first").alias("from"), F.col("end").alias("to"), F.col("class").alias("beside"))
-    done, open_ = None, islands
+    sides = islands.select("path", "first", "end", "start_line", "end_line", F.col("class").alias("beside"))
+    done, open_ = None, islands.withColumn("moved", F.lit(False))
     while True:
-        for edge, at, new in (("from", F.col("end") + 1, "to"), ("to", F.col("first") - 1, "from")):
-            near = sides.select("path", F.col(edge).alias("at"), F.col(new).alias("reach"), "beside")
+        for edge, at, grown, line in (("first", F.col("end") + 1, "end", "end_line"), ("end", F.col("first") - 1, "first", "start_line")):
+            near = sides.select("path", F.col(edge).alias("at"), F.col(grown).alias("reach"), F.col(line).alias("reach_line"), "beside")
             met = open_.withColumn("at", at).join(near, ["path", "at"], "left")
             one = met.groupBy("class").agg(F.min("beside").alias("l"), F.max("beside").alias("r"), F.count("beside").alias("c"), F.first("n").alias("m"))
             one = one.where((F.col("l") == F.col("r")) & (F.col("c") == F.col("m"))).select("class", F.lit(True).alias("grows"))
-            moved = met.join(one, "class", "left").withColumn(f"to_{new}", F.when(F.col("grows"), F.col("reach")))
-            kept = [c for c in open_.columns if c != "moved"]
-            side = "end" if new == "to" else "first"
-            open_ = moved.select(
-                *[F.coalesce(f"to_{new}", c).alias(c) if c == side else F.col(c) for c in kept],
-                (F.coalesce("grows", F.lit(False)) | (F.col("moved") if "moved" in open_.columns else F.lit(False))).alias("moved"),
-            )
+            moved = met.join(one, "class", "left").withColumn("grows", F.coalesce("grows", F.lit(False)))
+            new = {grown: F.when(F.col("grows"), F.col("reach")).otherwise(F.col(grown)), line: F.when(F.col("grows"), F.col("reach_line")).otherwise(F.col(line))}
+            open_ = moved.withColumns(new | {"moved": F.col("moved") | F.col("grows")}).select(open_.columns)
         now = cut(open_)
-        still = now.where("NOT moved").drop("moved")
+        still = now.where("NOT moved")
         done = still if done is None else done.unionByName(still)
-        open_ = now.where("moved").drop("moved")
+        open_ = now.where("moved").withColumn("moved", F.lit(False))
         if open_.isEmpty():
             break
-    return done.select("class", "path", "first", (F.col("end") + min_lines - 1).alias("last"))
+    return done.select("class", "path", "first", (F.col("end") + min_lines - 1).alias("last"), "start_line", "end_line", "total")
 
 
 def clones(
@@ -95,17 +102,17 @@ def clones(
     """``class, line_count, copies, fragments``: each group of equal blocks, from ``code_rows``.
 
     A fragment is ``path, start_line, end_line`` in lines of the file, with ``first`` and ``last`` as indexes of code
-    lines. Overlapping fragments of a file are one; a group needs ``min_copies`` of what is left.
+    lines and ``total`` as the file's code lines. Overlapping fragments of a file are one; a group needs ``min_copies`` of what is left.
     """
     found = _blocks(windows(rows, min_lines), min_lines)
     order = Window.partitionBy("class", "path").orderBy("first", "last")
     reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     apart = found.withColumn("new", F.when(F.col("first") <= reach, 0).otherwise(1))
     spans = apart.withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = spans.groupBy("class", "path", "span").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    at = lambda i: F.element_at("rows.line", F.col(i).cast("int") + 1)
-    placed = spans.join(rows, "path").select("class", "path", at("first").alias("start_line"), at("last").alias("end_line"), "first", "last")
-    groups = placed.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("path", "start_line", "end_line", "first", "last"))).alias("fragments"))
+    spans = spans.groupBy("class", "path", "span").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.first("total").alias("total")
+    )
+    groups = spans.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("path", "start_line", "end_line", "first", "last", "total"))).alias("fragments"))
     out = groups.withColumns({"copies": F.size("fragments"), "line_count": F.expr("cast(fragments[0].last - fragments[0].first + 1 as int)")})
     out = out.where(F.col("copies") >= max(2, min_copies))
     if cross_file_only:
@@ -152,15 +159,14 @@ def shape(groups: DataFrame) -> DataFrame:
     return out.withColumn("top_ten_share", F.when(F.col("removable") > 0, F.col("top") / F.col("removable") * 100).otherwise(0.0)).drop("top")
 
 
-def per_file(groups: DataFrame, rows: DataFrame) -> DataFrame:
+def per_file(groups: DataFrame) -> DataFrame:
     """``path, total_lines, duplicated_lines, percentage`` of files with duplicates, in code lines."""
-    spans = groups.select(F.explode("fragments").alias("f")).select("f.path", "f.first", "f.last").distinct()
+    spans = groups.select(F.explode("fragments").alias("f")).select("f.path", "f.first", "f.last", "f.total").distinct()
     order = Window.partitionBy("path").orderBy("first", "last")
     reach = F.coalesce(F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     fresh = F.greatest(F.lit(0), F.col("last") - F.greatest(F.col("first") - 1, reach))
-    covered = spans.withColumn("fresh", fresh).groupBy("path").agg(F.sum("fresh").cast("long").alias("duplicated_lines"))
-    out = covered.join(rows.select("path", F.size("rows").cast("long").alias("total_lines")), "path")
-    out = out.select("path", "total_lines", "duplicated_lines", (F.col("duplicated_lines") / F.col("total_lines") * 100).alias("percentage"))
+    covered = spans.withColumn("fresh", fresh).groupBy("path").agg(F.first("total").cast("long").alias("total_lines"), F.sum("fresh").cast("long").alias("duplicated_lines"))
+    out = covered.withColumn("percentage", F.col("duplicated_lines") / F.col("total_lines") * 100)
     return out.orderBy(F.desc("duplicated_lines"), path_order())
 
 

@@ -1,7 +1,8 @@
 """The eight analyses over files, history and blame given as DataFrames.
 
 ``files`` has ``path, content, role``; ``commits`` has ``ord, time, email, name``; ``changes`` has ``ord, path, added,
-deleted``; ``blame`` has ``path, line, time``; ``changed`` has ``path``. Each analysis returns DataFrames by name.
+deleted``; ``blame`` has ``path, line, time``; ``changed`` has ``path``. Each analysis returns DataFrames by name. Where
+several of them need the same few numbers of each file, those are computed once and cut from their lineage.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from copse.operators import complexity, context, counts, drift, duplication, history, scan, verdicts
+from copse.session import cut
 
 
 def _sources(files: DataFrame, include_all: bool, changed: DataFrame | None) -> DataFrame:
@@ -24,7 +26,7 @@ def _excluded(files: DataFrame, include_all: bool, changed: DataFrame | None) ->
 
 def count(files: DataFrame, include_all: bool = False, changed: DataFrame | None = None) -> dict[str, DataFrame]:
     """Lines of code. Roles are counted over all files in scope."""
-    roled = scan.measured(scan.with_lines(scan.scoped(files, changed)))
+    roled = cut(scan.measured(scan.with_lines(scan.scoped(files, changed))).select("path", "role", "language", *counts.SUMS))
     chosen = scan.included(roled, include_all)
     return {
         "languages": counts.by_language(chosen), "totals": counts.totals(chosen), "distribution": counts.distribution(chosen),
@@ -40,7 +42,7 @@ def cx(files: DataFrame, include_all: bool = False, changed: DataFrame | None =
 
 def ctx(files: DataFrame, include_all: bool = False, changed: DataFrame | None = None, budget: int = 50_000) -> dict[str, DataFrame]:
     """The cost of reading."""
-    costs = context.context(scan.with_lines(_sources(files, include_all, changed)))
+    costs = cut(context.context(scan.with_lines(_sources(files, include_all, changed))))
     return {
         "files": costs, "dirs": context.directories(costs), "totals": context.totals(costs), "navigability": context.navigability(costs),
         "worst_names": context.repeated_names(costs).limit(3), "tiers": context.budget_tiers(costs, budget), "excluded": _excluded(files, include_all, changed),
@@ -53,8 +55,8 @@ def dup(
     """Duplication. A changed set limits what is reported, not where copies are looked for."""
     lexed = scan.with_lines(scan.included(files, include_all))
     rows = duplication.code_rows(lexed)
-    groups = duplication.clones(rows, min_lines, min_copies, cross_file_only)
-    per_file = duplication.per_file(groups, rows)
+    groups = cut(duplication.clones(rows, min_lines, min_copies, cross_file_only))
+    per_file = duplication.per_file(groups)
     if changed is not None:
         groups, per_file, rows = duplication.touching(groups, changed), scan.scoped(per_file, changed), scan.scoped(rows, changed)
     out = {
@@ -81,7 +83,7 @@ def refactor(
     """Which files to refactor."""
     lexed = scan.with_lines(_sources(files, include_all, changed))
     kept = history.commits_of(commits, include_bots)
-    inputs = verdicts.refactor_input(scan.measured(lexed), context.context(lexed), history.file_changes(kept, changes))
+    inputs = cut(verdicts.refactor_input(scan.measured(lexed), context.context(lexed), history.file_changes(kept, changes)))
     judged = verdicts.refactor(inputs)
     return {
         "candidates": judged, "ranked": verdicts.rank_refactor(judged, sort), "limits": verdicts.refactor_limits(inputs),
@@ -101,8 +103,7 @@ def agent(files: DataFrame, include_all: bool = False, changed: DataFrame | None
     """Which files are risky to edit unattended. Copies are looked for in the files in scope."""
     lexed = scan.with_lines(_sources(files, include_all, changed))
     scored = complexity.complexity(scan.measured(lexed))
-    rows = duplication.code_rows(lexed)
-    copies = duplication.per_file(duplication.clones(rows, min_lines), rows)
-    inputs = verdicts.agent_input(scored, context.context(lexed), copies)
+    copies = duplication.per_file(duplication.clones(duplication.code_rows(lexed), min_lines))
+    inputs = cut(verdicts.agent_input(scored, context.context(lexed), copies))
     judged = verdicts.agent(inputs)
     return {"candidates": judged, "limits": verdicts.agent_limits(inputs), "verdicts": verdicts.histogram(judged, verdicts.AGENT), "excluded": _excluded(files, include_all, changed)}

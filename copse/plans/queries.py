@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from copse.functions import paths, text
 from copse.operators import complexity, context, counts, drift, duplication, history, scan, verdicts
 from copse.plans import analyses
+from copse.session import cut
 
 EXTENSIONS = (".ts", ".py", ".sql", ".rb", ".md", ".json", ".css", ".lua", ".go")
 #: What stands in for words of a document, in this order.
@@ -81,6 +82,11 @@ def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.measured(_sources(spark, sf_dir))
 
 
+def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The few numbers of each file that several aggregates need, computed once."""
+    return cut(_measured(spark, sf_dir).select("path", "role", "language", *counts.SUMS))
+
+
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -98,11 +104,11 @@ def count_totals(spark, sf_dir):
 
 
 def size_distribution(spark, sf_dir):
-    return counts.distribution(_measured(spark, sf_dir))
+    return counts.distribution(_numbers(spark, sf_dir))
 
 
 def concentration(spark, sf_dir):
-    return _rounded(counts.concentration(_measured(spark, sf_dir)), "share")
+    return _rounded(counts.concentration(_numbers(spark, sf_dir)), "share")
 
 
 def largest_files(spark, sf_dir):
@@ -147,7 +153,7 @@ def complexity_breakdown(spark, sf_dir):
 
 
 def densest_window(spark, sf_dir):
-    return complexity.densest_windows(_sources(spark, sf_dir))
+    return complexity.complexity(_measured(spark, sf_dir)).where("densest > 0").select("path", "densest")
 
 
 def token_estimate(spark, sf_dir):
@@ -260,11 +266,11 @@ def dup_ranked(spark, sf_dir):
 
 
 def dup_shape(spark, sf_dir):
-    return _rounded(duplication.shape(_clones(spark, sf_dir)), "under_ten", "top_ten_share")
+    return _rounded(duplication.shape(cut(_clones(spark, sf_dir))), "under_ten", "top_ten_share")
 
 
 def dup_per_file(spark, sf_dir):
-    return _rounded(duplication.per_file(_clones(spark, sf_dir), _rows(spark, sf_dir)), "percentage")
+    return _rounded(duplication.per_file(_clones(spark, sf_dir)), "percentage")
 
 
 def dup_focus(spark, sf_dir):

@@ -50,15 +50,15 @@ def test_order_and_copies(spark):
     files = {"t1.ts": block("t", 5), "t2.ts": block("t", 5), "t3.ts": block("t", 5), "p1.ts": block("q", 5), "p2.ts": block("q", 5)}
     got, groups, rows = found(spark, files, 5, 2)
     assert [len(f) for _, f in got] == [3, 2]
-    per_file = duplication.per_file(groups, rows)
+    per_file = duplication.per_file(groups)
     assert per_file.count() == 5 and duplication.headline(per_file, rows).first().duplicated_lines == 25
     got, groups, rows = found(spark, files, 5, 3)
-    assert len(got) == 1 and duplication.headline(duplication.per_file(groups, rows), rows).first().asDict() == {"total_lines": 25, "duplicated_lines": 15, "percentage": 60.0}
+    assert len(got) == 1 and duplication.headline(duplication.per_file(groups), rows).first().asDict() == {"total_lines": 25, "duplicated_lines": 15, "percentage": 60.0}
 
 
 def test_nothing(spark):
     got, groups, rows = found(spark, {"a.ts": ["x"]}, 5)
-    assert got == [] and duplication.per_file(groups, rows).count() == 0
+    assert got == [] and duplication.per_file(groups).count() == 0
     assert duplication.shape(groups).first().asDict() == {"groups": 0, "removable": 0, "max_lines": 0, "under_ten": 0.0, "within_file": 0, "same_directory": 0, "same_package": 0, "cross_package": 0, "median_lines": 0, "top_ten_share": 0.0}
     empty = {"e.ts": []}
     assert found(spark, empty, 5)[0] == []
