@@ -97,7 +97,7 @@ def radius_for(similarity: float, bits: int) -> int:
     return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5, seeds: tuple[int, ...] = (42, 43), segment_count: int = 6) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5, seeds: tuple[int, ...] = (42, 43, 44), segment_count: int = 9) -> DataFrame:
     """``docs`` without all but the smallest id of each group of near copies.
 
     Groups are the components of fingerprints no further apart than ``radius_for(similarity)``. Of rows with one
