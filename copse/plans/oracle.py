@@ -6,7 +6,7 @@ from copse.functions import text
 from copse.functions.languages import BOOLEANS, DECISIONS, LOOPS, NAMES, SYNTAX
 from copse.functions.paths import DOC_DIRS, DOC_EXTENSIONS, GENERATED_FILE, GENERATED_HEADER, OWN_REPORT, TEST_DIRS, TEST_FILE, VENDOR_DIRS, glob_pattern
 from copse.operators.history import BOT_ACCOUNTS
-from copse.operators.verdicts import MIN_BUSY
+from copse.operators.verdicts import AGENT, DIFFUSE, DUPLICATED, MIN_BUSY, MIN_DENSE, MIN_LARGE
 from copse.plans.queries import EXTENSIONS, GLOBS, LOOSE, MARKS
 
 
@@ -143,6 +143,26 @@ PARTS: dict[str, str] = {
         row_number() OVER (PARTITION BY path ORDER BY line) - 1 AS i FROM rows_ WHERE role = 'source' AND kind = 'code'""",
     "windowed": """SELECT path, i, string_agg(t, chr(10)) OVER w AS key, count(*) OVER w AS n FROM code_rows WINDOW w AS (PARTITION BY path ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)""",
     "dup_classes": "SELECT key, count(*) AS copies FROM windowed WHERE n = 5 GROUP BY key HAVING count(*) > 1",
+    # a block is a repeated window with all lines before and after it that its occurrences have in common
+    "occurrences": "SELECT w.path, w.i, w.key, c.copies FROM windowed w JOIN dup_classes c USING (key) WHERE w.n = 5",
+    "lines_after": """SELECT o.key, c.i - o.i - 4 AS d, count(*) AS m, count(DISTINCT c.t) AS u, any_value(o.copies) AS copies
+        FROM occurrences o JOIN code_rows c ON c.path = o.path AND c.i > o.i + 4 GROUP BY o.key, c.i - o.i - 4""",
+    "lines_before": """SELECT o.key, o.i - c.i AS d, count(*) AS m, count(DISTINCT c.t) AS u, any_value(o.copies) AS copies
+        FROM occurrences o JOIN code_rows c ON c.path = o.path AND c.i < o.i GROUP BY o.key, o.i - c.i""",
+    "extents": """SELECT key, coalesce(max(d) FILTER (WHERE side = 'after'), 0) AS r, coalesce(max(d) FILTER (WHERE side = 'before'), 0) AS l FROM (
+        SELECT key, side, d, min(CASE WHEN m = copies AND u = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY key, side ORDER BY d) AS same, row_number() OVER (PARTITION BY key, side ORDER BY d) AS k
+        FROM (SELECT *, 'after' AS side FROM lines_after UNION ALL SELECT *, 'before' AS side FROM lines_before)) WHERE same = 1 AND k = d GROUP BY key""",
+    "raw_spans": "SELECT o.key, o.path, o.i - coalesce(l, 0) AS first, o.i + 4 + coalesce(r, 0) AS last FROM occurrences o LEFT JOIN extents USING (key)",
+    "apart": """SELECT *, sum(fresh) OVER (PARTITION BY key, path ORDER BY first, last ROWS UNBOUNDED PRECEDING) AS span FROM (SELECT *, CASE WHEN first <= max(last) OVER
+        (PARTITION BY key, path ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM raw_spans)""",
+    "whole_spans": "SELECT key, path, min(first) AS first, max(last) AS last FROM apart GROUP BY key, path, span",
+    "placed": """SELECT s.*, a.line AS start_line, b.line AS end_line FROM whole_spans s JOIN code_rows a ON a.path = s.path AND a.i = s.first
+        JOIN code_rows b ON b.path = s.path AND b.i = s.last""",
+    "clone_groups": """SELECT fragments, min(key) AS key, any_value(copies) AS copies, any_value(files) AS files, any_value(lines) AS lines FROM (
+        SELECT key, string_agg(path || ':' || start_line || ':' || end_line, ',' ORDER BY path, start_line) AS fragments, count(*) AS copies, list_sort(list(DISTINCT path)) AS files,
+        arg_min(last - first + 1, path || chr(1) || lpad(start_line::VARCHAR, 9, '0')) AS lines FROM placed GROUP BY key HAVING count(*) > 1) GROUP BY fragments""",
+    "clone_files": """SELECT s.path, count(DISTINCT c.i) AS duplicated_lines FROM placed s JOIN clone_groups USING (key) JOIN code_rows c ON c.path = s.path AND c.i BETWEEN s.first AND s.last GROUP BY s.path""",
+    "clone_totals": "SELECT path, count(*) AS total_lines FROM code_rows GROUP BY path",
 }
 
 
@@ -176,6 +196,14 @@ _RENAMES = """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'src/' || p_bra
     CASE WHEN p_partkey % 3 = 0 THEN 'src/' || p_type || '/f' || p_partkey::VARCHAR WHEN p_partkey % 3 = 1 THEN p_type ELSE p_brand || '/x' END AS new_path FROM part"""
 _SIZES = " ".join(f"WHEN code < {bound} THEN {_q(label)}" for bound, label in text.SIZE_TIERS)
 
+_AGENT_INPUT = """(SELECT s.path, code, density, concentration, tokens, coalesce(duplicated_lines / total_lines * 100, 0) AS duplication
+    FROM scored s JOIN costs USING (path) LEFT JOIN clone_files USING (path) LEFT JOIN clone_totals USING (path) WHERE code > 0)"""
+_RISKS = f"""list_filter([CASE WHEN density >= dense AND density > 0 THEN 'dense' END, CASE WHEN tokens >= large AND tokens > 0 THEN 'large' END,
+    CASE WHEN duplication >= {DUPLICATED} THEN 'duplicated' END, CASE WHEN density >= dense AND density > 0 AND concentration > 0 AND concentration < {DIFFUSE} THEN 'diffuse' END], lambda r: r IS NOT NULL)"""
+_AGENT = f"""SELECT path, round(density, 6) AS density, round(concentration, 6) AS concentration, tokens, round(duplication, 6) AS duplication, array_to_string(risks, ',') AS risks,
+    CASE WHEN len(risks) = 0 THEN 'safe' WHEN len(risks) = 1 THEN 'review' ELSE 'human' END AS verdict FROM (SELECT *, {_RISKS} AS risks FROM (SELECT *,
+    greatest({MIN_DENSE}, {_quantile(_AGENT_INPUT, 'density', 0.75)}) AS dense, greatest({MIN_LARGE}, {_quantile(_AGENT_INPUT, 'tokens', 0.75)}) AS large FROM {_AGENT_INPUT}))"""
+
 ORACLE_SQL: dict[str, str] = {
     "line_kinds": _with("SELECT path, language, code, comment, blank, total FROM measured"),
     "count_by_language": _with(f"SELECT language, count(*) AS files, {_SUMS} FROM chosen GROUP BY language"),
@@ -226,6 +254,27 @@ ORACLE_SQL: dict[str, str] = {
     "comment_drift": _with("SELECT path, blocks, drifted FROM drifts"),
     "drift_summary": _with("SELECT count(*) AS files_checked, sum(blocks)::BIGINT AS blocks, sum(drifted)::BIGINT AS drifted FROM drifts"),
     "dup_windows": _with("SELECT copies, count(*) AS classes FROM dup_classes GROUP BY copies"),
+    "drift_candidates": _with("SELECT path FROM chosen WHERE comment > 0 ORDER BY comment DESC, path LIMIT 50"),
+    "dup_clones": _with("SELECT lines::INT AS line_count, copies::INT AS copies, fragments FROM clone_groups"),
+    "dup_cross_file": _with("SELECT lines::INT AS line_count, copies::INT AS copies, fragments FROM clone_groups WHERE copies >= 3 AND len(files) > 1"),
+    "dup_ranked": _with("SELECT array_to_string(files, ',') AS files, copies::INT AS copies, lines::INT AS line_count, (lines * (copies - 1))::INT AS removable FROM clone_groups"),
+    "dup_per_file": _with(
+        "SELECT path, total_lines, duplicated_lines, round(duplicated_lines / total_lines * 100, 6) AS percentage FROM clone_files JOIN clone_totals USING (path)"
+    ),
+    "dup_focus": _with(
+        """SELECT lines::INT AS line_count, copies::INT AS copies, fragments FROM clone_groups WHERE key IN
+        (SELECT key FROM placed WHERE path IN (SELECT path FROM document_files WHERE doc_id % 7 = 0))"""
+    ),
+    "dup_shape": _with(
+        f"""SELECT count(*) AS groups, sum(removable)::BIGINT AS removable, max(lines)::INT AS max_lines, round(count(*) FILTER (WHERE lines < 10) / count(*) * 100, 6) AS under_ten,
+        count(*) FILTER (WHERE place = 0) AS within_file, count(*) FILTER (WHERE place = 1) AS same_directory, count(*) FILTER (WHERE place = 2) AS same_package, count(*) FILTER (WHERE place = 3) AS cross_package,
+        {_quantile('clone_groups', 'lines', 0.5)}::INT AS median_lines, round(sum(removable) FILTER (WHERE r <= 10) / sum(removable) * 100, 6) AS top_ten_share
+        FROM (SELECT *, row_number() OVER (ORDER BY removable DESC) AS r FROM (SELECT lines, lines * (copies - 1) AS removable, CASE WHEN len(files) = 1 THEN 0
+            WHEN len(list_distinct(list_transform(files, lambda p: regexp_replace(p, '/?[^/]*$', '')))) = 1 THEN 1
+            WHEN len(list_distinct(list_transform(files, lambda p: string_split(regexp_replace(p, '/?[^/]*$', ''), '/')[1:2]))) = 1 THEN 2 ELSE 3 END AS place FROM clone_groups))"""
+    ),
+    "agent_risk": _with(_AGENT),
+    "agent_verdicts": _with(f"SELECT {', '.join(f"count(*) FILTER (WHERE verdict = '{v}') AS {v}" for v in AGENT)} FROM ({_AGENT})"),
     "refactor_verdicts": _with(
         f"""SELECT path, changes, churn, round(momentum, 6) AS momentum, tokens * changes AS recurring_tokens, CASE WHEN code > 0 THEN round(churn / code * 100, 6) ELSE 0 END AS churn_ratio,
         CASE WHEN changes = 0 THEN 'inert' WHEN NOT (momentum >= busy AND changes >= {MIN_BUSY}) THEN 'quiet' WHEN density >= dense THEN 'refactor' WHEN tokens >= costly THEN 'split' ELSE 'watch' END AS verdict
