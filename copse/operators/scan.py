@@ -70,11 +70,34 @@ def quantiles(values: DataFrame, column: str, fraction: float, by: Sequence[str]
     return placed.select(*by, F.col(column).alias("value"))
 
 
+#: Accuracy of the sketch that brackets a quantile of many different values: ranks are off by a share of 1 / ACCURACY.
+ACCURACY = 10_000
+
+
 def one_value(values: DataFrame, column: str, fraction: float, name: str) -> DataFrame:
-    """The quantile of a whole table as one row, 0 if it is empty."""
+    """The quantile of a whole table as one row, 0 if it is empty; for columns of few different values, as counts are."""
     return quantiles(values, column, fraction).agg(F.coalesce(F.max("value"), F.lit(0)).alias(name))
 
 
+def wide_value(values: DataFrame, column: str, fraction: float, name: str) -> DataFrame:
+    """As ``one_value``, for columns that may have as many different values as rows.
+
+    A sketch brackets the quantile first, so that only the few values in the bracket are put in order; the values
+    below it are only counted. ``values`` is read three times: give it as a table or checkpoint.
+    """
+    edges = [max(0.0, fraction - 2 / ACCURACY), min(1.0, fraction + 2 / ACCURACY)]
+    found = values.agg(F.percentile_approx(column, edges, ACCURACY).alias("e"), F.count(column).alias("total"))
+    bracket = found.select(F.col("e")[0].alias("low"), F.col("e")[1].alias("high"), "total")
+    met = values.select(column).crossJoin(F.broadcast(bracket))
+    below = met.agg(F.count_if(F.col(column) < F.col("low")).alias("below"), F.max("total").alias("total"))
+    inside = met.where(F.col(column).between(F.col("low"), F.col("high"))).groupBy(column).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
+    placed = inside.withColumn("upto", upto).crossJoin(F.broadcast(below)).withColumn("upto", F.col("upto") + F.col("below"))
+    index = F.least(F.col("total") - 1, F.floor(F.col("total") * F.lit(float(fraction))))
+    chosen = placed.where((F.col("upto") > index) & (F.col("upto") - F.col("n") <= index))
+    return chosen.agg(F.coalesce(F.max(column), F.lit(0)).alias(name))
+
+
 def path_order() -> Column:
     """Paths as people sort them: by the root collation."""
     return F.expr("path COLLATE UNICODE")

@@ -125,6 +125,17 @@ def test_counts(spark):
     assert [r.path for r in counts.largest(files, 2).collect()] == ["a.ts", "b.ts"]
 
 
+def test_bracketed_quantiles_are_exact(spark):
+    import random
+
+    rng = random.Random(1)
+    for values in ([], [3.5], [rng.random() for _ in range(3000)], [round(rng.random(), 1) for _ in range(500)], [0.0] * 9 + [1.0]):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        for f in (0.0, 0.5, 0.75, 0.9, 1.0):
+            want = sorted(values)[min(len(values) - 1, int(len(values) * f))] if values else 0
+            assert scan.wide_value(df, "v", f, "q").first().q == want
+
+
 def test_quantile_and_concentration(spark):
     of = lambda values, f: scan.one_value(spark.createDataFrame([(v,) for v in values], "v long"), "v", f, "q").first().q
     assert of([1, 2, 3, 4], 0.5) == 3 and of([4, 3, 2, 1], 0.9) == 4 and of([], 0.5) == 0 and of([7], 0.99) == 7 and of([1, 1, 1, 9], 0.5) == 1
