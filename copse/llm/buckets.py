@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Groups up to this size are compared by shifting the sorted rows against themselves, all keys at once.
 SMALL_GROUP = 8
+#: Groups up to this size are spanned by their shortest links.
+NEAREST = 2048
 
 
 def _bits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -23,8 +25,25 @@ def _bits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _span(ids: np.ndarray, words: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the graph of rows within the radius: breadth first over what is left."""
+    """Edges of a spanning forest of the graph of rows within the radius.
+
+    Up to ``NEAREST`` rows, each is linked to the nearest row that is linked already; more rows are linked breadth
+    first, which looks only at those not yet linked and so stays close to linear in dense groups.
+    """
     edges: list[tuple[int, int]] = []
+    if len(ids) <= NEAREST:
+        left, at = np.arange(1, len(ids)), 0
+        best, whom = _bits(words[left], words[0]), np.zeros(len(left), dtype=np.int64)
+        while len(left):
+            k = int(best.argmin())
+            at = left[k]
+            if best[k] <= radius:
+                edges.append((ids[whom[k]], ids[at]))
+            left, best, whom = np.delete(left, k), np.delete(best, k), np.delete(whom, k)
+            apart = _bits(words[left], words[at])
+            nearer = apart < best
+            best, whom = np.where(nearer, apart, best), np.where(nearer, at, whom)
+        return edges
     left = np.arange(len(ids))
     while len(left):
         frontier, left = [left[0]], left[1:]
