@@ -73,6 +73,8 @@ def build_parser() -> argparse.ArgumentParser:
             p.add_argument("--" + gate[0].replace("_", "-"), dest="gate", type=token_count if name in ("ctx", "refactor") else percentage if name in ("dup", "comments") else float)
     at = commands.choices
     at["count"].add_argument("--readme", action="store_true")
+    at["count"].add_argument("--distribution", dest="more", action="store_const", const=("medianCode", "p90Code", "maxCode"), default=())
+    at["cx"].add_argument("--explain", dest="more", action="store_const", const=("branch", "loop", "bool"), default=())
     at["dup"].add_argument("--min-copies", type=positive, default=2)
     for flag in ("--cross-file", "--renamed", "--churn"):
         at["dup"].add_argument(flag, action="store_true")
@@ -130,7 +132,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     elif result is None:
         print({"no-git": "no version history here", "no-comments": "no comments here"}[outcome.unavailable])
     else:
-        print(render.text(args.command, result, args.top))
+        print(render.text(args.command, result, args.top, getattr(args, "more", ())))
         if args.command == "refactor" and args.price is not None:
             cost = sum(c["recurringTokens"] for c in result["candidates"]) / 1e6 * args.price
             print(f"\nrereading at {render.money(args.price)} a million tokens: {render.money(cost)}")

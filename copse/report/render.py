@@ -78,16 +78,26 @@ SUMMARIES = {
 }
 
 
-def text(command: str, result: dict[str, Any], top: int | None = None) -> str:
-    """A summary line and the listings of a result, ``top`` rows each."""
+#: What a verdict or risk means.
+REASONS = {
+    "refactor": "dense logic that changes often", "split": "costly to read and changed often, with simple logic", "watch": "changes often but is cheap to read", "quiet": "rarely changes",
+    "inert": "did not change in this window", "safe": "no sign of risk", "review": "one sign of risk: read the diff", "human": "several signs of risk: decide the design first",
+}
+
+
+def text(command: str, result: dict[str, Any], top: int | None = None, more: Sequence[str] = ()) -> str:
+    """A summary line and the listings of a result, ``top`` rows each; ``more`` names columns that the first listing adds."""
     parts = ["  ".join(f"{k}: {number(result[k])}" for k in SUMMARIES[command])]
     if command == "dup":
         body = [[c["lineCount"], len(c["fragments"]), ", ".join(f"{f['path']}:{f['startLine']}-{f['endLine']}" for f in c["fragments"])] for c in result["clones"]]
         parts.append(table(["lines", "copies", "where"], body[:top]))
-    for key, columns in LISTINGS[command]:
+    for i, (key, columns) in enumerate(LISTINGS[command]):
+        columns = [*columns, *more] if i == 0 else columns
         parts.append(table(columns, [[r.get(c) for c in columns] for r in result[key][:top]]))
     if "verdicts" in result:
-        parts.append("  ".join(f"{k}: {v}" for k, v in result["verdicts"].items()))
+        parts.append("\n".join(f"{k}: {v} ({REASONS[k]})" for k, v in result["verdicts"].items()))
+    if "window" in result:
+        parts.append(f"{number(result['totalTokens'] / result['window'] * 100)} % of a window of {compact(result['window'])} tokens")
     left = result.get("excluded", {}).get("files", 0)
     if left:
         parts.append(f"{number(left)} files left out: " + ", ".join(f"{r['role']} {r['files']}" for r in result["excluded"]["roles"]))

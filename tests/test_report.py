@@ -44,6 +44,8 @@ def test_json_of_every_analysis(capsys, spark, project):
 def test_text_gates_and_errors(capsys, spark, project):
     code, out, _ = ran(capsys, spark, "dup", str(project))
     assert code == 0 and "src/a.ts:1-6, src/b.ts:2-7" in out
+    assert "branch  loop  bool" in ran(capsys, spark, "cx", str(project), "--explain")[1] and "medianCode" in ran(capsys, spark, "count", str(project), "--distribution")[1]
+    assert "% of a window of 200k tokens" in ran(capsys, spark, "ctx", str(project))[1] and "safe: 0 (no sign of risk)" in ran(capsys, spark, "agent", str(project))[1]
     assert ran(capsys, spark, "dup", str(project), "--max-duplication", "99")[0] == 2 and ran(capsys, spark, "dup", str(project), "--max-duplication", "100%")[0] == 0
     assert ran(capsys, spark, "ctx", str(project), "--max", "1")[0] == 2 and ran(capsys, spark, "ctx", str(project), "--max", "1m")[0] == 0
     code, _, err = ran(capsys, spark, "count", str(project / "none"))
