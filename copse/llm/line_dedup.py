@@ -13,8 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from copse.llm.common import cut
+
 #: A line goes if it stands on more than this share of its host's pages, and on this many pages at least.
 RATIO, MIN_PAGES = 0.1, 3
+#: Keys of hosts and lines, of 16 bytes, up to which they are broadcast.
+BROADCAST_KEYS = 262_144
 
 
 def _lines(text: str) -> Column:
@@ -53,7 +57,9 @@ def drop_boilerplate(
     ``n_dropped`` are replaced. An empty table gives an empty result.
     """
     names = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
-    flagged = boilerplate(pages, host, text, ratio, min_pages).select(F.col("host_key").alias("__host"), F.col("lines").alias("__flagged"))
+    flagged = cut(boilerplate(pages, host, text, ratio, min_pages)).select(F.col("host_key").alias("__host"), F.col("lines").alias("__flagged"))
+    keys = flagged.agg(F.coalesce(F.sum(F.size("__flagged") + 1), F.lit(0))).first()[0]
+    flagged = F.broadcast(flagged) if keys <= BROADCAST_KEYS else flagged
     met = pages.select(*[F.col(f"`{c}`") for c in names], _host_key(host).alias("__host")).join(flagged, "__host", "left")
     drops = lambda x: F.array_contains("__flagged", _line_key(x)) & (F.trim(x) != "")
     kept = F.when(F.col("__flagged").isNull(), _lines(text)).otherwise(F.filter(_lines(text), lambda x: ~drops(x)))

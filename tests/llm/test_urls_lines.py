@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from copse.llm import line_dedup, urls
 
 
@@ -86,7 +88,9 @@ def slow_lines(rows, ratio, least):
     return out
 
 
-def test_line_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("keys", [0, line_dedup.BROADCAST_KEYS])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, keys):
+    monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", keys)
     rng = random.Random(2)
     lines = ["footer", "nav", "", "  ", "Footer", "été", *(f"own {i}" for i in range(60))]
     weights = [20, 10, 8, 3, 4, 4] + [1] * 60
