@@ -2,7 +2,8 @@
 
 Each table key is an equality-join key. Its rows are dealt and sorted by Spark, and a task reads them as a
 stream, one key at a time. Inside a key, every member is compared with those that are not yet linked to it,
-so that the links found span exactly the members' components but never list all pairs of a group.
+so that the links found span exactly the members' components but never list all pairs of a group. A key with
+more members than a task should hold is dealt in parts, and every two parts meet in a task of their own.
 """
 
 from __future__ import annotations
@@ -14,10 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from copse.llm.common import cut
+
 #: Groups up to this size are compared by shifting the sorted rows against themselves, all keys at once.
 SMALL_GROUP = 8
 #: Groups up to this size are spanned by their shortest links.
 NEAREST = 2048
+#: Members of a key above which it is dealt in parts; a task then holds two parts.
+HOT_KEY = 32_768
 
 
 def _bits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -104,12 +109,28 @@ def _linker(words: list[str], radius: int):
     return run
 
 
-def links(nodes: DataFrame, words: list[str], keys: list[Column], radius: int) -> DataFrame:
+def _dealt(rows: DataFrame, limit: int) -> DataFrame:
+    """``rows`` with each key of more than ``limit`` members in parts, of which every two share a key of their own.
+
+    Two members of a part meet wherever that part does, so nothing that shared a key is kept apart.
+    """
+    hot = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit))
+    if hot.isEmpty():
+        return rows
+    parts = hot.select("key", F.greatest(F.lit(2), F.ceil(F.col("n") / limit)).cast("int").alias("parts"))
+    met = rows.join(parts, "key", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("part"))
+    pair = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
+    split = met.withColumn("other", F.explode_outer(F.when(F.col("parts").isNotNull(), others)))
+    return split.withColumn("key", F.when(F.col("parts").isNull(), F.col("key")).otherwise(pair)).select(*rows.columns)
+
+
+def links(nodes: DataFrame, words: list[str], keys: list[Column], radius: int, hot_key: int = HOT_KEY) -> DataFrame:
     """Edges ``(a, b)`` between ids of ``nodes`` that share a key and differ in at most ``radius`` bits.
 
     ``nodes`` has one row for each different fingerprint: ``id`` (long) and its ``words`` (longs). Within every
-    key the edges connect exactly what the radius connects. A task holds one key's rows, 16 bytes and a
-    fingerprint each.
+    key the edges connect exactly what the radius connects. A task holds about twice ``hot_key`` rows of a key at
+    most, 16 bytes and a fingerprint each.
     """
-    rows = nodes.select(F.explode(F.array(*keys)).alias("key"), "id", *words)
+    rows = _dealt(nodes.select(F.explode(F.array(*keys)).alias("key"), "id", *words), hot_key)
     return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_linker(words, radius), "a long, b long").distinct()

@@ -83,6 +83,38 @@ def test_large_groups_and_repeated_rows(spark):
     assert sorted((r.component_id for r in got if r.doc_id is None), key=str) == sorted([want[5], None], key=str)
 
 
+@pytest.mark.parametrize("limit", [1, 7, 50, 1000])
+def test_hot_keys_in_parts_lose_no_link(spark, limit):
+    from pyspark.sql import functions as F
+
+    from copse.llm import buckets
+
+    rng = random.Random(limit)
+    base = rng.getrandbits(64)
+    prints = {i: base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for i in range(150)}
+    far = base
+    for i in range(150, 200):
+        far ^= sum(1 << b for b in rng.sample(range(64), 4))
+        prints[i] = far
+    once = {p: i for i, p in reversed(prints.items())}
+    rows = [(i, p - 2**64 if p >= 2**63 else p) for p, i in once.items()]
+    keys = simhash_dedup.variant_keys([F.col("w0")], 3)
+    edges = buckets.links(spark.createDataFrame(rows, "id long, w0 long"), ["w0"], keys, 4, hot_key=limit)
+    nodes = {i: p for p, i in once.items()}
+    root = {i: i for i in nodes}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in edges.collect():
+        assert (nodes[a] ^ nodes[b]).bit_count() <= 4
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    assert {i: find(i) for i in nodes} == slow_components(nodes, 4)
+
+
 def test_block_tables_find_all_within_the_radius(spark):
     rng = random.Random(4)
     prints = {}
