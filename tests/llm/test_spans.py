@@ -96,6 +96,11 @@ def test_long_texts_take_linear_time():
         secrets.linked_spans(text, base)
 
 
+def test_parts_with_very_many_zeros():
+    assert pii.base_spans("1.2.3." + "0" * 6000 + "4") == [("ip", 0, 6007)]
+    assert pii.base_spans("1.2.3." + "9" * 6000) == []
+
+
 def test_documents(spark):
     texts = ["", None, "a@b.co 1.2.3.4", "password=abcdef1 " * 2, "é a@b.co"]
     df = spark.createDataFrame([(None if i == 0 else i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, found int")
