@@ -33,6 +33,9 @@ WINDOW = 32
 
 # Python's class of white space holds that of the split pattern, so \S here is never white space there
 _STABLE = re.compile(r"(?<=\S)[ \n\r\t]")
+# runs of the split pattern's white space that are one match, less the last character if text follows; the library's
+# regular expression overflows its stack on runs of about a million
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{65536,}")
 
 
 @functools.cache
@@ -79,13 +82,23 @@ def join(text: str, start: int, cut: int, end: int, left: list[int], right: list
     return left[: len(left) - tail] + enc.encode_ordinary(text[a:b]) + right[head:]
 
 
-def encode(text: str, enc: tiktoken.Encoding, leaf: int = LEAF, start: int = 0, end: int | None = None) -> list[int]:
-    """The ids of a text, by halves."""
-    end = len(text) if end is None else end
+def _halves(text: str, start: int, end: int, enc: tiktoken.Encoding, leaf: int) -> list[int]:
     if end - start <= leaf:
         return enc.encode_ordinary(text[start:end])
     cut = (start + end) // 2
-    return join(text, start, cut, end, encode(text, enc, leaf, start, cut), encode(text, enc, leaf, cut, end), enc)
+    return join(text, start, cut, end, _halves(text, start, cut, enc, leaf), _halves(text, cut, end, enc, leaf), enc)
+
+
+def encode(text: str, enc: tiktoken.Encoding, leaf: int = LEAF) -> list[int]:
+    """The ids of a text, by halves; very long runs of white space, at which tokens cannot change, by themselves."""
+    ids: list[int] = []
+    at = 0
+    for run in _LONG_SPACE.finditer(text):
+        stop = run.end() - (run.end() < len(text))
+        ids += _halves(text, at, run.start(), enc, leaf)
+        ids += enc._encode_single_piece(text[run.start() : stop])
+        at = stop
+    return ids + _halves(text, at, len(text), enc, leaf)
 
 
 def decode(ids: list[int], enc: tiktoken.Encoding, leaf: int = LEAF) -> bytes:

@@ -36,6 +36,15 @@ def test_long_texts(text):
     assert ids == ENC.encode_ordinary(text) and bpe.decode(ids, ENC) == text.encode()
 
 
+@pytest.mark.parametrize("space", [" ", "\n", "\t ", "\u3000"])
+def test_very_long_white_space(space):
+    run = space * (70_000 // len(space))
+    for text in (run, run + "x", "a" + run, f"a{run}b {run}{run}'s", f"{run}\x1c{run}1"):
+        assert bpe.encode(text, ENC) == ENC.encode_ordinary(text)
+    text = space * 1_200_000 + "end"  # on which the library's regular expression overflows
+    assert bpe.decode(bpe.encode(text, ENC), ENC) == text.encode()
+
+
 def test_documents(spark):
     texts = ["", None, "hello world", "héllo " * 3000, "hello world"]
     df = spark.createDataFrame([(i if i else None, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
