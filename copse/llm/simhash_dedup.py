@@ -115,7 +115,7 @@ def verified_duplicates(
     Candidates come from fingerprints of shorter shingles, of which an edited word changes fewer, by deletion variants
     as in ``near_duplicates``; a link stays if the sketches of both texts' shingles are similar enough. Texts with
     equal fingerprints are one node. Texts without words are no copies of one another. Rows without an id have no
-    component.
+    component. Of rows that repeat an id with other texts the greatest sketch stands for the id.
     """
     small_batches(docs.sparkSession)
     w = [f"w{i}" for i in range(len(seeds))]
@@ -138,7 +138,7 @@ def verified_duplicates(
     nodes = worded.groupBy(*w).agg(F.min("doc_id").alias("id"))
     found = cut(links(cut(nodes), w, variant_keys([F.col(n) for n in w], segment_count), radius))
     # only the sketches of documents with links move
-    own = prints.select(F.col("doc_id").alias("id"), "sketch").dropDuplicates(["id"])
+    own = prints.groupBy(F.col("doc_id").alias("id")).agg(F.max("sketch").alias("sketch"))
     sides = found.join(own.withColumnsRenamed({"id": "a", "sketch": "x"}), "a").join(own.withColumnsRenamed({"id": "b", "sketch": "y"}), "b")
     roots = components(sides.select("a", "b", "x", "y").mapInArrow(close, "a long, b long")).withColumnRenamed("node", "id")
     named = nodes.join(roots, "id", "left").select(*w, F.coalesce("root", "id").alias("component_id"))
