@@ -109,12 +109,14 @@ def _linker(words: list[str], radius: int):
     return run
 
 
-def _dealt(rows: DataFrame, limit: int) -> DataFrame:
+def _dealt(rows: DataFrame, limit: int, share: int = 1) -> DataFrame:
     """``rows`` with each key of more than ``limit`` members in parts, of which every two share a key of their own.
 
-    Two members of a part meet wherever that part does, so nothing that shared a key is kept apart.
+    Two members of a part meet wherever that part does, so nothing that shared a key is kept apart. One in ``share``
+    of the ids is counted to tell which keys these are.
     """
-    hot = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit))
+    counted = rows.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0) if share > 1 else rows
+    hot = cut(counted.groupBy("key").agg((F.count("*") * share).alias("n")).where(F.col("n") > limit))
     if hot.isEmpty():
         return rows
     parts = hot.select("key", F.greatest(F.lit(2), F.ceil(F.col("n") / limit)).cast("int").alias("parts"))

@@ -16,10 +16,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from copse.llm.buckets import links
 from copse.llm.common import cut, small_batches, text_of
-from copse.llm.components import components
 from copse.llm.fingerprints import bit_counts, majority, shingles, within
+from copse.llm.set_join import similar_components
 
 SEED, RADIUS, WORDS = 42, 4, 4
 
@@ -90,59 +89,14 @@ def near_duplicates(
     return within(prints, keys, radius, names)
 
 
-#: Least hashes of a sketch: similarities of sets whose union has no more are exact.
-SKETCH = 128
+def verified_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """``doc_id, component_id`` for rows of ``docs`` with words and an id: components of all pairs with similar shingles.
 
-
-def sketch(grams: list[bytes], size: int = SKETCH) -> bytes:
-    """The least different 32-bit hashes of shingles, in order."""
-    hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(g, SEED)[:4] for g in grams]), dtype=">u4")
-    return np.unique(hashes)[:size].astype("<u4").tobytes()
-
-
-def sketched_similarity(a: bytes, b: bytes, size: int = SKETCH) -> float:
-    """Jaccard similarity of two sets: the share of the least hashes of their union that both have."""
-    x, y = np.frombuffer(a, dtype="<u4"), np.frombuffer(b, dtype="<u4")
-    least, times = np.unique(np.concatenate([x, y]), return_counts=True)
-    return float((times[:size] == 2).mean()) if len(least) else 1.0
-
-
-def verified_duplicates(
-    docs: DataFrame, similarity: float = 0.8, words: int = 5, terms: int = 2, radius: int = 26, seeds: tuple[int, ...] = (42, 43), segment_count: int = 6
-) -> DataFrame:
-    """``doc_id, component_id`` for every row of ``docs``: components of documents with similar shingles of ``words`` words.
-
-    Candidates come from fingerprints of shorter shingles, of which an edited word changes fewer, by deletion variants
-    as in ``near_duplicates``; a link stays if the sketches of both texts' shingles are similar enough. Texts with
-    equal fingerprints are one node. Texts without words are no copies of one another. Rows without an id have no
-    component. Of rows that repeat an id with other texts the greatest sketch stands for the id.
+    Every pair whose sets of shingles of ``words`` words have this Jaccard similarity is linked, and no other; see
+    ``set_join``. Texts with equal sets are one node. Rows without an id or without words are left out. Of rows that
+    repeat an id with other texts each is linked by its own text.
     """
-    small_batches(docs.sparkSession)
-    w = [f"w{i}" for i in range(len(seeds))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            cols = np.frombuffer(b"".join(simhash(t, terms, seeds) for t in texts), dtype=">i8").astype(np.int64).reshape(-1, len(seeds))
-            own = pa.array([sketch(shingles(t, words)) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), own, *(pa.array(np.ascontiguousarray(c)) for c in cols.T)], names=["doc_id", "sketch", *w])
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = [sketched_similarity(x, y) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(near, pa.bool_())) for i in (0, 1)], names=["a", "b"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).where("doc_id IS NOT NULL")
-    prints = cut(rows.mapInArrow(run, f"doc_id long, sketch binary, {', '.join(f'{n} long' for n in w)}"))
-    worded = prints.where(F.length("sketch") > 0)
-    nodes = worded.groupBy(*w).agg(F.min("doc_id").alias("id"))
-    found = cut(links(cut(nodes), w, variant_keys([F.col(n) for n in w], segment_count), radius))
-    # only the sketches of documents with links move
-    own = prints.groupBy(F.col("doc_id").alias("id")).agg(F.max("sketch").alias("sketch"))
-    sides = found.join(own.withColumnsRenamed({"id": "a", "sketch": "x"}), "a").join(own.withColumnsRenamed({"id": "b", "sketch": "y"}), "b")
-    roots = components(sides.select("a", "b", "x", "y").mapInArrow(close, "a long, b long")).withColumnRenamed("node", "id")
-    named = nodes.join(roots, "id", "left").select(*w, F.coalesce("root", "id").alias("component_id"))
-    return worded.select("doc_id", *w).join(named, w, "left").select("doc_id", "component_id")
+    return similar_components(docs, similarity, words)
 
 
 def radius_for(similarity: float, bits: int) -> int:
