@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import pytest
+
 from copse.llm import set_join, simhash_dedup
 
 
@@ -38,5 +40,18 @@ def test_contiguous_edits_are_found(spark):
     assert got(spark, docs) == want and len(set(want.values())) < 400
 
 
+@pytest.mark.parametrize("hot", [7, 4096])
+def test_variants_of_a_template_are_one_class(spark, monkeypatch, hot):
+    monkeypatch.setattr(set_join, "HOT_KEY", hot)
+    rng, docs = random.Random(6), {}
+    base = [f"w{i}" for i in range(200)]
+    for i in range(300):
+        words = list(base)
+        for at in rng.sample(range(200), rng.choice([2, 3])):
+            words[at] = f"e{i}x{at}"
+        docs[i] = " ".join(words)
+    assert got(spark, docs) == exact_components(docs)
+
+
 def test_exact_copies_that_share_no_key_with_others(spark):
     assert got(spark, {4: "a b", 2: "A b", 7: "c", 9: ""}) == {4: 2, 2: 2, 7: 7}
