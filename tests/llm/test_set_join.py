@@ -53,5 +53,17 @@ def test_variants_of_a_template_are_one_class(spark, monkeypatch, hot):
     assert got(spark, docs) == exact_components(docs)
 
 
+def test_pairs_near_the_threshold_are_judged_on_whole_sets(spark):
+    rng, docs = random.Random(7), {}
+    for i in range(0, 200, 2):
+        base = [f"d{i}w{k}" for k in range(800)]
+        docs[i] = " ".join(base)
+        for at in rng.sample(range(0, 800, 8), rng.randint(15, 21)):
+            base[at] = "new"
+        docs[i + 1] = " ".join(base)
+    want = exact_components(docs)
+    assert got(spark, docs) == want and 110 < len(set(want.values())) < 190
+
+
 def test_exact_copies_that_share_no_key_with_others(spark):
     assert got(spark, {4: "a b", 2: "A b", 7: "c", 9: ""}) == {4: 2, 2: 2, 7: 7}
