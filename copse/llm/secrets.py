@@ -31,8 +31,12 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
 # weak parts
 _KEY_ID = re.compile(r"(?<![A-Za-z0-9])(?:A[A-Z]IA[A-Z0-9]{12,}|(?:client|account|access[_-]?key|key)[_-]?id\"?\x20?[:=]\x20?[\"']?[A-Za-z0-9_.-]{6,})")
-_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,128}={0,2}(?![A-Za-z0-9+/_=-])")
-_ENDPOINT = re.compile(r"(?<![A-Za-z0-9])(?:https?://[A-Za-z0-9.-]{3,}|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com)(?::[0-9]{2,5})?")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])")
+_URL = re.compile(r"(?<![A-Za-z0-9])https?://[A-Za-z0-9.-]{3,}(?::[0-9]{2,5})?")
+_DOMAIN = re.compile(r"\.amazonaws\.com(?::[0-9]{2,5})?")
+_LABELS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789-.")
+#: A shorter secret reports beside an identifier only, not beside an endpoint alone.
+LONG = 32
 
 Span = tuple[str, int, int]
 
@@ -66,6 +70,25 @@ def _merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """URLs, and bare hosts of a cloud domain: found from the domain, each run before it is walked once."""
+    out = [m.span() for m in _URL.finditer(text)]
+    starts, ends = _merged(out)
+    floor = 0
+    for m in _DOMAIN.finditer(text):
+        i = bisect_right(starts, m.start()) - 1
+        floor = max(floor, ends[i] if i >= 0 else 0)
+        start = m.start()
+        while start > floor and text[start - 1] in _LABELS:
+            start -= 1
+        while start < m.start() and text[start] == ".":
+            start += 1
+        if start < m.start() and not (start and text[start - 1].isascii() and text[start - 1].isalnum()):
+            out.append((start, m.end()))
+        floor = m.end()
+    return sorted(out)
+
+
 def _mixed(text: str) -> bool:
     """Whether a run looks drawn at random: small and capital letters and digits, no long repeats."""
     return bool(re.search("[a-z]", text) and re.search("[A-Z]", text) and re.search("[0-9]", text)) and len(set(text)) * 3 >= min(len(text), 48)
@@ -74,15 +97,15 @@ def _mixed(text: str) -> bool:
 def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     """Weak parts whose complements co-occur within reach.
 
-    An identifier needs a secret; a secret needs an identifier or an endpoint; an endpoint needs an identifier
-    and a secret. Spans inside base spans are not weak parts of their own.
+    An identifier needs a secret; a secret needs an identifier or, from ``LONG`` code points on, an endpoint; an
+    endpoint needs an identifier and a secret. Spans inside base spans are not weak parts of their own.
     """
     taken_from, taken_to = _merged([s[1:] for s in base])
     inside = lambda a, b: (i := bisect_right(taken_from, a) - 1) >= 0 and taken_to[i] > a or (bisect_left(taken_from, b) - bisect_left(taken_from, a)) > 0
     has_id = "IA" in text or "_id" in text or "-id" in text
     has_url = "://" in text or "amazonaws" in text
     ids = [m.span() for m in _KEY_ID.finditer(text) if not inside(*m.span())] if has_id else []
-    urls = [m.span() for m in _ENDPOINT.finditer(text) if not inside(*m.span())] if has_url else []
+    urls = [s for s in endpoints(text) if not inside(*s)] if has_url else []
     known_ids = [s[1:] for s in base if s[0] == "access"]
     if not ids and not urls and not known_ids:
         return []
@@ -90,7 +113,7 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     known_secrets = [s[1:] for s in base if s[0] != "access"]
     all_ids, all_secrets, all_urls = _merged(ids + known_ids), _merged(secrets + known_secrets), _merged(urls)
     out = [("key_id", *s) for s in ids if _near(s, *all_secrets, reach)]
-    out += [("secret", *s) for s in secrets if _near(s, *all_ids, reach) or _near(s, *all_urls, reach)]
+    out += [("secret", *s) for s in secrets if _near(s, *all_ids, reach) or (s[1] - s[0] >= LONG and _near(s, *all_urls, reach))]
     return out + [("endpoint", *s) for s in urls if _near(s, *all_ids, reach) and _near(s, *all_secrets, reach)]
 
 

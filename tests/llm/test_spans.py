@@ -1,6 +1,7 @@
 """Secrets and personal data against the plain patterns, applied as stated."""
 
 import random
+import time
 import re
 
 import pytest
@@ -71,7 +72,7 @@ def test_linking_is_a_plain_interval_join():
         base = secrets.base_spans(text)
         got = secrets.linked_spans(text, base, 60)
         inside = lambda m: any(m.start() < b and a < m.end() for _, a, b in base)  # noqa: B023, E731
-        parts = [("key_id", *m.span()) for m in secrets._KEY_ID.finditer(text) if not inside(m)] + [("endpoint", *m.span()) for m in secrets._ENDPOINT.finditer(text) if not inside(m)]
+        parts = [("key_id", *m.span()) for m in secrets._KEY_ID.finditer(text) if not inside(m)] + [("endpoint", *m.span()) for m in secrets._URL.finditer(text) if not inside(m)]
         parts += [("secret", *m.span()) for m in secrets._SECRET.finditer(text) if not inside(m) and secrets._mixed(m[0])]
         role = {"access": "key_id", "assign": "secret", "hex": "secret"}
         every = parts + [(role[k], a, b) for k, a, b in base]
@@ -89,6 +90,31 @@ def test_checks_and_context():
     assert pii.redact("mail a@b.co now", pii.find_spans("mail a@b.co now")) == "mail [EMAIL] now"
 
 
+def test_endpoints_and_lengths():
+    assert ["b.s3.amazonaws.com"] == [t[a:b] for t in ["see .b.s3.amazonaws.com."] for a, b in secrets.endpoints(t)]
+    assert [t[a:b] for t in ["https://x.amazonaws.com:443/y z-1.amazonaws.com:80, .amazonaws.com Zq.amazonaws.com"] for a, b in secrets.endpoints(t)] == ["https://x.amazonaws.com:443", "z-1.amazonaws.com:80"]
+    short, long = "aB3dE5gH7jK9mN1pQ3rS5tU7", "Zx9" * 10 + "qW3rT5yU7iO9pA1sD3fG5hJ7kL9zX1cV3bN5mQ" * 5
+    kinds = lambda t: sorted(s[0] for s in secrets.linked_spans(t, secrets.base_spans(t)))
+    assert kinds(f"client_id: my-client-7 {short}") == ["key_id", "secret"] and kinds(f"https://a.example {short}") == []
+    assert len(long) > 129 and kinds(f"https://a.example {long}") == ["secret"]
+
+
+def test_account_numbers_before_capital_words():
+    for text in ("BE68 5390 0754 7034 EUR", "ES91 2100 0418 4502 0005 1332 EUR", "BE68 5390 0754 7034 BANK", "BE68 5390 0754 7034 BE68 5390 0754 7034"):
+        found = [s for s in pii.find_spans("iban " + text) if s[0] == "iban"]
+        assert ("iban " + text)[found[0][1] : found[0][2]].replace(" ", "") in ("BE68539007547034", "ES9121000418450200051332")
+        assert len(found) == text.count("BE68") + text.count("ES91")
+
+
+@pytest.mark.parametrize(
+    "text", ["http://x " + "-" * 1_000_000, "http://x " + "a." * 500_000, "x.amazonaws.com " + "a-." * 300_000 + ".amazonaws.com" * 9, "key_id=abcdef12 " + "aB3" * 300_000, ".amazonaws.com" * 70_000, "AAIA" * 200_000]
+)
+def test_long_runs_take_linear_time(text):
+    began = time.perf_counter()
+    secrets.linked_spans(text, secrets.base_spans(text))
+    assert time.perf_counter() - began < 2
+
+
 def test_long_texts_take_linear_time():
     for text in ("a" * 300_000 + "@", "1" * 300_000, "1." * 150_000, "+1" * 100_000, "token " * 50_000, "AKIA" * 50_000, "0 " * 150_000):
         pii.find_spans(text)

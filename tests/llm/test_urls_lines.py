@@ -33,7 +33,7 @@ URLS = [
 
 def test_rules(spark):
     rows = [(i, u, "<p>", "x", "y") for i, u in enumerate(URLS)]
-    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string, host string, rule string")).collect()}
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string, host string, rule string"), spellings=True).collect()}
     assert len(got) == len(URLS)
     for i, u in enumerate(URLS):
         host, path = split(u)
@@ -62,7 +62,7 @@ def test_aliases_take_decisions_with_allow_first(spark):
         (10, "http://f.io/", link.format("/other")),
         (None, None, None),
     ]
-    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), spellings=True).collect()
     verdicts = {r.page_id: r.verdict for r in got}
     assert len(got) == len(rows)
     assert verdicts == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "allow", 8: "block", 9: "block", 10: "allow", None: "allow"}
@@ -70,6 +70,63 @@ def test_aliases_take_decisions_with_allow_first(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_links_of_every_form(spark):
+    link, page = '<link rel="canonical" href="{}">', "http://p.io/d/{}"
+    cases = {
+        "outside": (link.format("http://example.com/de/x"), "block"),
+        "relative": (link.format("b"), "block"),
+        "up": (link.format("../d/./b#x"), "block"),
+        "root": ("<link href='/d/b' rel=canonical>", "block"),
+        "scheme": (link.format("//q.net/"), "block"),
+        "second": (link.format("/free") + link.format("http://bad.net/2"), "block"),
+        "entity": (link.format("http://p.io/ask?a=1&amp;b=2"), "block"),
+        "refresh": ('<meta content="5;URL=http://bad.net/9" http-equiv=refresh>', "block"),
+        "comment": ("<!-- " + link.format("http://bad.net/") + " -->", "allow"),
+        "mail": (link.format("mailto:a@bad.net"), "allow"),
+        "other": ('<link rel="stylesheet" href="http://bad.net/"><a href="http://bad.net/">canonical</a>', "allow"),
+        "allowed": (link.format("http://bad.net/1") + link.format("http://a.org/fr/"), "allow"),
+        "self": (link.format("http://P.io/d/self#top"), "allow"),
+        "long": ("<p>canonical " * 50_000 + link.format("http://long.net/"), "block"),
+        "empty": (link.format(""), "allow"),
+    }
+    rows = [(name, page.format(name), html) for name, (html, _) in cases.items()]
+    rows += [("b", page.format("b"), link.format("http://x.net/")), ("ask", "http://p.io/ask?a=1&b=2", link.format("http://y.net/")), ("query", "http://p.io/go?url=http://bad.net/x", None)]
+    got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    assert got == {n: v for n, (_, v) in cases.items()} | {"b": "block", "ask": "block", "query": "block"}
+
+
+def test_classes_equal_union_find(spark):
+    rng = random.Random(5)
+    hosts = [*(f"h{i}.io" for i in range(60)), "bad.net", "x.org", "example.net"]
+    name = lambda: f"http://{rng.choice(hosts)}/{rng.choice(['fr', 'en', 'a'])}/{rng.randrange(8)}"
+    rows = [(i, name(), "".join(f'<link rel="canonical" href="{name()}">' for _ in range(rng.choice([0, 0, 1, 1, 2])))) for i in range(300)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for _, url, html in rows:
+        root(url)
+        for to in html.split('href="')[1:]:
+            parent[root(to.split('"')[0])] = root(url)
+    classes = {}
+    for node in list(parent):
+        classes.setdefault(root(node), set()).add((slow_rule(*split(node)) or (None, None))[1])
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    outside = {n for n in parent} - {u for _, u, _ in rows}
+    assert outside and len(got) == len(rows)
+    seen = {}
+    for r in got:
+        url = rows[r.page_id][1]
+        rule = slow_rule(*split(url))
+        decided = classes[root(url)]
+        assert (r.rule, r.verdict) == (rule or (None, "block" if "block" in decided and "allow" not in decided else "allow"))
+        assert seen.setdefault(r.alias_class, root(url)) == root(url)
+    assert len(seen) == len({root(u) for _, u, _ in rows})
+
+
 def slow_lines(rows, ratio, least):
     pages = {}
     for _, text, host in rows:
