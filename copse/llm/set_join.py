@@ -13,7 +13,7 @@ every pair that shares a key is verified on whole sets, or is connected by links
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from copse.llm.buckets import _dealt
 from copse.llm.common import cut, small_batches, text_of
 from copse.llm.components import components
-from copse.llm.fingerprints import shingles
+from copse.llm.fingerprints import bit_counts, majority, shingles
 
 SEED = 42
 #: Documents whose shingles say which are common, and how many common ones are told to all tasks. They only order.
@@ -33,6 +33,8 @@ SAMPLE, COMMON = 10_000, 32_768
 HOT_KEY = 4096
 #: One in so many sets is counted to find such keys.
 COUNTED = 16
+#: Bytes of a hash that whole sets carry, and ids of documents that are broadcast at most.
+KEPT, BROADCAST_IDS = 5, 4_000_000
 #: Each round tries so many times the distance of the one before.
 WIDER = 8
 
@@ -150,65 +152,114 @@ def may_be_similar(a: bytes, b: bytes, m: int, n: int, similarity: float) -> boo
     return (m + n - apart) * (1 + similarity) >= 2 * similarity * (m + n) - 1e-6
 
 
-def similar_components(docs: DataFrame, similarity: float, words: int) -> DataFrame:
-    """``doc_id, component_id`` for every row of ``docs`` (``doc_id, text``): components of all pairs that are similar.
+def packed(hashes: np.ndarray) -> bytes:
+    """The last ``KEPT`` bytes of each hash, which tell the shingles of any two texts apart."""
+    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :KEPT]).tobytes()
 
-    Equal sets are one node. Texts without words are no copies of one another; they have no component.
-    """
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).where("doc_id IS NOT NULL")
-    common, times = _common(docs, words)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [hashed(t, words) for t in batch.column(1).to_pylist()]
-            keys = pa.array([prefix(s, similarity, common, times) for s in sets], pa.list_(pa.int64()))
-            cols = [batch.column(0), pa.array([name_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), keys]
-            cols.append(pa.array([profile(s) for s in sets], pa.binary()))
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "node", "size", "keys", "profile"])
+def unpacked(data: bytes) -> np.ndarray:
+    """The different hashes of a packed set, ascending."""
+    out = np.zeros((len(data) // KEPT, 8), dtype=np.uint8)
+    out[:, :KEPT] = np.frombuffer(data, np.uint8).reshape(-1, KEPT)
+    return np.unique(out.view(np.int64).ravel())
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _whole(words: int):
+    """The sets of texts, by name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [hashed(t, words) for t in batch.column(0).to_pylist()]
-            cols = [pa.array([name_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            cols = [pa.array([name_of(s) for s in sets], pa.int64()), pa.array([packed(s) for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["node", "hashes"])
 
-    def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return run
+
+
+def _kept_pairs(test: Callable[..., bool]):
+    """The pairs ``a, b`` for which what stands beside them passes a test."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [may_be_similar(*x, similarity) for x in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)]
+            near = [test(*x) for x in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(near, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return run
+
+
+def verified(pairs: DataFrame, own: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame | None:
+    """The different ``pairs`` (``a < b``, names of sets) that are similar as whole sets, or None if there are none.
+
+    ``own`` has ``node, doc_id, size, profile`` of each set. Profiles rule out what cannot be similar; whole sets are
+    made of the texts of the few documents that are left, which alone leave their place.
+    """
+    sides = pairs.join(own.select(F.col("node").alias("a"), F.col("profile").alias("x"), F.col("size").alias("m")), "a")
+    sides = sides.join(own.select(F.col("node").alias("b"), F.col("profile").alias("y"), F.col("size").alias("n")), "b").select("a", "b", "x", "y", "m", "n")
+    hopeful = cut(sides.mapInArrow(_kept_pairs(lambda x, y, m, n: may_be_similar(x, y, m, n, similarity)), "a long, b long"))
+    needed = cut(hopeful.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(own.select("node", "doc_id"), "node").select("doc_id").distinct())
+    count = needed.count()
+    if not count:
+        return None
+    chosen = docs.join(F.broadcast(needed) if count <= BROADCAST_IDS else needed, "doc_id", "left_semi")
+    sets = chosen.select("text").mapInArrow(_whole(words), "node long, hashes binary").dropDuplicates(["node"])
+    both = hopeful.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
+    found = cut(both.mapInArrow(_kept_pairs(lambda x, y: jaccard(unpacked(x), unpacked(y)) >= similarity), "a long, b long"))
+    return None if found.isEmpty() else found
+
+
+def _described(docs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """``doc_id, node, size, w0, keys, profile``: the name of each text's set, its size, fingerprint, prefix and profile."""
+    common, times = _common(docs, words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = ([np.frombuffer(s, dtype=np.int64) for s in batch.column(i).to_pylist()] for i in (2, 3))
-            near = pa.array([jaccard(s, t) >= similarity for s, t in zip(x, y, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(near) for i in (0, 1)], names=["a", "b"])
-
-    prints = cut(docs.mapInArrow(run, "doc_id long, node long, size int, keys array<long>, profile binary"))
-    named = prints.where("size > 0").select("doc_id", "node")
-    nodes = prints.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys"))
-    index = nodes.select("node", "id", "size", F.posexplode("keys").alias("place", "key")).select("key", F.col("node").alias("id"), "size", "place")
+            sets = [hashed(t, words) for t in batch.column(1).to_pylist()]
+            prints = b"".join(majority(bit_counts(s.astype(">i8").view(np.uint8).reshape(-1, 8)), len(s)) for s in sets)
+            keys = pa.array([prefix(s, similarity, common, times) for s in sets], pa.list_(pa.int64()))
+            cols = [batch.column(0), pa.array([name_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())]
+            cols += [pa.array(np.frombuffer(prints, dtype=">i8").astype(np.int64)), keys, pa.array([profile(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "node", "size", "w0", "keys", "profile"])
+
+    return docs.mapInArrow(run, "doc_id long, node long, size int, w0 long, keys array<long>, profile binary").where("size > 0")
+
+
+def similar_components(docs: DataFrame, similarity: float, words: int, first: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``doc_id, component_id`` for every row of ``docs`` (``doc_id, text``): components of all pairs that are similar.
+
+    ``first`` makes pairs ``a, b`` (names of sets) of ``node, w0`` (fingerprints of the sets) that are verified
+    before any others; pairs that these connect are not tried again. Equal sets are one node. Texts without words are
+    no copies of one another; they have no component.
+    """
+    small_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).where("doc_id IS NOT NULL")
+    prints = cut(_described(docs, similarity, words))
+    every = [F.any_value(c).alias(c) for c in ("size", "w0", "keys", "profile")]
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *every)
+    own = prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *every[::3])
+    links, roots = None, None
+
+    def tried(pairs: DataFrame) -> None:
+        nonlocal links, roots
+        found = verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), own, docs, similarity, words)
+        if found is not None:
+            links = found if links is None else links.unionByName(found)
+            roots = components(links)
+
+    if first is not None:
+        tried(first(nodes.select("node", "w0")))
+    index = nodes.select(F.col("node").alias("id"), "size", F.posexplode("keys").alias("place", "key")).select("key", "id", "size", "place")
     dealt = _dealt(index, HOT_KEY, COUNTED).repartition("key").sortWithinPartitions("key", "size", "id")
     shared = cut(dealt.mapInArrow(_shared(similarity), "key long, node long, size int, place int, n long"))
     most = shared.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    # profiles and whole sets of documents that share a key; they alone leave their texts' place
-    linked = cut(prints.where("size > 0").join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("size").alias("size"), F.any_value("profile").alias("profile")))
-    sets = cut(docs.join(linked.select("doc_id").distinct(), "doc_id", "left_semi").select("text").mapInArrow(whole, "node long, hashes binary"))
-    own = linked.select("node", "profile", "size")
-    roots, verified, near, far = None, None, 0, 1
+    near, far = 0, 1
     while near < most:
         rows = shared.where(F.col("n") > near).drop("n")
         rows = rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         rows = rows.select("key", "node", "size", "place", "root").repartition("key").sortWithinPartitions("key", "size", "node")
-        pairs = rows.mapInArrow(_tried(similarity, near, far), "a long, b long").where("a <> b").distinct()
-        sides = pairs.join(own.toDF("a", "x", "m"), "a").join(own.toDF("b", "y", "n"), "b").select("a", "b", "x", "y", "m", "n")
-        pairs = sides.mapInArrow(hopeful, "a long, b long")
-        sides = pairs.join(sets.withColumnsRenamed({"node": "a", "hashes": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "hashes": "y"}), "b")
-        found = cut(sides.select("a", "b", "x", "y").mapInArrow(close, "a long, b long"))
-        if not found.isEmpty():
-            verified = found if verified is None else verified.unionByName(found)
-            roots = cut(components(verified))
+        tried(rows.mapInArrow(_tried(similarity, near, far), "a long, b long"))
         near, far = far, far * WIDER
+    named = prints.select("doc_id", "node")
     rooted = named.withColumn("root", F.col("node")) if roots is None else named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(least, "root").select("doc_id", "component_id")

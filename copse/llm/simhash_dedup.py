@@ -16,11 +16,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from copse.llm.buckets import links
 from copse.llm.common import cut, small_batches, text_of
 from copse.llm.fingerprints import bit_counts, majority, shingles, within
 from copse.llm.set_join import similar_components
 
 SEED, RADIUS, WORDS = 42, 4, 4
+#: Bits within which fingerprints of shingle sets are paired before the pairs are verified; three segments cover them.
+VERIFIED_RADIUS = 5
 
 
 def simhash(text: str, words: int, seeds: tuple[int, ...] = (SEED,)) -> bytes:
@@ -89,14 +92,27 @@ def near_duplicates(
     return within(prints, keys, radius, names)
 
 
+def close_fingerprints(nodes: DataFrame, radius: int = VERIFIED_RADIUS) -> DataFrame:
+    """``a, b``: pairs of ``nodes`` (``node, w0``) whose fingerprints are within the radius, by deletion-variant signatures.
+
+    Nodes of one fingerprint are each paired with the least of them, and fingerprints are linked by way of these.
+    """
+    leasts = cut(nodes.groupBy("w0").agg(F.min("node").alias("id"), F.count("*").alias("n")))
+    equal = nodes.join(leasts.where("n > 1"), "w0").where("node <> id").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    return equal.unionByName(links(leasts.select("id", "w0"), ["w0"], variant_keys([F.col("w0")], segments(radius)), radius))
+
+
 def verified_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
     """``doc_id, component_id`` for rows of ``docs`` with words and an id: components of all pairs with similar shingles.
 
-    Every pair whose sets of shingles of ``words`` words have this Jaccard similarity is linked, and no other; see
-    ``set_join``. Texts with equal sets are one node. Rows without an id or without words are left out. Of rows that
-    repeat an id with other texts each is linked by its own text.
+    Documents whose fingerprints lie within ``VERIFIED_RADIUS`` bits are paired by deletion-variant signatures and
+    linked if their whole sets of shingles of ``words`` words have this Jaccard similarity. Pairs that are similar
+    enough, but whose fingerprints differ more, are found among what is not linked yet by an exact way: see
+    ``set_join``. Every similar pair is linked or connected by such links, and no other. Texts with equal sets are one
+    node. Rows without an id or without words are left out. Of rows that repeat an id with other texts each is linked
+    by its own text. An empty table gives an empty result; other columns are left out.
     """
-    return similar_components(docs, similarity, words)
+    return similar_components(docs, similarity, words, close_fingerprints)
 
 
 def radius_for(similarity: float, bits: int) -> int:
