@@ -95,7 +95,7 @@ def build_parser() -> argparse.ArgumentParser:
 def _options(args: argparse.Namespace) -> runner.Options:
     own = {k: v for k, v in vars(args).items() if k in runner.Options.__dataclass_fields__ and v is not None}
     limits = {k: getattr(args, k) for k in ("min_revisions", "min_shared", "min_strength", "max_commit_size") if getattr(args, k, None) is not None}
-    return runner.Options(**own, limits=limits)
+    return runner.Options(**own, limits=limits, snippets=render.CLONES if args.command == "dup" and args.html else 0)
 
 
 def session() -> SparkSession:
@@ -127,6 +127,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         result |= {"window": args.window, "budget": args.budget}
     if result is not None and args.command == "comments":
         result["years"] = args.years
+    code = result.pop("code", []) if result is not None else []
     if args.json:
         print(render.envelope(args.command, args.dir, result, outcome.unavailable))
     elif result is None:
@@ -138,7 +139,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             print(f"\nrereading at {render.money(args.price)} a million tokens: {render.money(cost)}")
     if result is not None and args.html:
         with open(args.html, "w", encoding="utf-8") as f:
-            f.write(render.page(args.command, result))
+            f.write(render.page(args.command, result, code))
     if args.command == "count" and args.readme:
         from copse.functions.text import LARGEST_TIER, SIZE_TIERS
 

@@ -84,18 +84,18 @@ def _word_pattern(words: list[str]) -> str:
     return rf"(?<![A-Za-z0-9_])(?:{'|'.join(words)})(?![A-Za-z0-9_])"
 
 
-def decision_pattern(dialect: str, bucket: str) -> str | None:
-    """The regular expression of a bucket (branch, loop or bool) in a dialect, or None if it has none."""
+def decision_pattern(dialect: str, bucket: str | None = None) -> str | None:
+    """The regular expression of a bucket (branch, loop or bool; None: all) in a dialect, or None if it has none."""
     words, operators, _ = DECISIONS[dialect]
-    own = [w for w in words.split() if bucket == ("loop" if w in LOOPS else "bool" if w in BOOLEANS else "branch")]
+    own = [w for w in words.split() if bucket in (None, "loop" if w in LOOPS else "bool" if w in BOOLEANS else "branch")]
     found = [_word_pattern(own)] if own else []
-    if bucket == "bool":
+    if bucket in (None, "bool"):
         found += [re.escape(o) for o in operators.split()]
     return "|".join(found) or None
 
 
-def decisions(text: Column, ext: Column, bucket: str) -> Column:
-    """How many decision points of a bucket stand in code."""
+def decisions(text: Column, ext: Column, bucket: str | None = None) -> Column:
+    """How many decision points of a bucket, or of all, stand in code."""
     out, dialect = F.lit(0), dialect_name(ext)
     for name in DECISIONS:
         if pattern := decision_pattern(name, bucket):
@@ -103,24 +103,25 @@ def decisions(text: Column, ext: Column, bucket: str) -> Column:
     return out
 
 
+#: A token: a line end, symbols, up to ten characters of a word that no part ends among, or underscores alone.
+_TOKEN = (
+    rf"\n|[^{SPACE}A-Za-z0-9_]{{1,3}}|(?:[a-z](?![A-Z0-9])|[A-Z](?![0-9])|[0-9](?![A-Z])){{0,9}}[A-Za-z0-9]|(?<![A-Za-z0-9_])_++(?![A-Za-z0-9])"
+)
+
+
 def token_estimate(text: Column) -> Column:
     """Tokens that reading the text costs: line ends, a token for every three symbols of a run, and for every ten
     characters of each part of a word; parts end at underscores, before capitals and before digits. Characters beyond
-    the basic plane count as two symbols.
+    the basic plane count as two symbols. All of them are found in one pass.
     """
-    pairs = F.regexp_replace(text, r"[\x{10000}-\x{10FFFF}]", "§§")
-    parts = F.regexp_replace(text, r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])", "_")
-    return (
-        F.regexp_count(text, F.lit("\n"))
-        + F.regexp_count(pairs, F.lit(f"[^{SPACE}A-Za-z0-9_]{{1,3}}"))
-        + F.regexp_count(parts, F.lit("[A-Za-z0-9]{1,10}"))
-        + F.regexp_count(text, F.lit("(?<![A-Za-z0-9_])_+(?![A-Za-z0-9_])"))
-    ).cast("long")
+    wide = r"[\x{10000}-\x{10FFFF}]"
+    pairs = F.when(text.rlike(wide), F.regexp_replace(text, wide, "§§")).otherwise(text)
+    return F.regexp_count(pairs, F.lit(_TOKEN)).cast("long")
 
 
-def normalize_line(line: Column) -> Column:
-    """A line without white space at its ends, and with single spaces inside."""
-    return F.regexp_replace(F.regexp_replace(line, f"^[{SPACE}]+|[{SPACE}]+$", ""), f"[{SPACE}]+", " ")
+def normalize_line(lines: Column) -> Column:
+    """Lines without white space at their ends, and with single spaces inside; line ends stay."""
+    return F.regexp_replace(F.regexp_replace(lines, f"[{SPACE.replace(chr(92) + 'n', '')}]+", " "), "(?md)^ | $", "")
 
 
 # fixed values: words that stay when identifiers are masked
@@ -132,7 +133,7 @@ KEYWORDS = (
 
 
 def normalize_renamed(line: Column) -> Column:
-    """A normalised line with every identifier but keywords as ``$``."""
+    """Normalised lines with every identifier but keywords as ``$``."""
     masked = F.regexp_replace(line, rf"(?<![A-Za-z0-9_$])(?!(?:{'|'.join(KEYWORDS)})(?![A-Za-z0-9_$]))[A-Za-z_$][A-Za-z0-9_$]*", r"\$")
     return normalize_line(masked)
 

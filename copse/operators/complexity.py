@@ -14,20 +14,21 @@ def density() -> Column:
     return F.when(F.col("code") > 0, F.col("complexity") / F.col("code") * 100).otherwise(0.0)
 
 
-def _hits() -> Column:
-    """The lines that have decisions, with their number, as an array."""
-    decisions = lambda line: sum((text.decisions(line, F.col("ext"), b) for b in ("branch", "loop", "bool")), F.lit(0))
-    return F.filter(F.transform("code_lines", lambda line, i: F.struct(i.alias("line"), decisions(line).alias("n"))), lambda h: h["n"] > 0)
+def hits() -> Column:
+    """The lines of ``with_lines`` that have decisions, with their number, as an array."""
+    counted = F.transform("code_lines", lambda line, i: F.struct(i.alias("line"), text.decisions(line, F.col("ext")).alias("n")))
+    return F.filter(counted, lambda h: h["n"] > 0)
 
 
 def complexity(files: DataFrame, window: int = text.DENSEST_WINDOW) -> DataFrame:
     """``path, language, complexity, code, density, branch, loop, bool, densest, concentration`` of measured files.
 
     ``densest`` is the most decisions in any run of ``window`` lines, and ``concentration`` its percentage of the
-    file's. Only lines that have decisions are exploded; the window and the sums share one shuffle by path.
+    file's. Only lines that have decisions are exploded; the window and the sums share one shuffle by path. A column
+    ``hits`` is used if there is one.
     """
     names = ["path", "language", "complexity", "code", "branch", "loop", "bool"]
-    rows = files.select(*names, F.explode_outer(_hits()).alias("h")).select(*names, "h.line", "h.n")
+    rows = files.select(*names, F.explode_outer(F.col("hits") if "hits" in files.columns else hits()).alias("h")).select(*names, "h.line", "h.n")
     run = Window.partitionBy("path").orderBy("line").rangeBetween(-(window - 1), 0)
     out = rows.withColumn("run", F.sum("n").over(run)).groupBy(*names).agg(F.coalesce(F.max("run"), F.lit(0)).cast("long").alias("densest"))
     share = F.when(F.col("complexity") > 0, F.col("densest") / F.col("complexity") * 100).otherwise(0.0)

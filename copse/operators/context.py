@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from copse.functions import text
@@ -11,18 +11,22 @@ from copse.operators.scan import one_value, path_order
 TIERS = (0.5, 0.25, 0.1)
 
 
-def context(lexed: DataFrame) -> DataFrame:
-    """``path, tokens, code_tokens, comment_tokens``; the costliest first. Each line costs its tokens and its end.
+def costs() -> Column:
+    """A struct (tokens, code_tokens, comment_tokens) of the lines of ``with_lines``. Each line costs its tokens and its end.
 
     Estimates add up over lines, so the lines of one sort are joined and estimated at once.
     """
-    paired = F.zip_with("lines", "kinds", lambda line, kind: F.when(kind == "comment", line))
-    joined = F.array_join(F.filter(paired, lambda x: x.isNotNull()), "\n")
-    n_comment = F.size(F.filter("kinds", lambda k: k == "comment"))
-    rows = lexed.select("path", F.array_join("lines", "\n").alias("all"), joined.alias("comments"), n_comment.alias("n_comment"), F.size("kinds").alias("n"))
-    ends = lambda column, n: F.when(F.col(n) > 0, text.token_estimate(F.col(column)) + 1).otherwise(0)
-    out = rows.select("path", ends("all", "n").cast("long").alias("tokens"), ends("comments", "n_comment").cast("long").alias("comment_tokens"))
-    out = out.select("path", "tokens", (F.col("tokens") - F.col("comment_tokens")).alias("code_tokens"), "comment_tokens")
+    comments = F.filter(F.zip_with("lines", "kinds", lambda line, kind: F.when(kind == "comment", line)), lambda x: x.isNotNull())
+    cost = lambda lines: F.when(F.size(lines) > 0, text.token_estimate(F.array_join(lines, "\n")) + 1).otherwise(0).cast("long")
+    return F.transform(
+        F.array(F.struct(cost(F.col("lines")).alias("a"), cost(comments).alias("c"))),
+        lambda x: F.struct(x["a"].alias("tokens"), (x["a"] - x["c"]).alias("code_tokens"), x["c"].alias("comment_tokens")),
+    )[0]
+
+
+def context(lexed: DataFrame) -> DataFrame:
+    """``path, tokens, code_tokens, comment_tokens``; the costliest first. A column ``costs`` is used if there is one."""
+    out = lexed.select("path", F.col("costs") if "costs" in lexed.columns else costs().alias("costs")).select("path", "costs.*")
     return out.orderBy(F.desc("tokens"), path_order())
 
 

@@ -25,15 +25,20 @@ PACKAGE_PARTS, SHORT = 2, 10
 LOCATIONS = ("within-file", "same-directory", "same-package", "cross-package")
 
 
+def hashed_lines(normalizer: Callable[[Column], Column] = text.normalize_line) -> Column:
+    """A struct of arrays (line, h, g): the numbers of the code lines of ``with_lines``, and two hashes of each normalised.
+
+    All code lines of a file are normalised at once; ``normalizer`` keeps line ends.
+    """
+    number = F.filter(F.transform("kinds", lambda kind, i: F.when(kind == "code", (i + 1).cast("int"))), lambda x: x.isNotNull())
+    code = F.filter(F.zip_with("lines", "kinds", lambda line, kind: F.when(kind == "code", line)), lambda x: x.isNotNull())
+    lines = F.slice(F.split(normalizer(F.array_join(code, "\n")), "\n", -1), 1, F.size(number))
+    return F.struct(number.alias("line"), F.transform(lines, lambda x: F.xxhash64(x)).alias("h"), F.transform(lines, lambda x: F.hash(x)).alias("g"))
+
+
 def code_rows(lexed: DataFrame, normalizer: Callable[[Column], Column] = text.normalize_line) -> DataFrame:
-    """``path, lines`` with an array of (line number, hashes of the normalised line) of code lines."""
-    numbered = F.zip_with("lines", "kinds", lambda line, kind: F.struct(line.alias("text"), kind.alias("kind")))
-    placed = F.transform(numbered, lambda x, i: F.struct((i + 1).cast("int").alias("line"), x["text"].alias("text"), x["kind"].alias("kind")))
-    hashed = F.transform(
-        F.filter(placed, lambda x: x["kind"] == "code"),
-        lambda x: F.struct(x["line"].alias("line"), F.xxhash64(normalizer(x["text"])).alias("h"), F.hash(normalizer(x["text"])).alias("g")),
-    )
-    return lexed.select("path", hashed.alias("rows"))
+    """``path, rows`` of ``hashed_lines``; a column ``rows`` is used if there is one."""
+    return lexed.select("path", F.col("rows") if "rows" in lexed.columns else hashed_lines(normalizer).alias("rows"))
 
 
 def windows(rows: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
@@ -41,7 +46,7 @@ def windows(rows: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
     ``i`` is its first code line's index, ``key`` its lines' hashes, and ``total`` the file's code lines.
     """
-    last = F.size("rows") - min_lines
+    last = F.size("rows.line") - min_lines
     part = lambda name, i: F.slice(F.col(f"rows.{name}"), i + 1, F.lit(min_lines))
     line = lambda i: F.element_at("rows.line", i + 1)
     found = F.transform(
@@ -52,7 +57,7 @@ def windows(rows: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
             line(i + min_lines - 1).alias("end_line"),
         ),
     )
-    placed = rows.where(last >= 0).select("path", F.size("rows").alias("total"), F.posexplode(found).alias("i", "w"))
+    placed = rows.where(last >= 0).select("path", F.size("rows.line").alias("total"), F.posexplode(found).alias("i", "w"))
     return placed.select("path", "i", "w.key", "w.start_line", "w.end_line", "total")
 
 
@@ -96,31 +101,59 @@ def _blocks(found: DataFrame, min_lines: int) -> DataFrame:
     return done.select("class", "path", "first", (F.col("end") + min_lines - 1).alias("last"), "start_line", "end_line", "total")
 
 
-def clones(
-    rows: DataFrame, min_lines: int = MIN_LINES, min_copies: int = MIN_COPIES, cross_file_only: bool = False
-) -> DataFrame:
-    """``class, line_count, copies, fragments``: each group of equal blocks, from ``code_rows``.
+def fragments(rows: DataFrame, min_lines: int = MIN_LINES, min_copies: int = MIN_COPIES, cross_file_only: bool = False) -> DataFrame:
+    """A row for each fragment of each group of equal blocks, from ``code_rows``, which is read twice: give it as a table.
 
-    A fragment is ``path, start_line, end_line`` in lines of the file, with ``first`` and ``last`` as indexes of code
-    lines and ``total`` as the file's code lines. Overlapping fragments of a file are one; a group needs ``min_copies`` of what is left.
+    ``path, start_line, end_line`` are in lines of the file, ``first`` and ``last`` indexes of code lines, and ``total``
+    the file's code lines. Overlapping fragments of a file are one; a group needs ``min_copies`` of what is left. Its
+    ``class``, ``copies`` and ``line_count`` (of its first fragment) stand on every row. No group is held together:
+    classes that have grown into the same block are told by the number and hashes of their fragments.
     """
     found = _blocks(windows(rows, min_lines), min_lines)
     order = Window.partitionBy("class", "path").orderBy("first", "last")
     reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     apart = found.withColumn("new", F.when(F.col("first") <= reach, 0).otherwise(1))
     spans = apart.withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = spans.groupBy("class", "path", "span").agg(
-        F.min("first").alias("first"), F.max("last").alias("last"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.first("total").alias("total")
+    spans = cut(
+        spans.groupBy("class", "path", "span").agg(
+            F.min("first").alias("first"), F.max("last").alias("last"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.first("total").alias("total")
+        )
     )
-    groups = spans.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("path", "start_line", "end_line", "first", "last", "total"))).alias("fragments"))
-    out = groups.withColumns({"copies": F.size("fragments"), "line_count": F.expr("cast(fragments[0].last - fragments[0].first + 1 as int)")})
-    out = out.where(F.col("copies") >= max(2, min_copies))
+    names = ("path", "first", "last")
+    groups = spans.groupBy("class").agg(
+        F.count("*").cast("int").alias("copies"), F.bit_xor(F.xxhash64(*names)).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), *names)).alias("y"),
+        F.min_by((F.col("last") - F.col("first") + 1).cast("int"), F.struct("path", "start_line", "end_line")).alias("line_count"), F.min("path").alias("a"), F.max("path").alias("z"),
+    )
+    groups = groups.where(F.col("copies") >= max(2, min_copies))
     if cross_file_only:
-        out = out.where(F.size(F.array_distinct("fragments.path")) > 1)
-    # classes that have grown into the same block are one
-    return out.groupBy("fragments").agg(F.min("class").alias("class"), F.first("line_count").alias("line_count"), F.first("copies").alias("copies")).select(
-        "class", "line_count", "copies", "fragments"
-    )
+        groups = groups.where("a <> z")
+    kept = groups.groupBy("copies", "x", "y").agg(F.min("class").alias("class"), F.first("line_count").alias("line_count")).select("class", "copies", "line_count")
+    return spans.join(kept, "class").select("class", "copies", "line_count", "path", "start_line", "end_line", "first", "last", "total")
+
+
+def listed(rows: DataFrame) -> DataFrame:
+    """``class, line_count, copies, fragments``: each group of ``fragments`` as one row, as listings show it."""
+    one = F.struct("path", "start_line", "end_line", "first", "last", "total")
+    return rows.groupBy("class", "line_count", "copies").agg(F.sort_array(F.collect_list(one)).alias("fragments"))
+
+
+def clones(rows: DataFrame, min_lines: int = MIN_LINES, min_copies: int = MIN_COPIES, cross_file_only: bool = False) -> DataFrame:
+    """``listed`` groups of equal blocks: see ``fragments``."""
+    return listed(fragments(rows, min_lines, min_copies, cross_file_only))
+
+
+def with_code(groups: DataFrame, files: DataFrame) -> DataFrame:
+    """``listed`` groups with ``code``: the lines of their first fragment as they stand in ``files`` (``path, content``), comments and blanks included."""
+    first = groups.withColumn("__at", F.element_at("fragments", 1))
+    lines = files.select(F.col("path").alias("__path"), text.split_lines(F.coalesce("content", F.lit(""))).alias("__lines"))
+    met = first.join(lines, F.col("__at.path") == F.col("__path"), "left")
+    part = F.slice("__lines", F.col("__at.start_line"), F.col("__at.end_line") - F.col("__at.start_line") + 1)
+    return met.select(*groups.columns, F.coalesce(part, F.array().cast("array<string>")).alias("code"))
+
+
+def _as_rows(groups: DataFrame) -> DataFrame:
+    """Fragments as rows, of listed groups too."""
+    return groups.select("class", "copies", "line_count", F.inline("fragments")) if "fragments" in groups.columns else groups
 
 
 def order(groups: DataFrame) -> DataFrame:
@@ -135,17 +168,18 @@ def ranked(groups: DataFrame) -> DataFrame:
     return out.orderBy(F.desc("removable"), F.desc("line_count"), F.expr("files[0] COLLATE UNICODE"))
 
 
-def location(paths: Column) -> Column:
-    """How far apart different paths are: within a file, in one directory, in one package, or across packages."""
-    folder = lambda p: F.regexp_replace(p, "/?[^/]*$", "")
-    package = lambda p: F.slice(F.split(folder(p), "/"), 1, PACKAGE_PARTS)
-    one = lambda f: F.size(F.array_distinct(F.transform(paths, f))) == 1
-    return F.when(F.size(F.array_distinct(paths)) == 1, LOCATIONS[0]).when(one(folder), LOCATIONS[1]).when(one(package), LOCATIONS[2]).otherwise(LOCATIONS[3])
-
-
 def shape(groups: DataFrame) -> DataFrame:
-    """One row: ``groups, removable, median_lines, max_lines, under_ten, top_ten_share`` and a count for each location."""
-    base = groups.select("line_count", (F.col("line_count") * (F.col("copies") - 1)).cast("long").alias("removable"), location(F.col("fragments.path")).alias("location"))
+    """One row: ``groups, removable, median_lines, max_lines, under_ten, top_ten_share`` and a count for each location.
+
+    Paths of a group lie in one file, directory or package if the least is the greatest.
+    """
+    parts = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
+    names = _as_rows(groups).withColumns({"dir": parts, "package": F.slice(parts, 1, PACKAGE_PARTS)})
+    sides = [f(c).alias(f"{side}_{c}") for c in ("path", "dir", "package") for side, f in (("least", F.min), ("most", F.max))]
+    one = lambda c: F.col(f"least_{c}") == F.col(f"most_{c}")
+    where = F.when(one("path"), LOCATIONS[0]).when(one("dir"), LOCATIONS[1]).when(one("package"), LOCATIONS[2]).otherwise(LOCATIONS[3])
+    base = names.groupBy("class", "line_count", "copies").agg(*sides)
+    base = base.select("line_count", (F.col("line_count") * (F.col("copies") - 1)).cast("long").alias("removable"), where.alias("location"))
     top = base.orderBy(F.desc("removable")).limit(10).agg(F.coalesce(F.sum("removable"), F.lit(0)).alias("top"))
     n = F.count("*")
     out = base.agg(
@@ -161,7 +195,7 @@ def shape(groups: DataFrame) -> DataFrame:
 
 def per_file(groups: DataFrame) -> DataFrame:
     """``path, total_lines, duplicated_lines, percentage`` of files with duplicates, in code lines."""
-    spans = groups.select(F.explode("fragments").alias("f")).select("f.path", "f.first", "f.last", "f.total").distinct()
+    spans = _as_rows(groups).select("path", "first", "last", "total").distinct()
     order = Window.partitionBy("path").orderBy("first", "last")
     reach = F.coalesce(F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     fresh = F.greatest(F.lit(0), F.col("last") - F.greatest(F.col("first") - 1, reach))
@@ -172,21 +206,21 @@ def per_file(groups: DataFrame) -> DataFrame:
 
 def headline(files: DataFrame, rows: DataFrame) -> DataFrame:
     """One row: ``total_lines, duplicated_lines, percentage`` over all files."""
-    whole = rows.agg(F.coalesce(F.sum(F.size("rows")), F.lit(0)).alias("total_lines"))
+    whole = rows.agg(F.coalesce(F.sum(F.size("rows.line")), F.lit(0)).alias("total_lines"))
     out = whole.crossJoin(F.broadcast(files.agg(F.coalesce(F.sum("duplicated_lines"), F.lit(0)).alias("duplicated_lines"))))
     return out.withColumn("percentage", F.when(F.col("total_lines") > 0, F.col("duplicated_lines") / F.col("total_lines") * 100).otherwise(0.0))
 
 
 def touching(groups: DataFrame, changed: DataFrame) -> DataFrame:
     """The groups with a fragment in a changed file, with all their fragments."""
-    hit = groups.select("class", F.explode("fragments.path").alias("path")).join(changed.select("path").distinct(), "path", "left_semi")
+    hit = _as_rows(groups).select("class", "path").join(changed.select("path").distinct(), "path", "left_semi")
     return groups.join(hit.select("class").distinct(), "class", "left_semi")
 
 
 def renamed_groups(lexed: DataFrame, exact: DataFrame, min_lines: int = MIN_LINES, min_copies: int = MIN_COPIES) -> DataFrame:
     """One row: how many more groups there are if identifiers do not matter."""
-    masked = clones(code_rows(lexed, text.normalize_renamed), min_lines, min_copies)
-    both = masked.agg(F.count("*").alias("masked")).crossJoin(F.broadcast(exact.agg(F.count("*").alias("plain"))))
+    masked = fragments(cut(code_rows(lexed.drop("rows"), text.normalize_renamed)), min_lines, min_copies)
+    both = masked.agg(F.count_distinct("class").alias("masked")).crossJoin(F.broadcast(exact.agg(F.count_distinct("class").alias("plain"))))
     return both.select(F.greatest(F.lit(0), F.col("masked") - F.col("plain")).alias("renamed_groups"))
 
 

@@ -11,6 +11,15 @@ from copse.functions import paths, text
 from copse.functions.languages import language_name
 
 
+def spread(files: DataFrame, key: str = "path") -> DataFrame:
+    """``files`` dealt out by a key, if they are stored in fewer pieces than there are cores; else as they are.
+
+    A table of one small file would be lexed by one task. A table of many files is read where it lies, without a shuffle.
+    """
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files.repartition(cores, key) if len(files.inputFiles()) < cores else files
+
+
 def with_lines(files: DataFrame) -> DataFrame:
     """``files`` (``path, content``) with ``ext, language, lines, code_lines, kinds``; ``content`` stays.
 

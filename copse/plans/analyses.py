@@ -24,6 +24,15 @@ def _excluded(files: DataFrame, include_all: bool, changed: DataFrame | None) ->
     return scan.role_summary(scan.measured(scan.with_lines(rest)))
 
 
+def facts(lexed: DataFrame, rows: bool = True) -> DataFrame:
+    """What the analyses of a file need, without its text: ``measured``, ``hits``, ``costs`` and the hashed code ``rows``.
+
+    Cut from its lineage, so that each file is lexed once for an analysis that needs several of them.
+    """
+    more = {"hits": complexity.hits(), "costs": context.costs()} | ({"rows": duplication.hashed_lines()} if rows else {})
+    return cut(scan.measured(lexed).withColumns(more).drop("content", "lines", "code_text", "code_lines", "kinds"))
+
+
 def count(files: DataFrame, include_all: bool = False, changed: DataFrame | None = None) -> dict[str, DataFrame]:
     """Lines of code. Roles are counted over all files in scope."""
     roled = cut(scan.measured(scan.with_lines(scan.scoped(files, changed))).select("path", "role", "language", *counts.SUMS))
@@ -54,13 +63,14 @@ def dup(
 ) -> dict[str, DataFrame]:
     """Duplication. A changed set limits what is reported, not where copies are looked for."""
     lexed = scan.with_lines(scan.included(files, include_all))
-    rows = duplication.code_rows(lexed)
-    groups = cut(duplication.clones(rows, min_lines, min_copies, cross_file_only))
+    rows = cut(duplication.code_rows(lexed))
+    groups = cut(duplication.fragments(rows, min_lines, min_copies, cross_file_only))
     per_file = duplication.per_file(groups)
     if changed is not None:
         groups, per_file, rows = duplication.touching(groups, changed), scan.scoped(per_file, changed), scan.scoped(rows, changed)
+    listed = duplication.listed(groups)
     out = {
-        "clones": duplication.order(groups), "ranked": duplication.ranked(groups), "per_file": per_file, "shape": duplication.shape(groups),
+        "clones": duplication.order(listed), "coded": duplication.order(duplication.with_code(listed, files)), "ranked": duplication.ranked(listed), "per_file": per_file, "shape": duplication.shape(groups),
         "headline": duplication.headline(per_file, rows),
     }
     if renamed:
@@ -81,9 +91,9 @@ def refactor(
     files: DataFrame, commits: DataFrame, changes: DataFrame, include_all: bool = False, changed: DataFrame | None = None, include_bots: bool = False, sort: str = "cost"
 ) -> dict[str, DataFrame]:
     """Which files to refactor."""
-    lexed = scan.with_lines(_sources(files, include_all, changed))
+    known = facts(scan.with_lines(_sources(files, include_all, changed)), rows=False)
     kept = history.commits_of(commits, include_bots)
-    inputs = cut(verdicts.refactor_input(scan.measured(lexed), context.context(lexed), history.file_changes(kept, changes)))
+    inputs = cut(verdicts.refactor_input(known, context.context(known), history.file_changes(kept, changes)))
     judged = verdicts.refactor(inputs)
     return {
         "candidates": judged, "ranked": verdicts.rank_refactor(judged, sort), "limits": verdicts.refactor_limits(inputs),
@@ -101,9 +111,8 @@ def coupling(commits: DataFrame, changes: DataFrame, include_bots: bool = False,
 
 def agent(files: DataFrame, include_all: bool = False, changed: DataFrame | None = None, min_lines: int = 5) -> dict[str, DataFrame]:
     """Which files are risky to edit unattended. Copies are looked for in the files in scope."""
-    lexed = scan.with_lines(_sources(files, include_all, changed))
-    scored = complexity.complexity(scan.measured(lexed))
-    copies = duplication.per_file(duplication.clones(duplication.code_rows(lexed), min_lines))
-    inputs = cut(verdicts.agent_input(scored, context.context(lexed), copies))
+    known = facts(scan.with_lines(_sources(files, include_all, changed)))
+    copies = duplication.per_file(duplication.fragments(duplication.code_rows(known), min_lines))
+    inputs = cut(verdicts.agent_input(complexity.complexity(known), context.context(known), copies))
     judged = verdicts.agent(inputs)
     return {"candidates": judged, "limits": verdicts.agent_limits(inputs), "verdicts": verdicts.histogram(judged, verdicts.AGENT), "excluded": _excluded(files, include_all, changed)}

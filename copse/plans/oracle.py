@@ -1,13 +1,42 @@
-"""DuckDB SQL for the registered queries, written independently of the DataFrame plans."""
+"""DuckDB SQL for the registered queries: own tables, patterns and limits as literals, none of the plans' code.
+
+The tables name what the queries' files hold (ten extensions). ``tests/test_lexer.py`` compares the lexer with one that
+reads a character at a time.
+"""
 
 from __future__ import annotations
 
-from copse.functions import text
-from copse.functions.languages import BOOLEANS, DECISIONS, LOOPS, NAMES, SYNTAX
-from copse.functions.paths import DOC_DIRS, DOC_EXTENSIONS, GENERATED_FILE, GENERATED_HEADER, OWN_REPORT, TEST_DIRS, TEST_FILE, VENDOR_DIRS, glob_pattern
-from copse.operators.history import BOT_ACCOUNTS
-from copse.operators.verdicts import AGENT, DIFFUSE, DUPLICATED, MIN_BUSY, MIN_DENSE, MIN_LARGE
-from copse.plans.queries import EXTENSIONS, GLOBS, LOOSE, MARKS
+import re
+
+# words of documents that become comment marks, in this order
+MARKS = ((". ", ".\n/* "), (", ", " */ "), (" the ", "\n# the "), (" of ", "\n-- of "))
+# extension of a document by its number, then the language, comment syntax and decision keywords of each extension
+EXTENSIONS = [".ts", ".py", ".sql", ".rb", ".md", ".json", ".css", ".lua", ".go"]
+LANGUAGES = """(VALUES ('.ts', 'TypeScript', 'c', 'c'), ('.go', 'Go', 'c', 'c'), ('.css', 'CSS', 'css', 'none'), ('.py', 'Python', 'py', 'py'), ('.rb', 'Ruby', 'hash', 'rb'),
+    ('.sql', 'SQL', 'sql', 'c'), ('.lua', 'Lua', 'lua', 'c'), ('.html', 'HTML', 'xml', 'none'), ('.md', 'Markdown', 'text', 'none'), ('.json', 'JSON', 'text', 'none'))"""
+STRINGS = r"""(")[^"\\\n]*(?:\\[^\n]?[^"\\\n]*)*("?)|(')[^'\\\n]*(?:\\[^\n]?[^'\\\n]*)*('?)|(`)[^`\\\n]*(?:\\[^\n]?[^`\\\n]*)*(`?)"""
+COMMENTS = {
+    "c": r"(?s:/\*.*?(?:\*/|\z))|//[^\n]*", "css": r"(?s:/\*.*?(?:\*/|\z))", "py": r"""(?s:\"\"\".*?(?:\"\"\"|\z))|(?s:'''.*?(?:'''|\z))|#[^\n]*""", "hash": r"#[^\n]*",
+    "sql": r"(?s:/\*.*?(?:\*/|\z))|--[^\n]*", "lua": r"(?s:--\[\[.*?(?:\]\]|\z))|--[^\n]*", "xml": r"(?s:<!--.*?(?:-->|\z))", "text": r"\x{FDD2}",
+}
+BRANCHES = {"c": r"\b(?:if|case|catch)\b", "py": r"\b(?:if|elif|except)\b", "rb": r"\b(?:if|elsif|unless|when|rescue)\b"}
+LOOPS = {"c": r"\b(?:for|while)\b", "py": r"\b(?:for|while)\b", "rb": r"\b(?:while|until|for)\b"}
+BOOLEANS = {"c": r"&&|\|\|", "py": r"\b(?:and|or)\b", "rb": r"\b(?:and|or)\b|&&|\|\|"}
+SPACE = r"\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+# the globs src1*/en/**, doc_?.go, **/d1/*.sql and *7.html, each over a path or its base name
+GLOBS = r"^(?:src1[^/]*/en/.*|doc_[^/]\.go|.*/d1/[^/]*\.sql|[^/]*7\.html)$"
+GENERATED = r"(?i)@generated|code generated by|do not edit|autogenerated|auto-generated|generated by|<meta name=\"generator\" content=\"copse|<title>copse[^<]*report</title>".replace('\\"', '"')
+GENERATED_NAME = r"(?i)\.(?:min|bundle|generated)\.[^.]+$|(?:^|[.\-_])pb\.[^.]+$"
+TEST_NAME = r"(?i)[.\-_](?:test|spec)\.[^.]+$"
+VENDOR = "['vendor', 'vendored', 'third_party', 'third-party', 'flow-typed', 'node_modules', 'bower_components']"
+TESTS = "['__tests__', '__mocks__', '__fixtures__', '__snapshots__', 'test', 'tests', 'spec', 'specs', 'e2e', 'fixtures', 'benchmarks']"
+MACHINES = "['dependabot', 'renovate', 'github-actions', 'greenkeeper', 'snyk-bot', 'imgbot', 'allcontributors', 'mergify', 'codecov', 'semantic-release-bot', 'bot']"
+KEYWORDS = """['abstract', 'and', 'as', 'async', 'await', 'break', 'case', 'catch', 'class', 'const', 'continue', 'def', 'default', 'delete', 'do', 'elif', 'else', 'enum', 'except', 'export',
+    'extends', 'false', 'final', 'finally', 'fn', 'for', 'from', 'func', 'function', 'if', 'implements', 'import', 'in', 'interface', 'is', 'lambda', 'let', 'match', 'namespace', 'new', 'nil',
+    'none', 'not', 'null', 'or', 'package', 'pass', 'private', 'protected', 'public', 'raise', 'return', 'self', 'static', 'struct', 'super', 'switch', 'this', 'throw', 'true', 'try', 'type',
+    'typeof', 'undefined', 'use', 'var', 'void', 'when', 'while', 'with', 'yield']"""
+LABELS = """CASE WHEN code < 1000 THEN 'Meteoroid 🪨' WHEN code < 10000 THEN 'Asteroid ☄️' WHEN code < 50000 THEN 'Moon 🌑' WHEN code < 100000 THEN 'Planet 🪐'
+    WHEN code < 500000 THEN 'Star ⭐' WHEN code < 1000000 THEN 'Solar System ☀️' WHEN code < 5000000 THEN 'Galaxy 🌌' ELSE 'Universe 🌠' END"""
 
 
 def _q(value: str) -> str:
@@ -16,54 +45,22 @@ def _q(value: str) -> str:
     return "(" + " || chr(10) || ".join(parts) + ")"
 
 
-def _list(values) -> str:
-    return "[" + ", ".join(map(_q, values)) + "]"
-
-
-def _re(text_: str) -> str:
-    """A pattern for RE2, whose quantifiers are never possessive."""
-    return _q(text_.replace("*+", "*"))
-
-
-def _case(column: str, groups: dict[str, str], default: str) -> str:
-    arms = " ".join(f"WHEN {column} IN ({', '.join(_q(e) for e in extensions.split())}) THEN {_q(name)}" for name, extensions in groups.items() if extensions)
-    return f"CASE {arms} ELSE {_q(default)} END"
-
-
-def _escape(value: str) -> str:
-    return "".join(c if c.isalnum() else "\\" + c for c in value)
-
-
-def _marking(blocks, line) -> str:
-    comments = [rf"(?s:{_escape(a)}.*?(?:{_escape(b)}|\z))" for a, b in blocks] + ([rf"{_escape(line)}[^\n]*"] if line else [])
-    strings = [rf"({q})[^{q}\\\n]*(?:\\[^\n]?[^{q}\\\n]*)*({q}?)" for q in "\"'`"]
-    return "|".join([f"({'|'.join(comments)})" if comments else r"(\x{FDD2})", *strings])
-
-
 def _marked() -> str:
     repl = "chr(64976) || '\\1' || chr(64977) || '\\2\\3\\4\\5\\6\\7'"
-    arms = " ".join(f"WHEN syntax = '{n}' THEN regexp_replace(content, {_q(_marking(b, line))}, {repl}, 'g')" for n, (b, line, _) in SYNTAX.items())
-    return f"CASE {arms} ELSE regexp_replace(content, {_q(_marking([], None))}, {repl}, 'g') END"
+    arms = " ".join(f"WHEN '{n}' THEN regexp_replace(content, {_q(f'({c})|{STRINGS}')}, {repl}, 'g')" for n, c in COMMENTS.items())
+    return f"CASE syntax {arms} END"
 
 
-def _decisions(column: str, bucket: str) -> str:
-    arms = []
-    for name, (words, operators, _) in DECISIONS.items():
-        own = [w for w in words.split() if bucket == ("loop" if w in LOOPS else "bool" if w in BOOLEANS else "branch")]
-        parts = [rf"\b(?:{'|'.join(own)})\b"] if own else []
-        parts += [_escape(o) for o in operators.split()] if bucket == "bool" else []
-        if parts:
-            arms.append(f"WHEN dialect = '{name}' THEN len(regexp_extract_all({column}, {_q('|'.join(parts))}))")
-    return f"(CASE {' '.join(arms)} ELSE 0 END)"
+def _decisions(column: str, patterns: dict[str, str]) -> str:
+    return "(CASE dialect " + " ".join(f"WHEN '{d}' THEN len(regexp_extract_all({column}, {_q(p)}))" for d, p in patterns.items()) + " ELSE 0 END)"
 
 
 def _tokens(column: str) -> str:
-    space = text.SPACE.replace("\\x0B", "\\x{0B}")
     parts = f"regexp_replace(regexp_replace({column}, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Za-z])([0-9])', '\\1_\\2', 'g')"
     pairs = f"regexp_replace({column}, '[\\x{{10000}}-\\x{{10FFFF}}]', '§§', 'g')"
     words = f"list_filter(regexp_extract_all({column}, '[A-Za-z0-9_]+'), lambda w: replace(w, '_', '') = '')"
     return (
-        f"(length({column}) - length(replace({column}, chr(10), '')) + len(regexp_extract_all({pairs}, '[^{space}A-Za-z0-9_]{{1,3}}'))"
+        f"(length({column}) - length(replace({column}, chr(10), '')) + len(regexp_extract_all({pairs}, '[^{SPACE}A-Za-z0-9_]{{1,3}}'))"
         f" + len(regexp_extract_all({parts}, '[A-Za-z0-9]{{1,10}}')) + len({words}))"
     )
 
@@ -74,39 +71,38 @@ for _old, _new in MARKS:
 
 _BASE = "list_extract(string_split(path, '/'), -1)"
 _DIRS = "string_split(path, '/')[1:len(string_split(path, '/')) - 1]"
-_MATCHED = "(" + " OR ".join(f"regexp_matches({c}, {_q(glob_pattern(g))})" for g in GLOBS for c in ("path", _BASE)) + ")"
+_MATCHED = f"(regexp_matches(path, {_q(GLOBS)}) OR regexp_matches({_BASE}, {_q(GLOBS)}))"
 
 #: Named parts, each from those before it.
 PARTS: dict[str, str] = {
     "document_files": f"""SELECT doc_id, {_CONTENT} AS content, source || '/' || lang || '/' ||
         CASE WHEN doc_id % 10 = 0 THEN 'tests/' WHEN doc_id % 17 = 0 THEN 'vendor/' WHEN doc_id % 19 = 0 THEN 'docs/' ELSE '' END ||
-        'd' || (doc_id // 97)::VARCHAR || '/doc_' || (doc_id % 97)::VARCHAR || {_list(EXTENSIONS)}[(doc_id % {len(EXTENSIONS)} + 1)::INT] AS path FROM documents""",
+        'd' || (doc_id // 97)::VARCHAR || '/doc_' || (doc_id % 97)::VARCHAR || {EXTENSIONS}[(doc_id % 9 + 1)::INT] AS path FROM documents""",
     "plain_files": "SELECT 'site/' || page_id::VARCHAR || '.html' AS path, html AS content FROM pages UNION ALL SELECT path, content FROM document_files",
     "files": f"""SELECT path, content, CASE
-        WHEN regexp_matches(content[1:2048], {_q(GENERATED_HEADER)}) OR regexp_matches(content[1:2048], {_q(OWN_REPORT)}) THEN 'generated'
-        WHEN list_has_any({_DIRS}, {_list(VENDOR_DIRS)}) THEN 'vendored'
-        WHEN regexp_matches({_BASE}, {_q(GENERATED_FILE)}) THEN 'generated'
-        WHEN list_has_any({_DIRS}, {_list(TEST_DIRS)}) OR regexp_matches({_BASE}, {_q(TEST_FILE)}) THEN 'test'
-        WHEN list_has_any({_DIRS}, {_list(DOC_DIRS)}) OR list_contains({_list(DOC_EXTENSIONS)}, lower(regexp_extract({_BASE}, '\\.[^.]*$'))) THEN 'docs'
+        WHEN regexp_matches(content[1:2048], {_q(GENERATED)}) THEN 'generated'
+        WHEN list_has_any({_DIRS}, {VENDOR}) THEN 'vendored'
+        WHEN regexp_matches({_BASE}, {_q(GENERATED_NAME)}) THEN 'generated'
+        WHEN list_has_any({_DIRS}, {TESTS}) OR regexp_matches({_BASE}, {_q(TEST_NAME)}) THEN 'test'
+        WHEN list_has_any({_DIRS}, ['docs', 'doc']) OR lower(regexp_extract({_BASE}, '\\.[^.]*$')) IN ('.md', '.markdown', '.txt', '.rst', '.adoc') THEN 'docs'
         ELSE 'source' END AS role FROM plain_files""",
     "named": f"SELECT *, regexp_extract({_BASE}, '^.+?(\\.[^.]*)$', 1) AS ext FROM files",
-    "typed": f"""SELECT *, {_case('lower(ext)', NAMES, 'Other')} AS language, {_case('lower(ext)', {k: v[2] for k, v in SYNTAX.items()}, 'plain')} AS syntax,
-        {_case('lower(ext)', {k: v[2] for k, v in DECISIONS.items()}, 'braces')} AS dialect, string_split(content, chr(10)) AS split FROM named""",
+    "typed": f"SELECT n.*, language, syntax, dialect, string_split(content, chr(10)) AS split FROM named n JOIN {LANGUAGES} l(e, language, syntax, dialect) ON lower(ext) = e",
     "marked": f"SELECT *, {_marked()} AS marked FROM typed",
     "stripped": """SELECT *, array_to_string(list_transform(string_split(marked, chr(64976)), lambda p: CASE WHEN contains(p, chr(64977))
         THEN regexp_replace(split_part(p, chr(64977), 1), '[^\\n]', '', 'g') || split_part(p, chr(64977), 2) ELSE p END), '') AS code_text FROM marked""",
     "lexed": """SELECT * EXCLUDE (split, marked), CASE WHEN split[-1] = '' THEN split[1:len(split) - 1] ELSE split END AS lines FROM stripped""",
     "code_split": "SELECT path, string_split(code_text, chr(10)) AS kept FROM lexed",
-    "rows_": f"""SELECT path, role, language, dialect, line, raw, code, CASE WHEN NOT regexp_matches(raw, '[^{text.SPACE.replace(chr(92) + 'x0B', chr(92) + 'x{0B}')}]') THEN 'blank'
+    "rows_": f"""SELECT path, role, language, dialect, line, raw, code, CASE WHEN NOT regexp_matches(raw, '[^{SPACE}]') THEN 'blank'
         WHEN regexp_matches(code, '[^ \\t\\r\\f\\x{{0B}}]') THEN 'code' ELSE 'comment' END AS kind
         FROM (SELECT l.path, role, language, dialect, unnest(lines) AS raw, unnest(c.kept[1:len(lines)]) AS code, unnest(range(1, len(lines) + 1)) AS line FROM lexed l JOIN code_split c USING (path))""",
     "measured": f"""SELECT path, role, language, count(line) FILTER (WHERE kind = 'code') AS code, count(line) FILTER (WHERE kind = 'comment') AS comment,
         count(line) FILTER (WHERE kind = 'blank') AS blank, count(line) AS total, any_value(branch) AS branch, any_value(loop) AS loop, any_value(bool) AS bool,
         any_value(branch) + any_value(loop) + any_value(bool) AS complexity
-        FROM (SELECT path, role, language, {_decisions('code_text', 'branch')}::BIGINT AS branch, {_decisions('code_text', 'loop')}::BIGINT AS loop,
-            {_decisions('code_text', 'bool')}::BIGINT AS bool FROM lexed) LEFT JOIN (SELECT path, line, kind FROM rows_) USING (path) GROUP BY path, role, language""",
+        FROM (SELECT path, role, language, {_decisions('code_text', BRANCHES)}::BIGINT AS branch, {_decisions('code_text', LOOPS)}::BIGINT AS loop,
+            {_decisions('code_text', BOOLEANS)}::BIGINT AS bool FROM lexed) LEFT JOIN (SELECT path, line, kind FROM rows_) USING (path) GROUP BY path, role, language""",
     "chosen": "SELECT *, CASE WHEN code > 0 THEN complexity / code * 100 ELSE 0.0::DOUBLE END AS density FROM measured WHERE role = 'source'",
-    "hits": f"""SELECT path, line, {' + '.join(_decisions('code', b) for b in ('branch', 'loop', 'bool'))} AS n FROM rows_ WHERE role = 'source'""",
+    "hits": f"""SELECT path, line, {' + '.join(_decisions('code', b) for b in (BRANCHES, LOOPS, BOOLEANS))} AS n FROM rows_ WHERE role = 'source'""",
     "densest": """SELECT path, max(run)::BIGINT AS densest FROM (SELECT path, sum(n) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN 39 PRECEDING AND CURRENT ROW) AS run FROM hits)
         GROUP BY path HAVING max(run) > 0""",
     "scored": """SELECT c.*, coalesce(densest, 0) AS densest, CASE WHEN complexity > 0 THEN coalesce(densest, 0) / complexity * 100 ELSE 0.0::DOUBLE END AS concentration
@@ -116,7 +112,7 @@ PARTS: dict[str, str] = {
         FROM files LEFT JOIN (SELECT path, kind, {_tokens('raw')} + 1 AS t FROM rows_) USING (path) WHERE role = 'source' GROUP BY path""",
     "commits": """SELECT o_orderkey AS ord, epoch(o_orderdate)::BIGINT AS time, CASE WHEN o_custkey % 31 = 0 THEN 'renovate@example.com' ELSE replace(lower(c_name), '#', '.') || '@example.com' END AS email,
         CASE WHEN o_custkey % 29 = 0 THEN lower(c_name) || ' [bot]' ELSE lower(c_name) END AS name FROM orders JOIN customer ON o_custkey = c_custkey""",
-    "people": f"SELECT * FROM commits WHERE NOT (ends_with(trim(lower(name)), '[bot]') OR list_contains({_list(BOT_ACCOUNTS)}, regexp_replace(split_part(lower(email), '@', 1), '\\[bot\\]$', '')))",
+    "people": f"SELECT * FROM commits WHERE NOT (ends_with(trim(lower(name)), '[bot]') OR list_contains({MACHINES}, regexp_replace(split_part(lower(email), '@', 1), '\\[bot\\]$', '')))",
     "changes": "SELECT l_orderkey AS ord, 'mod' || (l_suppkey % 20)::VARCHAR || '/s' || l_suppkey::VARCHAR || '.ts' AS path, l_quantity::BIGINT AS added, l_linenumber::BIGINT AS deleted FROM lineitem",
     "document_changes": "SELECT l_orderkey AS ord, path, l_quantity::BIGINT AS added, l_linenumber::BIGINT AS deleted FROM lineitem JOIN document_files ON l_partkey = doc_id",
     "life": "SELECT max(time) AS now, (max(time) - min(time)) / 4 AS half FROM people WHERE time > 0",
@@ -125,12 +121,12 @@ PARTS: dict[str, str] = {
     "document_history": """SELECT path, count(*) AS changes, sum(added + deleted)::BIGINT AS churn, sum(CASE WHEN half = 0 THEN 1.0 ELSE pow(0.5::DOUBLE, (now - time) / half) END) AS momentum
         FROM document_changes JOIN people USING (ord), life GROUP BY path""",
     "members": "SELECT DISTINCT ord, path FROM changes",
-    "bounded": f"SELECT * FROM members WHERE ord IN (SELECT ord FROM members GROUP BY ord HAVING count(*) <= {LOOSE['max_commit_size']})",
+    "bounded": f"SELECT * FROM members WHERE ord IN (SELECT ord FROM members GROUP BY ord HAVING count(*) <= 30)",
     "revised": "SELECT path, count(*) AS revisions FROM bounded GROUP BY path",
     "pairs": f"""SELECT * FROM (SELECT p.a, p.b, shared, x.revisions AS revisions_a, y.revisions AS revisions_b, shared / ((x.revisions + y.revisions) / 2) * 100 AS strength
         FROM (SELECT m.path AS a, n.path AS b, count(*) AS shared FROM bounded m JOIN bounded n ON m.ord = n.ord AND m.path < n.path GROUP BY m.path, n.path) p
         JOIN revised x ON p.a = x.path JOIN revised y ON p.b = y.path)
-        WHERE revisions_a >= {LOOSE['min_revisions']} AND revisions_b >= {LOOSE['min_revisions']} AND shared >= {LOOSE['min_shared']} AND strength >= {LOOSE['min_strength']}""",
+        WHERE revisions_a >= 10 AND revisions_b >= 10 AND shared >= 2 AND strength >= 0.3""",
     "blame": "SELECT path, line, kind, ((line * 7919 + length(path) * 104729) % 400) * 1000000 AS time FROM rows_ WHERE role = 'source'",
     "runs": "SELECT path, line - row_number() OVER (PARTITION BY path ORDER BY line) AS run, line, time FROM blame WHERE kind = 'comment'",
     "comment_blocks": "SELECT path, run, max(line) AS last, max(time) AS comment_time FROM runs GROUP BY path, run",
@@ -139,7 +135,14 @@ PARTS: dict[str, str] = {
         JOIN (SELECT b.path, b.run, min(c.k) AS k FROM comment_blocks b JOIN code_numbered c ON b.path = c.path AND c.line > b.last GROUP BY b.path, b.run) f ON b.path = f.path AND b.run = f.run
         JOIN code_numbered c ON c.path = b.path AND c.k BETWEEN f.k AND f.k + 9 GROUP BY b.path, b.run, b.comment_time""",
     "drifts": f"SELECT path, count(*) AS blocks, count(*) FILTER (WHERE code_time - comment_time > {3 * 365 * 86400}) AS drifted FROM drifting GROUP BY path",
-    "code_rows": f"""SELECT path, line, regexp_replace(regexp_replace(raw, '^[{text.SPACE}]+|[{text.SPACE}]+$', '', 'g'), '[{text.SPACE}]+', ' ', 'g') AS t,
+    "known_blame": "SELECT * FROM blame WHERE line % 11 <> 0 AND path NOT LIKE '%7.%'",
+    "zipped": "SELECT path, line, kind, coalesce(k.time, 0) AS time FROM blame b LEFT JOIN known_blame k USING (path, line, kind) WHERE path IN (SELECT path FROM known_blame)",
+    "zipped_blocks": "SELECT path, run, max(line) AS last, max(time) AS comment_time FROM (SELECT *, line - row_number() OVER (PARTITION BY path ORDER BY line) AS run FROM zipped WHERE kind = 'comment') GROUP BY path, run",
+    "zipped_code": "SELECT path, line, time, row_number() OVER (PARTITION BY path ORDER BY line) AS k FROM zipped WHERE kind = 'code'",
+    "zipped_drifting": """SELECT b.path, b.run, b.comment_time, max(c.time) AS code_time FROM zipped_blocks b
+        JOIN (SELECT b.path, b.run, min(c.k) AS k FROM zipped_blocks b JOIN zipped_code c ON b.path = c.path AND c.line > b.last GROUP BY b.path, b.run) f ON b.path = f.path AND b.run = f.run
+        JOIN zipped_code c ON c.path = b.path AND c.k BETWEEN f.k AND f.k + 9 GROUP BY b.path, b.run, b.comment_time""",
+    "code_rows": f"""SELECT path, line, regexp_replace(regexp_replace(raw, '^[{SPACE}]+|[{SPACE}]+$', '', 'g'), '[{SPACE}]+', ' ', 'g') AS t,
         row_number() OVER (PARTITION BY path ORDER BY line) - 1 AS i FROM rows_ WHERE role = 'source' AND kind = 'code'""",
     "windowed": """SELECT path, i, string_agg(t, chr(10)) OVER w AS key, count(*) OVER w AS n FROM code_rows WINDOW w AS (PARTITION BY path ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)""",
     "dup_classes": "SELECT key, count(*) AS copies FROM windowed WHERE n = 5 GROUP BY key HAVING count(*) > 1",
@@ -162,9 +165,17 @@ PARTS: dict[str, str] = {
         SELECT key, string_agg(path || ':' || start_line || ':' || end_line, ',' ORDER BY path, start_line) AS fragments, count(*) AS copies, list_sort(list(DISTINCT path)) AS files,
         arg_min(last - first + 1, path || chr(1) || lpad(start_line::VARCHAR, 9, '0')) AS lines FROM placed GROUP BY key HAVING count(*) > 1) GROUP BY fragments""",
     "clone_files": """SELECT s.path, count(DISTINCT c.i) AS duplicated_lines FROM placed s JOIN clone_groups USING (key) JOIN code_rows c ON c.path = s.path AND c.i BETWEEN s.first AND s.last GROUP BY s.path""",
+    "clone_paths": "SELECT DISTINCT s.path FROM placed s JOIN clone_groups g USING (key)",
     "clone_totals": "SELECT path, count(*) AS total_lines FROM code_rows GROUP BY path",
 }
 
+_WORDS = "list_transform(regexp_extract_all(t, '[A-Za-z0-9_$]+|[^A-Za-z0-9_$]+'), lambda w: CASE WHEN regexp_matches(w, '^[A-Za-z_$]') AND NOT list_contains({keywords}, w) THEN '$' ELSE w END)"
+PARTS["masked_rows"] = f"SELECT path, line, i, array_to_string({_WORDS.format(keywords=KEYWORDS)}, '') AS t FROM code_rows"
+for _name in ("windowed", "dup_classes", "occurrences", "lines_after", "lines_before", "extents", "raw_spans", "apart", "whole_spans", "placed", "clone_groups"):
+    PARTS[f"masked_{_name}"] = re.sub(
+        r"\b(windowed|dup_classes|occurrences|lines_after|lines_before|extents|raw_spans|apart|whole_spans|placed|clone_groups)\b", r"masked_\1", PARTS[_name].replace("code_rows", "masked_rows")
+    )
+
 
 def _with(body: str) -> str:
     """A query after the parts that it needs, and those that they need."""
@@ -172,7 +183,7 @@ def _with(body: str) -> str:
 
     def visit(sql: str) -> None:
         for name, part in PARTS.items():
-            if name not in needed and name in sql:
+            if name not in needed and re.search(rf"\b{name}\b", sql):
                 needed.add(name)
                 visit(part)
 
@@ -194,15 +205,14 @@ _REFACTOR = f"""SELECT m.path, complexity, code, density, tokens, coalesce(chang
 _LIMITS = f"{_quantile('inputs', 'momentum', 0.5, 'changes > 0')} AS busy, {_quantile('inputs', 'density', 0.75)} AS dense, {_quantile('inputs', 'tokens', 0.75)} AS costly"
 _RENAMES = """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'src/' || p_brand || '/f' || p_partkey::VARCHAR WHEN p_partkey % 3 = 1 THEN p_name ELSE 'x' END AS old_path,
     CASE WHEN p_partkey % 3 = 0 THEN 'src/' || p_type || '/f' || p_partkey::VARCHAR WHEN p_partkey % 3 = 1 THEN p_type ELSE p_brand || '/x' END AS new_path FROM part"""
-_SIZES = " ".join(f"WHEN code < {bound} THEN {_q(label)}" for bound, label in text.SIZE_TIERS)
 
 _AGENT_INPUT = """(SELECT s.path, code, density, concentration, tokens, coalesce(duplicated_lines / total_lines * 100, 0) AS duplication
     FROM scored s JOIN costs USING (path) LEFT JOIN clone_files USING (path) LEFT JOIN clone_totals USING (path) WHERE code > 0)"""
 _RISKS = f"""list_filter([CASE WHEN density >= dense AND density > 0 THEN 'dense' END, CASE WHEN tokens >= large AND tokens > 0 THEN 'large' END,
-    CASE WHEN duplication >= {DUPLICATED} THEN 'duplicated' END, CASE WHEN density >= dense AND density > 0 AND concentration > 0 AND concentration < {DIFFUSE} THEN 'diffuse' END], lambda r: r IS NOT NULL)"""
+    CASE WHEN duplication >= 20 THEN 'duplicated' END, CASE WHEN density >= dense AND density > 0 AND concentration > 0 AND concentration < 15 THEN 'diffuse' END], lambda r: r IS NOT NULL)"""
 _AGENT = f"""SELECT path, round(density, 6) AS density, round(concentration, 6) AS concentration, tokens, round(duplication, 6) AS duplication, array_to_string(risks, ',') AS risks,
     CASE WHEN len(risks) = 0 THEN 'safe' WHEN len(risks) = 1 THEN 'review' ELSE 'human' END AS verdict FROM (SELECT *, {_RISKS} AS risks FROM (SELECT *,
-    greatest({MIN_DENSE}, {_quantile(_AGENT_INPUT, 'density', 0.75)}) AS dense, greatest({MIN_LARGE}, {_quantile(_AGENT_INPUT, 'tokens', 0.75)}) AS large FROM {_AGENT_INPUT}))"""
+    greatest(10, {_quantile(_AGENT_INPUT, 'density', 0.75)}) AS dense, greatest(2000, {_quantile(_AGENT_INPUT, 'tokens', 0.75)}) AS large FROM {_AGENT_INPUT}))"""
 
 ORACLE_SQL: dict[str, str] = {
     "line_kinds": _with("SELECT path, language, code, comment, blank, total FROM measured"),
@@ -273,14 +283,22 @@ ORACLE_SQL: dict[str, str] = {
             WHEN len(list_distinct(list_transform(files, lambda p: regexp_replace(p, '/?[^/]*$', '')))) = 1 THEN 1
             WHEN len(list_distinct(list_transform(files, lambda p: string_split(regexp_replace(p, '/?[^/]*$', ''), '/')[1:2]))) = 1 THEN 2 ELSE 3 END AS place FROM clone_groups))"""
     ),
+    "dup_renamed": _with("SELECT greatest(0, (SELECT count(*) FROM masked_clone_groups) - (SELECT count(*) FROM clone_groups)) AS renamed_groups"),
+    "clone_newest": _with("SELECT path, max(time)::BIGINT AS newest FROM clone_paths JOIN known_blame USING (path) GROUP BY path"),
+    "comment_blame": _with(
+        """SELECT path, count(*) AS blocks, count(*) FILTER (WHERE code_time - comment_time > 94608000) AS drifted FROM zipped_drifting
+        WHERE path IN (SELECT path FROM chosen WHERE comment > 0 ORDER BY comment DESC, path LIMIT 50) GROUP BY path"""
+    ),
+    "rename_resolution": """SELECT file || '_v' || max(k // 7) OVER (PARTITION BY file) AS path, ord, l_quantity::BIGINT AS added FROM (SELECT *, -l_orderkey AS ord, 'dir/f' || (l_suppkey % 50)::VARCHAR AS file,
+        row_number() OVER (PARTITION BY l_suppkey % 50 ORDER BY l_orderkey) - 1 AS k FROM lineitem WHERE l_linenumber = 1)""",
     "agent_risk": _with(_AGENT),
-    "agent_verdicts": _with(f"SELECT {', '.join(f"count(*) FILTER (WHERE verdict = '{v}') AS {v}" for v in AGENT)} FROM ({_AGENT})"),
+    "agent_verdicts": _with(f"SELECT {', '.join(f"count(*) FILTER (WHERE verdict = '{v}') AS {v}" for v in ('safe', 'review', 'human'))} FROM ({_AGENT})"),
     "refactor_verdicts": _with(
         f"""SELECT path, changes, churn, round(momentum, 6) AS momentum, tokens * changes AS recurring_tokens, CASE WHEN code > 0 THEN round(churn / code * 100, 6) ELSE 0 END AS churn_ratio,
-        CASE WHEN changes = 0 THEN 'inert' WHEN NOT (momentum >= busy AND changes >= {MIN_BUSY}) THEN 'quiet' WHEN density >= dense THEN 'refactor' WHEN tokens >= costly THEN 'split' ELSE 'watch' END AS verdict
+        CASE WHEN changes = 0 THEN 'inert' WHEN NOT (momentum >= busy AND changes >= 2) THEN 'quiet' WHEN density >= dense THEN 'refactor' WHEN tokens >= costly THEN 'split' ELSE 'watch' END AS verdict
         FROM (SELECT *, {_LIMITS} FROM inputs)""".replace("inputs", f"({_REFACTOR})")
     ),
     "refactor_limits": _with(f"SELECT round(busy, 6) AS busy, round(dense, 6) AS dense, costly FROM (SELECT {_LIMITS})".replace("inputs", f"({_REFACTOR})")),
-    "size_label": _with(f"SELECT code, CASE {_SIZES} ELSE {_q(text.LARGEST_TIER)} END AS label FROM (SELECT sum(code)::BIGINT AS code FROM chosen)"),
+    "size_label": _with(f"SELECT code, {LABELS} AS label FROM (SELECT sum(code)::BIGINT AS code FROM chosen)"),
 }
 

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from copse.functions import paths, text
 from copse.operators import complexity, context, counts, drift, duplication, history, scan, verdicts
 from copse.plans import analyses
 from copse.session import cut
+from copse.sources.git import resolve
 
 EXTENSIONS = (".ts", ".py", ".sql", ".rb", ".md", ".json", ".css", ".lua", ".go")
 #: What stands in for words of a document, in this order.
@@ -39,7 +40,7 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``path, content, role``."""
     pages = _table(spark, sf_dir, "pages").select(F.concat(F.lit("site/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("content"))
-    return scan.with_roles(pages.unionByName(document_files(spark, sf_dir).drop("doc_id")))
+    return scan.with_roles(scan.spread(pages.unionByName(document_files(spark, sf_dir).drop("doc_id"))))
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +158,7 @@ def densest_window(spark, sf_dir):
 
 
 def token_estimate(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
+    return scan.spread(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
 
 
 def context_files(spark, sf_dir):
@@ -236,11 +237,15 @@ def drift_candidates(spark, sf_dir):
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplication.code_rows(_sources(spark, sf_dir))
+    return cut(duplication.code_rows(_sources(spark, sf_dir)))
+
+
+def _fragments(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return duplication.fragments(_rows(spark, sf_dir), **options)
 
 
 def _clones(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return duplication.clones(_rows(spark, sf_dir), **options)
+    return duplication.listed(_fragments(spark, sf_dir, **options))
 
 
 def _listed(groups: DataFrame) -> DataFrame:
@@ -266,19 +271,44 @@ def dup_ranked(spark, sf_dir):
 
 
 def dup_shape(spark, sf_dir):
-    return _rounded(duplication.shape(cut(_clones(spark, sf_dir))), "under_ten", "top_ten_share")
+    return _rounded(duplication.shape(cut(_fragments(spark, sf_dir))), "under_ten", "top_ten_share")
 
 
 def dup_per_file(spark, sf_dir):
-    return _rounded(duplication.per_file(_clones(spark, sf_dir)), "percentage")
+    return _rounded(duplication.per_file(_fragments(spark, sf_dir)), "percentage")
 
 
 def dup_focus(spark, sf_dir):
-    return _listed(duplication.touching(_clones(spark, sf_dir), _changed(spark, sf_dir)))
+    return _listed(duplication.listed(duplication.touching(cut(_fragments(spark, sf_dir)), _changed(spark, sf_dir))))
 
 
 def dup_renamed(spark, sf_dir):
-    return duplication.renamed_groups(_sources(spark, sf_dir), _clones(spark, sf_dir))
+    return duplication.renamed_groups(_sources(spark, sf_dir), _fragments(spark, sf_dir))
+
+
+def _known_blame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path, line, time`` of blame that lacks every eleventh line, and files whose name ends in 7."""
+    return blame(_sources(spark, sf_dir)).where("line % 11 <> 0 AND NOT path LIKE '%7.%'").select("path", "line", "time")
+
+
+def clone_newest(spark, sf_dir):
+    groups = duplication.listed(_fragments(spark, sf_dir))
+    return duplication.clone_churn(groups, _known_blame(spark, sf_dir), 1 << 30)
+
+
+def comment_blame(spark, sf_dir):
+    return analyses.comments(files(spark, sf_dir), _known_blame(spark, sf_dir))["files"]
+
+
+def rename_resolution(spark, sf_dir):
+    """A history of fifty files, each renamed at every seventh of its changes."""
+    own = Window.partitionBy(F.col("l_suppkey") % 50).orderBy("l_orderkey")
+    rows = _table(spark, sf_dir, "lineitem").where("l_linenumber = 1").withColumn("k", F.row_number().over(own) - 1)
+    name = lambda version: F.concat(F.lit("dir/f"), (F.col("l_suppkey") % 50).cast("string"), F.lit("_v"), version.cast("string"))
+    now = F.floor(F.col("k") / 7)
+    before = F.when((F.col("k") % 7 == 0) & (F.col("k") > 0), now - 1).otherwise(now)
+    log = rows.select((-F.col("l_orderkey")).cast("int").alias("ord"), F.lit(0).alias("line"), F.col("l_quantity").cast("long").alias("added"), F.lit(0).cast("long").alias("deleted"), name(before).alias("from"), name(now).alias("to"))
+    return resolve(log).select("path", "ord", "added")
 
 
 def _refactor(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -314,6 +344,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         line_kinds, count_by_language, count_totals, size_distribution, concentration, largest_files, role_classify, role_summary, test_ratio, ignore_filter, glob_match,
         complexity_rank, complexity_density, complexity_breakdown, densest_window, token_estimate, context_files, context_dirs, context_totals, navigability, repeated_names,
         budget_tiers, diff_scope, bot_filter, rename_pair, file_changes, coupling_pairs, coupling_files, coupling_commits, comment_drift, drift_summary, drift_candidates,
-        dup_windows, dup_clones, dup_cross_file, dup_ranked, dup_shape, dup_per_file, dup_focus, dup_renamed, refactor_verdicts, refactor_limits, agent_risk, agent_verdicts, size_label,
+        dup_windows, dup_clones, dup_cross_file, dup_ranked, dup_shape, dup_per_file, dup_focus, dup_renamed, clone_newest, comment_blame, rename_resolution, refactor_verdicts, refactor_limits, agent_risk, agent_verdicts, size_label,
     )
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 import html
 import json
 import os
+import textwrap
+import time
 from collections.abc import Sequence
 from typing import Any
 
@@ -85,33 +87,107 @@ REASONS = {
 }
 
 
+#: What each sign of risk means.
+RISKS = {
+    "dense": "many decisions a line of code", "large": "costs many tokens to read", "duplicated": "much of it stands elsewhere too: an edit may have to be made in every copy",
+    "diffuse": "its decisions are spread over the whole file",
+}
+PLACES = {"withinFile": "within one file", "sameDirectory": "in one directory", "samePackage": "in one package", "crossPackage": "across packages"}
+#: Clones of an HTML page, and lines of code that it shows of each.
+CLONES, SNIPPET = 500, 60
+#: Columns of text beyond which it goes on in the next line.
+WIDTH = 100
+
+
+def wrap(text: str, width: int = WIDTH, indent: str = "") -> str:
+    """Text in lines of at most ``width``, broken at spaces; words longer than that stay whole."""
+    return textwrap.fill(text, width, initial_indent=indent, subsequent_indent=indent, break_long_words=False, break_on_hyphens=False)
+
+
+def multiple(value: float, of: float) -> str:
+    """How many times one figure is another."""
+    return f"{number(round(value / of, 1))}x" if of else "-"
+
+
+def _shape(result: dict[str, Any]) -> list[str]:
+    """What duplication looks like: sizes, places, and how much a few groups hold."""
+    shape = result["shape"]
+    groups = shape["groups"]
+    if not groups:
+        return ["no duplicated blocks"]
+    places = sorted(((n, PLACES[k]) for k, n in shape["byLocation"].items() if n), reverse=True)
+    out = [
+        f"groups: {number(groups)}, {number(shape['removable'])} lines to save by keeping one copy of each",
+        f"size: {shape['underTen']:.0f} % under 10 lines, median {number(shape['medianLines'])}, largest {number(shape['maxLines'])}",
+        "where: " + ", ".join(f"{n / groups * 100:.0f} % {where}" for n, where in places),
+        f"spread: the ten largest hold {shape['topTenShare']:.0f} % of what can be saved",
+    ]
+    return out + ([f"renamed: {number(result['renamedGroups'])} more groups if names do not matter"] if result.get("renamedGroups") else [])
+
+
+def duplication(result: dict[str, Any], top: int | None, now: float | None = None) -> list[str]:
+    """The parts of a duplication report: its shape, what is most worth removing, and the clones with their places."""
+    churn, now = result.get("churn"), time.time() if now is None else now
+    body = []
+    for r in result["ranked"][:top]:
+        more = len(r["files"]) - 1
+        row = [shorten(r["files"][0], 60) + (f" +{more}" if more else ""), r["lineCount"], r["copies"], r["removable"]]
+        if churn is not None:
+            times = [churn[f] for f in r["files"] if f in churn]
+            row.append(age(now - max(times)) if times else "-")
+        body.append(row)
+    clones = [[c["lineCount"], len(c["fragments"]), ", ".join(f"{f['path']}:{f['startLine']}-{f['endLine']}" for f in c["fragments"])] for c in result["clones"]]
+    head = ["where", "lines", "copies", "removable", *(["last change"] if churn is not None else [])]
+    return ["\n".join(_shape(result)), table(head, body) if body else "", table(["lines", "copies", "where"], clones[:top]) if clones else ""]
+
+
 def text(command: str, result: dict[str, Any], top: int | None = None, more: Sequence[str] = ()) -> str:
     """A summary line and the listings of a result, ``top`` rows each; ``more`` names columns that the first listing adds."""
     parts = ["  ".join(f"{k}: {number(result[k])}" for k in SUMMARIES[command])]
     if command == "dup":
-        body = [[c["lineCount"], len(c["fragments"]), ", ".join(f"{f['path']}:{f['startLine']}-{f['endLine']}" for f in c["fragments"])] for c in result["clones"]]
-        parts.append(table(["lines", "copies", "where"], body[:top]))
+        parts += duplication(result, top)
     for i, (key, columns) in enumerate(LISTINGS[command]):
         columns = [*columns, *more] if i == 0 else columns
         parts.append(table(columns, [[r.get(c) for c in columns] for r in result[key][:top]]))
+        if top is not None and len(result[key]) > top:
+            parts.append(f"{number(len(result[key]) - top)} more")
     if "verdicts" in result:
         parts.append("\n".join(f"{k}: {v} ({REASONS[k]})" for k, v in result["verdicts"].items()))
+    if command == "agent":
+        found = {risk for r in result["candidates"][:top] for risk in r["risks"]}
+        parts.append("\n".join(wrap(f"{k}: {meaning}") for k, meaning in RISKS.items() if k in found))
     if "window" in result:
-        parts.append(f"{number(result['totalTokens'] / result['window'] * 100)} % of a window of {compact(result['window'])} tokens")
+        parts.append(f"{number(result['totalTokens'] / result['window'] * 100)} % of a window of {compact(result['window'])} tokens ({multiple(result['totalTokens'], result['window'])})")
     left = result.get("excluded", {}).get("files", 0)
     if left:
-        parts.append(f"{number(left)} files left out: " + ", ".join(f"{r['role']} {r['files']}" for r in result["excluded"]["roles"]))
+        parts.append(wrap(f"{number(left)} files left out: " + ", ".join(f"{r['role']} {r['files']}" for r in result["excluded"]["roles"])))
     return "\n\n".join(p for p in parts if p)
 
 
-def page(command: str, result: dict[str, Any]) -> str:
-    """A page of the listings, at most ``HTML_ROWS`` rows each."""
+def _html_table(columns: Sequence[str], body: Sequence[Sequence[Any]]) -> str:
+    head = "".join(f"<th>{html.escape(c)}</th>" for c in columns)
+    return f"<table><thead><tr>{head}</tr></thead><tbody>" + "".join("<tr>" + "".join(f"<td>{html.escape(str(c))}</td>" for c in r) + "</tr>" for r in body) + "</tbody></table>"
+
+
+def _clones(result: dict[str, Any], code: Sequence[str]) -> list[str]:
+    """Clones with the places of their copies and the code of the first."""
+    out = ["<h2>shape</h2><ul>" + "".join(f"<li>{html.escape(x)}</li>" for x in _shape(result)) + "</ul><h2>clones</h2>"]
+    for clone, own in zip(result["clones"][:CLONES], [*code, *[""] * len(result["clones"])]):
+        lines = own.split("\n")
+        shown = "\n".join(lines[:SNIPPET]) + (f"\n({len(lines) - SNIPPET} more lines)" if len(lines) > SNIPPET else "")
+        places = "".join(f"<li>{html.escape(f['path'])}:{f['startLine']}-{f['endLine']}</li>" for f in clone["fragments"])
+        out.append(f"<section><h3>{clone['lineCount']} lines, {len(clone['fragments'])} copies</h3><ul>{places}</ul>" + (f"<pre><code>{html.escape(shown)}</code></pre>" if own else "") + "</section>")
+    hidden = len(result["clones"]) - CLONES
+    return out + ([f"<p>{number(hidden)} more clones</p>"] if hidden > 0 else [])
+
+
+def page(command: str, result: dict[str, Any], code: Sequence[str] = ()) -> str:
+    """A page of the listings, at most ``HTML_ROWS`` rows each; ``code`` has that of the clones in their order."""
     out = [f'<!doctype html><html><head><meta charset="utf-8"><meta name="generator" content="{TOOL} {VERSION}"><title>{TOOL} {command} report</title></head><body>']
+    out.append("<p>" + html.escape("  ".join(f"{k}: {number(result[k])}" for k in SUMMARIES[command])) + "</p>")
     for key, columns in LISTINGS[command]:
-        head = "".join(f"<th>{html.escape(c)}</th>" for c in columns)
-        body = "".join("<tr>" + "".join(f"<td>{html.escape(str(r.get(c)))}</td>" for c in columns) + "</tr>" for r in result[key][:HTML_ROWS])
-        out.append(f"<h2>{html.escape(key)}</h2><table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>")
-    return "".join([*out, "</body></html>"])
+        out.append(f"<h2>{html.escape(key)}</h2>" + _html_table(columns, [[r.get(c) for c in columns] for r in result[key][:HTML_ROWS]]))
+    return "".join([*out, *(_clones(result, code) if command == "dup" else []), "</body></html>"])
 
 
 def readme_section(result: dict[str, Any], label: str) -> str:

@@ -52,11 +52,17 @@ def dup(out: dict[str, DataFrame], limit: int | None = None) -> Result:
         return [{k: f[k] for k in ("path", "startLine", "endLine")} for f in r["fragments"]]
 
     clones = [{"lineCount": r["lineCount"], "fragments": fragments(r)} for r in rows(out["clones"], limit)]
+    ranked = [{k: r[k] for k in ("files", "copies", "lineCount", "removable")} for r in rows(out["ranked"], limit)]
     shape = one(out["shape"])
     places = ("withinFile", "sameDirectory", "samePackage", "crossPackage")
     shape["byLocation"] = {p: shape.pop(p) for p in places}
     extra = {"renamedGroups": one(out["renamed"])["renamedGroups"]} if "renamed" in out else {}
-    return one(out["headline"]) | {"clones": clones, "perFile": rows(out["per_file"], limit), "shape": shape} | extra
+    return one(out["headline"]) | {"clones": clones, "ranked": ranked, "perFile": rows(out["per_file"], limit), "shape": shape} | extra
+
+
+def snippets(out: dict[str, DataFrame], limit: int) -> list[str]:
+    """The code of the first ``limit`` clones, in their order."""
+    return ["\n".join(r["code"]) for r in rows(out["coded"].select("code"), limit)]
 
 
 def cx(out: dict[str, DataFrame], limit: int | None = None) -> Result:

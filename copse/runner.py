@@ -32,6 +32,7 @@ class Options:
     cross_file: bool = False
     renamed: bool = False
     churn: bool = False
+    snippets: int = 0
     years: float = 3
     scan: int = 50
     budget: int = 50_000
@@ -80,6 +81,8 @@ def run(spark: SparkSession, command: str, root: str, options: Options | None =
         elif command == "dup":
             out = analyses.dup(files, o.min_lines or duplication.MIN_LINES, o.min_copies, cross_file_only=o.cross_file, renamed=o.renamed, **scope)
             result = results.dup(out, limit)
+            if o.snippets:
+                result["code"] = results.snippets(out, o.snippets)
             if o.churn:
                 paths = out["ranked"].limit(limit or 10).select(F.explode("files").alias("path")).distinct()
                 result["churn"] = {r.path: r.newest for r in duplication.clone_churn(out["clones"], git.read_blame(paths, root), limit or 10).collect()}

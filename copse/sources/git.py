@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from copse.operators.components import components
 from copse.operators.history import is_bot, number, rename_pair
 
 _RECORD, _UNIT = "\x1e", "\x1f"
@@ -63,11 +64,11 @@ def resolve(rows: DataFrame) -> DataFrame:
     """``ord, path, added, deleted`` with every path as the file is named now.
 
     A rename says what older changes' paths became; the log is one stream, newest first, and names are followed along
-    it in one ordered pass. Only renames and the paths they touch need the pass.
+    it in order. Only renames and the paths they touch need this, and only those of one family of names, which renames
+    connect, have to be read in order: each family is a group of its own.
     """
     renamed = rows.where(F.col("from") != F.col("to"))
-    if renamed.isEmpty():
-        return rows.select("ord", F.col("to").alias("path"), "added", "deleted")
+    families = components(renamed.select("from", "to"), "from", "to").select(F.col("node").alias("to"), F.col("root").alias("family"))
 
     def follow(rows: pd.DataFrame) -> pd.DataFrame:
         now: dict[str, str] = {}
@@ -82,10 +83,9 @@ def resolve(rows: DataFrame) -> DataFrame:
             out.append(path)
         return rows.sort_values(["ord", "line"])[["ord", "added", "deleted"]].assign(path=out)[["ord", "path", "added", "deleted"]]
 
-    names = renamed.select(F.explode(F.array("from", "to")).alias("to")).distinct()
-    touched = rows.join(names, "to", "left_semi")
-    apart = rows.join(names, "to", "left_anti").select("ord", F.col("to").alias("path"), "added", "deleted")
-    followed = touched.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(follow, "ord int, path string, added long, deleted long")
+    met = rows.join(families, "to", "left")
+    apart = met.where("family IS NULL").select("ord", F.col("to").alias("path"), "added", "deleted")
+    followed = met.where("family IS NOT NULL").groupBy("family").applyInPandas(follow, "ord int, path string, added long, deleted long")
     return apart.unionByName(followed)
 
 
