@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by inner product with collision-counting hashing.
 
-Vectors get one more component so that all have the longest one's length; then the largest inner product is the
-smallest distance. Directions drawn as random orthonormal bases give each vector one number each, and each
-direction's numbers are one sorted array. Around a query's number a window grows on every array at once; by
-virtual rehashing each wider window contains the one before, so only newly covered entries are counted. A vector
-that lies in the windows of enough directions is a candidate; when there are enough candidates they are verified
-by the exact inner product. (Gan et al., C2LSH, 2012; Huang et al., QALSH, 2015.)
+Vectors get one more component so that all of a slice have its longest one's length; then the largest inner product is
+the smallest distance. Directions drawn as random orthonormal bases give each vector one number each, and each
+direction's numbers are one sorted array. Around a query's number a window grows on every array at once; by virtual
+rehashing each wider window contains the one before. When enough vectors lie in the windows of a share of the
+directions, those with most collisions are verified by the exact inner product. Slices hold vectors of similar
+lengths, the longest first, and a slice that cannot hold a nearer one than those found is left out. (Gan et al., C2LSH,
+2012; Huang et al., QALSH, 2015; Yan et al., "Norm-Ranging LSH for Maximum Inner Product Search", 2018.)
 
 Stated queries run against all vectors in blocks: a task holds one block of either.
 """
@@ -22,10 +23,12 @@ from pyspark.sql import functions as F
 
 from copse.llm.common import cut
 
-#: Orthonormal bases of directions; share of directions that must collide; verified candidates of a block: a number
-#: and a share; growth of the windows; seed of the directions; vectors and queries of a block.
-BASES, THRESHOLD, ENOUGH, SHARE, GROWTH, SEED = 2, 0.85, 400, 0.12, 1.15, 7
-BLOCK, QUERY_BLOCK = 32768, 1024
+#: Orthonormal bases of directions; share of directions that must collide; verified candidates of a slice: a number and
+#: a share; width of the first window in standard deviations, and growth of the windows; seed of the directions; shares of
+#: a block's vectors at which slices end; vectors and queries of a block.
+BASES, THRESHOLD, ENOUGH, SHARE, WIDTH, GROWTH, SEED = 3, 0.9, 100, 0.012, 1.7, 1.15, 7
+SLICES = (0.005, 0.05, 0.2, 1.0)
+BLOCK, QUERY_BLOCK = 32768, 8192
 
 
 @functools.cache
@@ -35,31 +38,29 @@ def directions(dim: int, bases: int = BASES, seed: int = SEED) -> np.ndarray:
     return np.concatenate([np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(bases)], axis=1)
 
 
-class Index:
-    """The sorted arrays of a block of vectors.
+class Slice:
+    """The sorted arrays of vectors of similar lengths.
 
     An array is kept as the place of each vector in the order of a direction, so that a window, which is a range of
     places, is compared with all vectors at once.
     """
 
-    def __init__(self, vectors: np.ndarray, longest: float):
-        self.vectors, self.longest, n = vectors, longest, len(vectors)
-        rest = np.sqrt(np.maximum(0, longest**2 - (vectors**2).sum(axis=1)))
+    def __init__(self, vectors: np.ndarray, rows: np.ndarray):
+        lengths = np.sqrt((vectors**2).sum(axis=1))
+        self.vectors, self.rows, self.longest, n = vectors, rows, float(lengths.max()), len(vectors)
+        rest = np.sqrt(np.maximum(0, self.longest**2 - lengths**2))
         self.by = directions(vectors.shape[1] + 1)
         numbers = (np.c_[vectors, rest] @ self.by).T
         order = np.argsort(numbers, axis=1, kind="stable")
         self.sorted = np.take_along_axis(numbers, order, axis=1)
         self.place = np.empty(order.shape, dtype=np.uint16 if n < 65536 else np.uint32)
         np.put_along_axis(self.place, order, np.arange(n, dtype=self.place.dtype)[None, :], axis=1)
-        self.first = self.sorted.std(axis=1).mean() / 4 or 1e-9
+        self.first = self.sorted.std(axis=1).mean() * WIDTH or 1e-9
         self.enough = min(n, ENOUGH + int(SHARE * n))
-        self.level = 0  # where the last query ended; neighbours of other queries are about as far
 
-    def ask(self, queries: np.ndarray) -> None:
-        """Take in a block of queries; their windows of each level are found together, when a query needs them."""
-        self.queries = queries
-        at = np.c_[queries / np.linalg.norm(queries, axis=1, keepdims=True) * self.longest, np.zeros(len(queries))]
-        self.at, self.windows = (at @ self.by).T, {}
+    def ask(self, directed: np.ndarray) -> None:
+        """Take in a block of queries of length 1; their windows of each level are found together, when a query needs them."""
+        self.at, self.windows = (np.c_[directed * self.longest, np.zeros(len(directed))] @ self.by).T, {}
 
     def _collisions(self, q: int, level: int) -> np.ndarray:
         """In how many directions each vector lies in the window of a query at a level."""
@@ -82,33 +83,49 @@ class Index:
         return total + few
 
     def candidates(self, q: int) -> np.ndarray:
-        """Rows that collide with a query in enough directions, at the first level that has enough of them.
-
-        A level's window holds those of the levels before, so the first such level is found from any other.
-        """
-        found_at = lambda level: np.flatnonzero(self._collisions(q, level) >= THRESHOLD * len(self.at))
-        found = found_at(self.level)
-        if len(found) >= self.enough:
-            while self.level and len(less := found_at(self.level - 1)) >= self.enough:
-                self.level, found = self.level - 1, less
-        while len(found) < self.enough:
-            self.level += 1
-            found = found_at(self.level)
-        return found
+        """The places of the vectors that collide with a query most, at the first level where enough do in enough directions."""
+        if self.enough == len(self.vectors):
+            return np.arange(self.enough)
+        level, counts = 0, self._collisions(q, 0)
+        while np.count_nonzero(counts >= THRESHOLD * len(self.at)) < self.enough:
+            level += 1
+            counts = self._collisions(q, level)
+        return np.flatnonzero(counts >= np.partition(counts, len(counts) - self.enough)[len(counts) - self.enough])
+
+
+class Index:
+    """A block of vectors in slices by length, the longest first."""
+
+    def __init__(self, vectors: np.ndarray):
+        order = np.argsort(-(vectors**2).sum(axis=1), kind="stable")
+        ends = [0, *(int(share * len(order)) for share in SLICES)]
+        self.slices = [Slice(vectors[order[a:b]], order[a:b]) for a, b in zip(ends, ends[1:]) if a < b]
+
+    def ask(self, queries: np.ndarray) -> None:
+        """Take in a block of queries."""
+        self.queries, self.lengths = queries, np.linalg.norm(queries, axis=1)
+        for part in self.slices:
+            part.ask(queries / self.lengths[:, None])
 
     def nearest(self, ids: np.ndarray, query_id: int, q: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and scores of the best ``k`` candidates but the query's own id; ties to the smaller id, null ids last."""
-        found = self.candidates(q)
-        found = found[ids[found] != query_id]
-        vectors = self.vectors.take(found, axis=0)
-        if len(found) > k:  # a fast product, whose rounding may differ from row to row, leaves those that can be among the best
-            rough = vectors @ self.queries[q]
-            least = np.partition(rough, len(found) - k)[len(found) - k]
-            able = rough >= least - 1e-9 * (1 + abs(least))
-            found, vectors = found[able], vectors[able]
-        scores = (vectors * self.queries[q]).sum(axis=1)
-        best = np.lexsort((ids[found], -scores))[:k]
-        return found[best], scores[best]
+        best_rows, best = np.zeros(0, dtype=np.int64), np.zeros(0)
+        for part in self.slices:
+            if len(best) == k and best[-1] > part.longest * self.lengths[q] * (1 + 1e-9):
+                break
+            found = part.candidates(q)
+            found = found[ids[part.rows[found]] != query_id]
+            vectors = part.vectors.take(found, axis=0)
+            if len(found) > k:  # a fast product, whose rounding may differ from row to row, leaves those that can be among the best
+                rough = vectors @ self.queries[q]
+                least = np.partition(rough, len(found) - k)[len(found) - k]
+                able = rough >= least - 1e-9 * (1 + abs(least))
+                found, vectors = found[able], vectors[able]
+            rows = np.r_[best_rows, part.rows[found]]
+            scores = np.r_[best, (vectors * self.queries[q]).sum(axis=1)]
+            order = np.lexsort((ids[rows], -scores))[:k]
+            best_rows, best = rows[order], scores[order]
+        return best_rows, best
 
 
 _NO_ID = np.iinfo(np.int64).max  # stands for a null id in a block, where it sorts last
@@ -123,7 +140,7 @@ def _search(k: int):
         out = []
         if len(queries) and len(base):
             ids = base["vec_id"].to_numpy()
-            index = Index(_matrix(base["vector"]), float(base["longest"].iloc[0]))
+            index = Index(_matrix(base["vector"]))
             index.ask(_matrix(queries["vector"]))
             for q, query_id in enumerate(queries["query_id"]):
                 rows, scores = index.nearest(ids, query_id, q, k)
@@ -149,15 +166,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """
     vector = F.col("embedding").cast("array<double>")
     rows = vectors.select("vec_id", vector.alias("vector"), is_query.alias("q")).where(_usable(F.col("vector")))
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-    rows = rows.withColumn("dim", F.size("vector"))
-    sizes = rows.agg(F.count("*"), F.count_if("q")).first()
-    blocks, query_blocks = (max(1, -(-n // size)) for n, size in zip(sizes, (BLOCK, QUERY_BLOCK), strict=True))
-    longest = rows.groupBy("dim").agg(F.max(norm).alias("longest"))
-    deal = lambda n: F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n)).cast("int")
-    base = rows.join(longest, "dim").select(
-        "dim", F.coalesce("vec_id", F.lit(_NO_ID)).cast("long").alias("vec_id"), "vector", "longest", deal(blocks).alias("block")
-    )
+    # the blocks of rows stay what they are when rows are computed again
+    rows = cut(rows.withColumns({"dim": F.size("vector"), "row": F.monotonically_increasing_id()}))
+    n, asked = rows.agg(F.count("*"), F.count_if("q")).first()
+    blocks = max(1, -(-n // BLOCK))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    query_blocks = max(1, -(-asked // QUERY_BLOCK), min(-(-cores // blocks), asked // 256))
+    base = rows.select("dim", F.coalesce("vec_id", F.lit(_NO_ID)).cast("long").alias("vec_id"), "vector", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"))
     base = base.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     queries = rows.where("q AND vec_id IS NOT NULL").selectExpr("dim AS dim", "vec_id AS query_id", "vector AS vector").distinct()
     queries = queries.withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))

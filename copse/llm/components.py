@@ -1,44 +1,5 @@
-"""Distributed connected components by alternating large-star and small-star steps.
+"""Distributed connected components, as the rest of the library has them."""
 
-The two steps only ever group by one node and join on it, so no component is held in one place; a hub's
-neighbours are pre-aggregated on the map side and its join side is split by adaptive skew handling.
-(Kiveris et al., "Connected Components in MapReduce and Beyond", 2014.)
-"""
+from copse.operators.components import components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from copse.llm.common import cut
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """``(node, root)`` for every node that has an edge to another; root is the smallest node reachable.
-
-    Edges may repeat, be in either direction, or join a node to itself; edges with a null end are ignored.
-    No edges give an empty result.
-    """
-    pairs = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    now, before = cut(pairs), None
-    while True:
-        # the sums say whether a round changed any edge
-        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            break
-        before = state
-        now = cut(_small_star(_large_star(now)))
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+__all__ = ["components"]

@@ -2,8 +2,8 @@
 
 A text's terms are its word shingles. Each term's hash votes +weight on its set bits and -weight on the others;
 the weight is 1 + floor(log2(term frequency)), so that a term repeated a thousand times counts ten times, not a
-thousand. The search cuts a fingerprint into ``radius + 1`` blocks: two fingerprints within the radius agree in
-at least one whole block, so each block leads one permuted table, and equal leading blocks are compared.
+thousand. The search cuts a fingerprint into ``radius + 2`` blocks: two fingerprints within the radius agree in
+at least two whole blocks, so each two blocks lead one permuted table, and equal leading blocks are compared.
 (Manku et al., "Detecting Near-Duplicates for Web Crawling", 2007.)
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,10 @@ from copse.llm.buckets import links
 from copse.llm.common import cut, small_batches, text_of
 from copse.llm.components import components
 
-#: Words of a term, bits of a fingerprint, and the Hamming radius of the search.
-TERM_WORDS, BITS, RADIUS = 3, 128, 3
-#: Consecutive ids that one sort key holds when texts meet their neighbours.
-BLOCK = 2048
+#: Words of a term, bits of a fingerprint, the Hamming radius of the search, and the blocks that lead a permuted table.
+TERM_WORDS, BITS, RADIUS, LEADING = 3, 128, 5, 2
+#: Bytes of text of a part when texts meet their neighbours; from so many parts on, parts grow up to eight times as large.
+PART_BYTES, MANY_PARTS = 16 << 20, 4096
 
 #: For each byte, its eight bits as eight one-byte lanes, so that one addition counts eight bits.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
@@ -86,82 +87,101 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def block_keys(words: list[Column], blocks: int) -> list[Column]:
-    """One key for each permuted table: the table's number and the block that leads it."""
-    bits, keys = 64 * len(words), []
+def block_keys(words: list[Column], blocks: int, leading: int = LEADING) -> list[Column]:
+    """One key for each permuted table: the table's number and the ``leading`` blocks that lead it.
+
+    Two fingerprints that differ in at most ``blocks - leading`` bits agree in the leading blocks of some table.
+    """
+    bits, parts = 64 * len(words), []
     for k in range(blocks):
         lo, hi = k * bits // blocks, (k + 1) * bits // blocks
-        parts = []
+        own = []
         for i, w in enumerate(words):
             a, b = max(lo, 64 * i), min(hi, 64 * i + 64)
             if a < b:
                 mask = (1 << (b - a)) - 1
-                parts.append(F.shiftrightunsigned(w, 64 * i + 64 - b).bitwiseAND(F.lit(mask if mask < 1 << 63 else -1).cast("long")))
-        keys.append(F.xxhash64(F.lit(k), *parts) if len(parts) > 1 or hi - lo > 56 else parts[0] + F.lit(k << 56))
-    return keys
+                own.append(F.shiftrightunsigned(w, 64 * i + 64 - b).bitwiseAND(F.lit(mask if mask < 1 << 63 else -1).cast("long")))
+        parts.append(own)
+    return [F.xxhash64(F.lit(t), *[x for k in table for x in parts[k]]) for t, table in enumerate(combinations(range(blocks), leading))]
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, next_text``: each text beside that of the next smaller id; the smallest meets the largest.
+def ordered(docs: DataFrame) -> DataFrame:
+    """``part, doc_id, text`` in descending order of ids, within parts that follow one another.
 
-    Ids are cut into blocks of ``BLOCK``; a block's texts are dealt to one task and read as a stream, with the
-    first text of the next lower block as a guest at the end. Null ids come last; equal ids are ordered by the
-    text's hash.
+    Null ids come last; equal ids are ordered by the text's hash, and equal rows are spread like others. Parts are
+    dealt by ranges of about ``PART_BYTES`` of text, so that no id, block of ids or sparse numbering makes a large one.
     """
     small_batches(docs.sparkSession)
-    own = docs.select("doc_id", text_of().alias("text"))
-    block = F.coalesce(F.expr(f"doc_id div {BLOCK}"), F.lit(-(2**60)))
-    own = own.withColumn("block", block)
-    # a row for each block of ids says which block needs its first text; each task finds its own first texts
-    order = "OVER (ORDER BY block DESC)"
-    to = own.select("block").distinct().select("block", F.expr(f"coalesce(lag(block) {order}, min(block) OVER ()) AS to"))
-    first = F.struct("doc_id", F.bitwise_not(F.xxhash64("text")))
-    tops = own.groupBy("block").agg(F.max("doc_id").alias("doc_id"), F.max_by("text", first).alias("text"))
-    guests = tops.join(to, "block").select(F.col("to").alias("block"), F.lit(1).alias("guest"), "doc_id", "text")
-    rows = own.select("block", F.lit(0).alias("guest"), "doc_id", "text").unionByName(guests)
-    return rows.repartition("block").sortWithinPartitions("block", "guest", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Of rows as ``neighbours`` deals them, each text with the next one, as (id, text, fingerprint, next text, its fingerprint)."""
-    before = None
-    for batch in batches:
-        out = []
-        for block, guest, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            now = (block, doc_id, text, weighted_simhash(text))
-            if before and before[0] == block:
-                out.append((*before[1:], text, now[3]))
-            before = None if guest else now
-        yield out
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(1, min(-(-size // PART_BYTES), max(MANY_PARTS, -(-size // (8 * PART_BYTES)))))
+    keyed = own.select("doc_id", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"), "text")
+    order = [F.desc_nulls_last("doc_id"), F.col("h"), F.col("row")]
+    dealt = keyed.repartitionByRange(int(parts), *order).sortWithinPartitions(*order)
+    return dealt.select(F.spark_partition_id().alias("part"), "doc_id", "text")
+
 
+def _row(doc_id: int | None, text: str, own: bytes, following: str, next_print: bytes) -> tuple:
+    changed = edited(text, following)
+    other = weighted_simhash(changed)
+    sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
+    hi, lo = (int.from_bytes(own[i : i + 8], signed=True) for i in (0, 8))
+    return doc_id, len(text), sha, own.hex(), other.hex(), likeness(own, other), likeness(own, next_print), hi, lo
 
-def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for pairs in _pairs(batches):
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = zip(*rows, strict=True) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
+
+
+def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document but the last of a part; of each part its first (edge 0) and last (edge 1) text as well."""
+    before, none = None, (None,) * len(_SCHEMA)
+    for batch in batches:
         out = []
-        for doc_id, text, own, following, next_print in pairs:
-            changed = edited(text, following)
-            other = weighted_simhash(changed)
-            sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-            hi, lo = (int.from_bytes(own[i : i + 8], signed=True) for i in (0, 8))
-            out.append((doc_id, len(text), sha, own.hex(), other.hex(), likeness(own, other), likeness(own, next_print), hi, lo))
-        cols = zip(*out, strict=True) if out else [[] for _ in _SCHEMA]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _SCHEMA.types, strict=True)], schema=_SCHEMA)
+        for part, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            now = (doc_id, text, weighted_simhash(text))
+            if before is None:
+                out.append((*none, part, 0, doc_id, text))
+            else:
+                out.append((*_row(*before, text, now[2]), None, None, None, None))
+            before, place = now, part
+        yield _batch(out, _EDGED)
+    if before:
+        yield _batch([(*none, place, 1, *before[:2])], _EDGED)
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each last document of a part, beside the first of the next."""
+    for batch in batches:
+        rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        yield _batch([_row(i, text, weighted_simhash(text), following, weighted_simhash(following)) for i, text, following in rows], _SCHEMA)
 
 
 _SCHEMA = pa.schema(
     [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string())]
     + [("near_edited", pa.float64()), ("near_next", pa.float64()), ("hi", pa.int64()), ("lo", pa.int64())]
 )
+_EDGED = pa.schema([*_SCHEMA, ("part", pa.int32()), ("edge", pa.int32()), ("edge_id", pa.int64()), ("edge_text", pa.string())])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """A row for each document: its fingerprint, and those of its edited text and of the next document beside it.
 
-    A null text counts as empty; a text without words has fingerprint zero. Repeated rows each get a row. Other
-    columns are left out, so their names cannot clash. An empty table gives an empty result.
+    Texts are put in order in parts; what a part lacks, the first text of the next, is exchanged afterwards as one
+    small row a part. A null text counts as empty; a text without words has fingerprint zero. Repeated rows each get
+    a row; a single document is its own next. Other columns are left out, so their names cannot clash. An empty table
+    gives an empty result.
     """
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, hi long, lo long"
-    return neighbours(docs).mapInArrow(_fingerprinted, schema)
+    met = cut(ordered(docs).mapInArrow(_inside, f"{schema}, part int, edge int, edge_id long, edge_text string"))
+    edges = met.where("edge IS NOT NULL")
+    # two numbers for each part that holds rows, put in order by one task
+    follows = edges.where("edge = 0").select("part", F.expr("coalesce(lead(part) OVER (ORDER BY part), min(part) OVER ()) AS next"))
+    firsts = edges.where("edge = 0").select(F.col("part").alias("next"), F.col("edge_text").alias("following"))
+    lasts = edges.where("edge = 1").join(follows, "part").join(firsts, "next").select("edge_id", "edge_text", "following")
+    names = [f.name for f in _SCHEMA]
+    return met.where("edge IS NULL").select(*names).unionByName(lasts.mapInArrow(_across, schema))
 
 
 def within(prints: DataFrame, keys: list[Column], radius: int, words: list[str]) -> DataFrame:
@@ -179,4 +199,4 @@ def within(prints: DataFrame, keys: list[Column], radius: int, words: list[str])
 
 def search(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``prints`` (``doc_id, hi, lo, ...``) with the component of all fingerprints within ``radius`` bits."""
-    return within(prints, block_keys([F.col("hi"), F.col("lo")], radius + 1), radius, ["hi", "lo"])
+    return within(prints, block_keys([F.col("hi"), F.col("lo")], radius + LEADING), radius, ["hi", "lo"])

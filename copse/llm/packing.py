@@ -124,21 +124,22 @@ def pack(cut_pieces: DataFrame, length: int = LENGTH, shard: int = SHARD) -> Dat
     """``cut_pieces`` (``doc_id, start, length`` and any more) with ``sequence_id`` and ``offset``.
 
     Offsets are gapless from 0 within each sequence. Sequence ids are unique, not gapless: even ones are full
-    windows, odd ones belong to shards, whose numbers lead them. ``cut_pieces`` is read more than once: give it as a table or checkpoint.
+    windows, odd ones belong to shards, whose numbers lead them. Leftovers are dealt by their place in ``cut_pieces``, so
+    that repeated rows are spread like others; it is read more than once: give it as a table or checkpoint.
     """
     full = F.col("length") == length
     count = cut_pieces.where(~full).count()
     shards = max(1, -(-count // shard))
     alone = cut_pieces.where(full).select("*", (F.monotonically_increasing_id() * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rows = cut_pieces.where(~full).withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "doc_tokens"), F.lit(shards)))
+    rows = cut_pieces.where(~full).withColumn("__shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
         windows, offsets = best_fit_decreasing(rows["length"].tolist(), length)
-        return rows.assign(sequence_id=2 * (rows["shard"] * 2**33 + windows) + 1, offset=offsets).drop(columns="shard")
+        return rows.assign(sequence_id=2 * (rows["__shard"] * 2**33 + windows) + 1, offset=offsets).drop(columns="__shard")
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_pieces.schema)
-    return alone.unionByName(rows.groupBy("shard").applyInPandas(run, f"{fields}, sequence_id long, offset long"))
+    return alone.unionByName(rows.groupBy("__shard").applyInPandas(run, f"{fields}, sequence_id long, offset long"))
 
 
 def sequences(packed: DataFrame, length: int = LENGTH, pad_id: int = 0) -> DataFrame:

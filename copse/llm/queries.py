@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copse.llm import ann, bpe, fingerprints, line_dedup, packing, pii, secrets, simhash_dedup, toxicity, urls
-from copse.llm.common import cut, spans_digest, table
+from copse.llm.common import spans_digest, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +20,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prints = cut(fingerprints.fingerprints(table(spark, sf_dir, "documents")))
-    return fingerprints.search(prints).drop("hi", "lo")
+    return fingerprints.search(fingerprints.fingerprints(table(spark, sf_dir, "documents"))).drop("hi", "lo")
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Toxicity scores by weak supervision.
 
-Voters look at a document and vote toxic, clean, or abstain: lexicons (a fixed list of insults, and words and word
-beginnings that stand out in toxic training rows) and patterns (capitals, exclamation marks, repeated words). The
-given label is one more voter. A generative label model estimates by expectation maximisation how often each voter
-votes what on toxic and on clean documents, and how far voters err together; voters that repeat each other share
-their weight. The posteriors it gives train a linear classifier over the words and word beginnings, which scores
-every document.
+Voters look at a document and vote toxic, clean, or abstain: lexicons (a fixed list of insults, and groups of words and
+word beginnings that stand out in the toxic rows of one half of the training rows) and patterns (capitals, exclamation
+marks, repeated words). No label is a voter. A generative label model estimates by expectation maximisation, from the
+votes alone, how often each voter votes what on toxic and on clean documents, and how voters depend on each other: in
+each class the votes are a tree of pairwise dependences, found as the spanning forest with most conditional mutual
+information. (Ratner et al., "Snorkel", 2017; Chow and Liu, 1968; Friedman et al., "Bayesian Network Classifiers", 1997.)
+The posterior labels choose features, and train a linear classifier over words and word beginnings, which scores every
+document; the given labels of the other half of the training rows only calibrate its scores.
 
 Everything is fitted on a sample of the labelled training rows of at most ``SAMPLE`` documents; documents go
 through the fitted model in one pass without a shuffle.
@@ -16,7 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,14 +28,16 @@ from pyspark.sql import functions as F
 
 from copse.llm.common import cut, small_batches, text_of
 
-#: Bounds of the fit: sampled labelled rows, features of the classifier, voters found in the training rows.
-SAMPLE, FEATURES, MINED = 12_000, 20_000, 60
+#: Bounds of the fit: sampled labelled rows, features of the classifier, words of the lexicons found in training rows.
+SAMPLE, FEATURES, MINED = 12_000, 20_000, 600
+#: Lexicons that these words are dealt to, and the log-odds from which a word is one of theirs.
+LEXICONS, STRONG = 12, 2.5
+#: Conditional mutual information, in nats, below which two voters count as independent in each class.
+DEPENDENT = 0.005
 #: Lengths of the word beginnings that are features beside whole words; how often they occur makes further features.
 PREFIXES, TIMES = (4, 5, 6), (2, 3)
 #: Standard errors by which a feature's log-odds must stand above zero to be used.
 SIGNIFICANT = 3.0
-#: Accuracy of the given labels as a voter.
-LABEL = 0.97
 
 # fixed values: a small list of insults
 INSULTS = frozenset("clown disgusting idiot loser moron pathetic scum stupid trash worthless".split())
@@ -72,48 +76,86 @@ def patterns(text: str) -> list[int]:
     ]
 
 
+@dataclass
+class Voters:
+    """Lexicons found in training rows, beside the fixed one and the patterns."""
+
+    lexicons: list[frozenset[str]]
+
+    def votes(self, text: str, own: set[str], words: Counter[str]) -> list[int]:
+        found = [_TOXIC if lexicon & own else _CLEAN for lexicon in self.lexicons]
+        return [*found, _TOXIC if INSULTS & words.keys() else _CLEAN, *patterns(text)]
+
+
 @dataclass
 class LabelModel:
-    """Class-conditional vote probabilities with a weight for each voter."""
+    """Votes in each class as a tree: each voter's table of probabilities, given its parent's vote if it has one.
+
+    ``tables[j]`` is classes x votes for a voter without a parent, else classes x the parent's votes x votes.
+    """
 
     prior: float
-    log_odds: np.ndarray  # voters x votes
-    weights: np.ndarray
+    parents: list[int]
+    tables: list[np.ndarray]
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        z = math.log(self.prior / (1 - self.prior)) + (self.weights * self.log_odds[np.arange(votes.shape[1]), votes]).sum(axis=1)
+        """The probability that each row (documents x voters) is toxic."""
+        z = np.full(len(votes), math.log(self.prior / (1 - self.prior)))
+        for j, (parent, table) in enumerate(zip(self.parents, self.tables, strict=True)):
+            odds = np.log(table[1] / table[0])
+            z += odds[votes[:, j]] if parent < 0 else odds[votes[:, parent], votes[:, j]]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_label_model(votes: np.ndarray, start: np.ndarray, anchor: float | None = None, rounds: int = 12) -> LabelModel:
-    """Expectation maximisation from a first guess of the posteriors; ``votes`` is documents x voters.
-
-    To abstain is no evidence. With ``anchor``, the first voter's accuracy is known and stays as given, which keeps
-    the classes from drifting to another split that the voters agree on.
-    """
+def _forest(information: np.ndarray, least: float) -> list[int]:
+    """Parents of the spanning forest with most information over edges of at least ``least``; -1 for roots."""
+    m = len(information)
+    tree, near = list(range(m)), [[] for _ in range(m)]
+    for _, a, b in sorted(((information[a, b], a, b) for a in range(m) for b in range(a) if information[a, b] >= least), reverse=True):
+        if tree[a] != tree[b]:
+            near[a].append(b)
+            near[b].append(a)
+            tree = [tree[a] if t == tree[b] else t for t in tree]
+    parents, seen = [-1] * m, set()
+    for root in range(m):
+        waiting = [] if root in seen else [root]
+        while waiting:
+            seen.add(at := waiting.pop())
+            for k in near[at]:
+                if k not in seen:
+                    parents[k] = at
+                    waiting.append(k)
+    return parents
+
+
+def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 15) -> LabelModel:
+    """Expectation maximisation from a first guess of the posteriors; ``votes`` is documents x voters, and no label is known."""
     n, m = votes.shape
-    onehot = np.stack([votes == v for v in (_ABSTAIN, _CLEAN, _TOXIC)], axis=-1).astype(float)
-    post, model = start, None
+    onehot = np.eye(3)[votes].reshape(n, 3 * m)
+    post = start
     for _ in range(rounds):
         prior = float(np.clip((post.sum() + 1) / (n + 2), 1e-4, 1 - 1e-4))
-        on = (np.einsum("d,dvk->vk", post, onehot) + 0.1) / (post.sum() + 0.3)
-        off = (np.einsum("d,dvk->vk", 1 - post, onehot) + 0.1) / ((1 - post).sum() + 0.3)
-        # correlation of what is left of the votes once the class is known
-        fires = onehot[:, :, _TOXIC]
-        left = fires - post[:, None] * on[:, _TOXIC] - (1 - post)[:, None] * off[:, _TOXIC]
-        scale = left.std(axis=0) + 1e-9
-        together = (left.T @ left) / n / np.outer(scale, scale)
-        np.fill_diagonal(together, 0)
-        log_odds, weights = np.log(on / off), 1 / (1 + np.clip(together, 0, 1).sum(axis=1))
-        log_odds[:, _ABSTAIN] = 0
-        if anchor:
-            log_odds[0, [_CLEAN, _TOXIC]] = math.log((1 - anchor) / anchor), math.log(anchor / (1 - anchor))
-            weights[0] = 1
-        model = LabelModel(prior, log_odds, weights)
+        information, single, pairs = np.zeros((m, m)), [], []
+        for weight, share in ((1 - post, 1 - prior), (post, prior)):
+            joint = ((onehot * weight[:, None]).T @ onehot).reshape(m, 3, m, 3)
+            alone = (np.einsum("iaia->ia", joint) + 0.1) / (weight.sum() + 0.3)
+            joint = (joint + 0.1 / 3) / (weight.sum() + 0.3)
+            information += share * (joint * np.log(joint / (alone[:, :, None, None] * alone))).sum(axis=(1, 3))
+            single.append(alone)
+            pairs.append(joint)
+        parents = _forest(information, DEPENDENT)
+        given = lambda j, p: np.stack([pairs[k][p, :, j] / pairs[k][p, :, j].sum(axis=1, keepdims=True) for k in (0, 1)])  # noqa: B023, E731
+        tables = [np.stack([single[k][j] for k in (0, 1)]) if p < 0 else given(j, p) for j, p in enumerate(parents)]
+        model = LabelModel(prior, parents, tables)
         post = model.posterior(votes)
     return model
 
 
+def first_guess(votes: np.ndarray) -> np.ndarray:
+    """Posteriors to start from: they grow with the number of voters for toxic."""
+    return np.clip(0.02 + 0.24 * (votes == _TOXIC).sum(axis=1), 0.02, 0.95)
+
+
 @dataclass
 class Model:
     """A linear classifier over features."""
@@ -121,36 +163,25 @@ class Model:
     bias: float
     weights: dict[str, float]
 
+    def log_odds(self, own: Iterable[str]) -> float:
+        """Log-odds of a text with these features; summed in one order, so that equal texts score equally."""
+        return self.bias + sum(sorted(self.weights[f] for f in own if f in self.weights))
+
     def score(self, text: str) -> float:
-        z = self.bias + sum(self.weights[f] for f in features(word_counts(text)) if f in self.weights)
+        z = self.log_odds(features(word_counts(text)))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def fit(chosen: list[tuple[str, float]], rows: list[tuple[list[int], list[int], int]], rounds: int = 150, decay: float = 1e-3) -> Model:
-    """The label model over the voters' votes on labelled rows, and the classifier on its posteriors.
+def constant(share: float) -> Model:
+    """A model that gives every text the same score."""
+    return Model(math.log(share / (1 - share)), {})
 
-    ``chosen`` has features with their log-odds, those that stand out most first; a row is the numbers of the chosen
-    features that it has, its patterns' votes and its label. Rows of one class alone, or no rows, give a constant
-    score near that class's share.
-    """
-    y = np.array([label for *_, label in rows], dtype=float)
-    if not len(y) or y.min() == y.max():
-        share = (y.sum() + 1) / (len(y) + 2)
-        return Model(math.log(share / (1 - share)), {})
-    mined = range(min(MINED, len(chosen)))
-    strong = {i for i, (_, odds) in enumerate(chosen) if odds > 2.5}
-    words = {i for i in strong if "-" not in chosen[i][0]}
-    insults = {i for i, (f, _) in enumerate(chosen) if f in INSULTS}
-    sets = [frozenset(numbers) for numbers, _, _ in rows]
-    votes = []
-    for s, (_, by_patterns, label) in zip(sets, rows, strict=True):
-        lexicon = [_TOXIC if s & found else _CLEAN for found in (insults, words, strong - words)]
-        votes.append([_TOXIC if label else _CLEAN, *lexicon, *by_patterns, *(_TOXIC if f in s else _ABSTAIN for f in mined)])
-    votes = np.array(votes, dtype=np.int8)
-    target = fit_label_model(votes, np.where(y > 0, LABEL, 1 - LABEL), LABEL).posterior(votes)
-
-    doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    feature = np.array([f for s in sets for f in s], dtype=np.int64)
+
+def fit(chosen: list[str], rows: list[tuple[list[int], float]], rounds: int = 150, decay: float = 1e-3) -> Model:
+    """The classifier on posterior labels; a row is the numbers of the ``chosen`` features that it has, and its posterior."""
+    target = np.array([y for _, y in rows], dtype=float)
+    doc = np.repeat(np.arange(len(rows)), [len(s) for s, _ in rows])
+    feature = np.array([f for s, _ in rows for f in s], dtype=np.int64)
     w, bias = np.zeros(len(chosen)), math.log((target.sum() + 1) / (len(target) - target.sum() + 1))
     moment, size, bias_moment, bias_size = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):  # Adam over all rows
@@ -162,7 +193,22 @@ def fit(chosen: list[tuple[str, float]], rows: list[tuple[list[int], list[int],
         g = gap.sum()
         bias_moment, bias_size = 0.9 * bias_moment + 0.1 * g, 0.99 * bias_size + 0.01 * g * g
         bias -= 0.05 * (bias_moment / (1 - 0.9**t)) / (math.sqrt(bias_size / (1 - 0.99**t)) + 1e-8)
-    return Model(float(bias), {f: float(w[i]) for i, (f, _) in enumerate(chosen) if abs(w[i]) > 1e-3})
+    return Model(float(bias), {f: float(w[i]) for i, f in enumerate(chosen) if abs(w[i]) > 1e-3})
+
+
+def calibrated(model: Model, rows: list[tuple[list[str], int]], rounds: int = 25) -> Model:
+    """The model with its log-odds shifted and scaled to known labels of rows (their features, label), by a damped logistic fit."""
+    if len({y for _, y in rows}) < 2:
+        return model
+    z = np.array([model.log_odds(own) for own, _ in rows])
+    y = np.array([label for _, label in rows], dtype=float)
+    x, at, toward, weight = np.stack([z, np.ones_like(z)], axis=1), np.array([1.0, 0.0]), np.array([1.0, 0.0]), 5.0
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
+        slope = x.T @ (p - y) + weight * (at - toward)
+        at = at - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + weight * np.eye(2), slope)
+    scale = max(0.1, float(at[0]))
+    return Model(model.bias * scale + float(at[1]), {f: w * scale for f, w in model.weights.items()})
 
 
 def held_out(doc_id: Column) -> Column:
@@ -171,57 +217,88 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model from a sample of at most about ``sample`` labelled rows that are not held out, chosen by a hash of the id."""
+    """The model from a sample of at most about ``sample`` labelled rows that are not held out, chosen by a hash of the id.
+
+    One half of them, again by a hash, shows which words the lexicons hold; the other half calibrates. Labels of one
+    class alone, or none, give a constant score near that class's share.
+    """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     share = min(1.0, sample / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # the sample's bound is the bound of what is broadcast here
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
     small_batches(docs.sparkSession)
-    seen = cut(rows.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text", "CAST(toxic AS INT) AS toxic"))
-    found = standing_out(seen)
-    numbers = {f: i for i, (f, _) in enumerate(found)}
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int").alias("half")
+    seen = cut(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("toxic").cast("int").alias("toxic"), half))
+    n, toxic = seen.agg(F.count("*"), F.count_if(F.col("toxic") > 0)).first()
+    if toxic in (0, n):
+        return constant((toxic + 1) / (n + 2))
+    strong = [f for f, odds in standing_out(seen.where("half = 0"), lambda _, toxic: toxic > 0, MINED) if odds > STRONG]
+    voters = Voters([frozenset(strong[k::LEXICONS]) for k in range(min(LEXICONS, len(strong)))])
+
+    def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            votes = [voters.votes(t, features(words := word_counts(t)), words) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.list_(pa.int32()))], names=["votes"])
+
+    votes = np.array(sorted(r.votes for r in seen.mapInArrow(voted, "votes array<int>").collect()))
+    label_model = fit_label_model(votes, first_guess(votes))
+
+    def posterior(texts: list[str]) -> list[float]:
+        own = [voters.votes(t, features(words := word_counts(t)), words) for t in texts]
+        return label_model.posterior(np.array(own).reshape(len(texts), -1)).tolist()
+
+    found = [f for f, _ in standing_out(seen, lambda p, _: p >= 0.5, FEATURES, posterior)]
+    numbers = {f: i for i, f in enumerate(found)}
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             own = [sorted(numbers[f] for f in features(word_counts(t)) if f in numbers) for t in texts]
-            cols = [batch.column(0), pa.array(own, pa.list_(pa.int32())), pa.array([patterns(t) for t in texts], pa.list_(pa.int32())), batch.column(2)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "features", "patterns", "toxic"])
+            cols = [batch.column(0), pa.array(own, pa.list_(pa.int32())), pa.array(posterior(texts), pa.float64()), batch.column(2), batch.column(3)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "features", "posterior", "toxic", "half"])
 
-    kept = seen.mapInArrow(reduced, "doc_id long, features array<int>, patterns array<int>, toxic int").collect()
-    return fit(found, [(f, p, y) for _, f, p, y in sorted((r.doc_id, r.features, r.patterns, r.toxic) for r in kept)])
+    kept = seen.mapInArrow(reduced, "doc_id long, features array<int>, posterior double, toxic int, half int").collect()
+    kept = sorted((r.doc_id, r.features, r.posterior, r.toxic, r.half) for r in kept)
+    model = fit(found, [(own, p) for _, own, p, _, _ in kept])
+    return calibrated(model, [([found[i] for i in own], int(y > 0)) for _, own, _, y, half in kept if half == 1])
 
 
-def standing_out(sample: DataFrame, limit: int = FEATURES) -> list[tuple[str, float]]:
+def standing_out(
+    sample: DataFrame, is_toxic: Callable[[float, int], bool], limit: int, posterior: Callable[[list[str]], list[float]] | None = None
+) -> list[tuple[str, float]]:
     """The features with their log-odds that toxic rows have most more often than clean ones, the surest first.
 
-    Rows that have a feature are counted where they are read before anything is shuffled; at most ``limit`` features
-    come back.
+    ``is_toxic`` tells from a row's posterior and given label. Rows that have a feature are counted where they are read
+    before anything is shuffled; at most ``limit`` features come back.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_of, toxic_of = Counter(), Counter()
-            for text, toxic in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                own = features(word_counts(text))
+            texts = batch.column(1).to_pylist()
+            for text, p, label in zip(texts, posterior(texts) if posterior else [0.0] * len(texts), batch.column(2).to_pylist(), strict=True):
+                own, toxic = features(word_counts(text)), is_toxic(p, label)
+                own.add("")  # counts the rows; no word is empty
                 all_of.update(own)
                 if toxic:
                     toxic_of.update(own)
             cols = [pa.array(list(all_of), pa.string()), pa.array(list(all_of.values()), pa.int64()), pa.array([toxic_of[f] for f in all_of], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=["feature", "n", "a"])
 
-    sizes = sample.agg(F.count("*"), F.count_if(F.col("toxic") > 0)).first()
-    counted = sample.mapInArrow(each, "feature string, n long, a long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
+    counted = cut(sample.mapInArrow(each, "feature string, n long, a long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("a").alias("a")))
+    sizes = counted.where("feature = ''").first()
+    if sizes is None:
+        return []
     a, b = F.col("a") + 0.5, F.col("n") - F.col("a") + 0.5
-    odds = F.log(a * (sizes[0] - sizes[1] + 1) / (b * (sizes[1] + 1)))
+    odds = F.log(a * (sizes.n - sizes.a + 1) / (b * (sizes.a + 1)))
     strength = odds / F.sqrt(1 / a + 1 / b)
-    best = counted.select("feature", odds.alias("odds"), strength.alias("strength")).where(F.col("strength") > SIGNIFICANT)
+    best = counted.where("feature <> ''").select("feature", odds.alias("odds"), strength.alias("strength")).where(F.col("strength") > SIGNIFICANT)
     return [(r.feature, r.odds) for r in best.orderBy(F.desc("strength"), "feature").limit(limit).collect()]
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``toxicity``, the score of each text from 0 to 1; a null text scores as an empty one.
+def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
+    """``docs`` with a column ``name``, the score of each text from 0 to 1; a null text scores as an empty one.
 
     Repeated rows each get a score; an empty table gives an empty result; a column of that name is replaced.
     """
@@ -231,9 +308,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for texts in batches:
             yield pa.array([model.score(t) for t in texts.to_pylist()], pa.float64())
 
-    return docs.withColumn("toxicity", F.arrow_udf(run, "double")(text_of()))
+    return docs.withColumn(name, F.arrow_udf(run, "double")(text_of()))
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without those that score at least the threshold."""
-    return score(docs, model).where(F.col("toxicity") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` without those that score at least the threshold; all their columns stay as they are."""
+    return score(docs, model, "__score").where(F.col("__score") < threshold).drop("__score")

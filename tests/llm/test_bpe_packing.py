@@ -119,3 +119,12 @@ def test_packing_holds_every_id_once(spark):
         n = len(want) // 4
         assert bytes(whole[s].ids) == want + bytes(0 if n & (n - 1) == 0 else 4 * (2048 - n))
     assert packing.packed_digests(df.limit(0)).count() == 0
+
+
+def test_repeated_rows_are_spread(spark):
+    df = spark.createDataFrame([(3, "the same text", "s")] * 1000, "doc_id long, text string, shard string").repartition(8)
+    packed = packing.pack(packing.cut(packing.pieces(df).selectExpr("*", "'own' AS shard")), shard=100).collect()
+    shards = {}
+    for r in packed:
+        shards[(r.sequence_id // 2) >> 33] = shards.get((r.sequence_id // 2) >> 33, 0) + 1
+    assert len(packed) == 1000 and len(shards) == 10 and max(shards.values()) < 200 and {r.shard for r in packed} == {"own"}

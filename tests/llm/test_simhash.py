@@ -121,10 +121,10 @@ def test_block_tables_find_all_within_the_radius(spark):
     for i in range(150):
         p = rng.getrandbits(128)
         prints[2 * i] = p
-        prints[2 * i + 1] = p ^ sum(1 << b for b in rng.sample(range(128), rng.randint(0, 5)))
+        prints[2 * i + 1] = p ^ sum(1 << b for b in rng.sample(range(128), rng.randint(0, fingerprints.RADIUS + 2)))
     signed = lambda x: (x + 2**63) % 2**64 - 2**63
     df = spark.createDataFrame([(i, signed(p >> 64), signed(p & (2**64 - 1))) for i, p in prints.items()], "doc_id long, hi long, lo long")
-    assert {r.doc_id: r.component_id for r in fingerprints.search(df).collect()} == slow_components(prints, 3)
+    assert {r.doc_id: r.component_id for r in fingerprints.search(df).collect()} == slow_components(prints, fingerprints.RADIUS)
 
 
 @pytest.mark.parametrize("ids", [list(range(7)), [0, 5000, 9_999_999, -3, 2048, 2047], [4], [1, 1, None, None, 3]])
@@ -144,6 +144,21 @@ def test_fingerprints_meet_the_next_smaller_id(spark, ids):
             assert r.near_next == fingerprints.likeness(fingerprints.weighted_simhash(t), fingerprints.weighted_simhash(nxt))
 
 
+@pytest.mark.parametrize("size", [1, 40, 1 << 20])
+def test_parts_of_any_size_meet(spark, monkeypatch, size):
+    monkeypatch.setattr(fingerprints, "PART_BYTES", size)
+    rng = random.Random(size)
+    rows = [(i * 10**9 if i % 3 else None, f"t{i} " * rng.randint(1, 9)) for i in range(60)] + [(7, "same text")] * 60
+    got = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    order = sorted((r for r in rows if r[0] is not None and r[0] != 7), reverse=True)
+    nexts = dict(zip([i for i, _ in order], [t for _, t in order[1:]] + ["same text"], strict=True))
+    for r in got:
+        if r.doc_id in nexts:
+            assert r.near_next == fingerprints.likeness(fingerprints.weighted_simhash(dict(rows)[r.doc_id]), fingerprints.weighted_simhash(nexts[r.doc_id]))
+    assert sum(r.doc_id == 7 and r.near_next == 1 for r in got) == 59
+
+
 def test_weights_grow_with_the_logarithm():
     terms = ["a b c"] * 9 + ["d e f"]  # as texts of one term each would vote
     text = "\n".join(terms)
