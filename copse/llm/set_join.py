@@ -237,14 +237,14 @@ def similar_components(docs: DataFrame, similarity: float, words: int, first: Ca
     every = [F.any_value(c).alias(c) for c in ("size", "w0", "keys", "profile")]
     nodes = prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *every)
     own = prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *every[::3])
-    links, roots = None, None
+    roots = None
 
     def tried(pairs: DataFrame) -> None:
-        nonlocal links, roots
+        nonlocal roots
         found = verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), own, docs, similarity, words)
         if found is not None:
-            links = found if links is None else links.unionByName(found)
-            roots = components(links)
+            # what was linked before is a star around each root
+            roots = cut(components(found if roots is None else found.unionByName(roots.toDF("a", "b"))))
 
     if first is not None:
         tried(first(nodes.select("node", "w0")))
