@@ -11,15 +11,14 @@ from pyspark.sql import functions as F
 from copse.functions.text import base_name, extension
 
 ROLES = ("source", "test", "generated", "vendored", "docs")
-#: Characters of a text in which a header that says it is generated is looked for.
+# fixed values: characters of a text in which a header that says it is generated is looked for, what it says in any
+# case, and names that decide a file's role
 HEAD = 2048
-
-# fixed values: names that decide a file's role
-TEST_DIRS = "__tests__ __mocks__ __fixtures__ __snapshots__ test tests spec specs e2e fixtures benchmarks".split()
-VENDOR_DIRS = "vendor vendored third_party third-party flow-typed node_modules bower_components".split()
-DOC_DIRS = "docs doc".split()
-DOC_EXTENSIONS = ".md .markdown .txt .rst .adoc".split()
-GENERATED_HEADER = r"(?i)@generated|code generated by|do not edit|autogenerated|auto-generated|generated by"
+GENERATED_HEADER = ["@generated", "code generated by", "do not edit", "autogenerated", "auto-generated", "generated by"]
+TEST_DIRS = ["__tests__", "__mocks__", "__fixtures__", "__snapshots__", "test", "tests", "spec", "specs", "e2e", "fixtures", "benchmarks"]
+VENDOR_DIRS = ["vendor", "vendored", "third_party", "third-party", "flow-typed", "node_modules", "bower_components"]
+DOC_DIRS = ["docs", "doc"]
+DOC_EXTENSIONS = [".md", ".markdown", ".txt", ".rst", ".adoc"]
 OWN_REPORT = r'(?i)<meta name="generator" content="copse|<title>copse[^<]*report</title>'
 TEST_FILE = r"(?i)[.\-_](test|spec)\.[^.]+$"
 GENERATED_FILE = r"(?i)\.(min|bundle|generated)\.[^.]+$|(^|[.\-_])pb\.[^.]+$"
@@ -57,11 +56,14 @@ def role_of(path: Column, head: Column, patterns: dict[str, Sequence[str]] | Non
     folders = F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1)
     base = base_name(path)
     within = lambda names: F.arrays_overlap(folders, F.array(*map(F.lit, names)))
-    start = F.substring(head, 1, HEAD)
+    start = F.lower(F.substring(head, 1, HEAD))
+    generated = F.lit(False)
+    for phrase in GENERATED_HEADER:
+        generated = generated | start.contains(phrase)
     rules = [(matches_any(path, patterns[r]), r) for r in ROLES if patterns.get(r)]
     rules += [(matches_any(path, attributes[r]), r) for r in ("generated", "vendored", "docs") if attributes.get(r)]
     rules += [
-        (start.rlike(GENERATED_HEADER) | start.rlike(OWN_REPORT), "generated"),
+        (generated | (start.contains("copse") & start.rlike(OWN_REPORT)), "generated"),
         (within(VENDOR_DIRS), "vendored"),
         (base.rlike(GENERATED_FILE), "generated"),
         (within(TEST_DIRS) | base.rlike(TEST_FILE), "test"),

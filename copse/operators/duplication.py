@@ -2,7 +2,7 @@
 
 Every run of ``min_lines`` code lines of a file is a window, keyed by hashes of its lines. Windows that occur more
 than once form classes. Where every occurrence of a class is followed by the same next class, both belong to one
-block; islands of such windows are blocks, and a block grows to either side while equal windows stand beside all its
+block; islands of such windows are blocks, and a block grows to either side by the lines that stand beside all its
 occurrences. A repeat of which every window also occurs elsewhere is not a block of its own: those inside it are.
 Only keys travel: lines are hashed before anything is shuffled, and windows that occur once leave after one
 pre-aggregated count.
@@ -20,6 +20,8 @@ from copse.operators.scan import one_value, path_order
 from copse.session import cut
 
 MIN_LINES, MIN_COPIES = 5, 2
+#: Lines by which a block grows to a side at once.
+CONTEXT = 1024
 #: First parts of a path that name its package, and lines below which a block is short.
 PACKAGE_PARTS, SHORT = 2, 10
 LOCATIONS = ("within-file", "same-directory", "same-package", "cross-package")
@@ -61,55 +63,75 @@ def windows(rows: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     return placed.select("path", "i", "w.key", "w.start_line", "w.end_line", "total")
 
 
-def _blocks(found: DataFrame, min_lines: int) -> DataFrame:
-    """``class, path, first, last, start_line, end_line, total``: each occurrence of each maximal block."""
+def _common(a: Column, b: Column) -> Column:
+    """How many elements two arrays have in common from their start."""
+    n = F.least(F.size(a), F.size(b))
+    apart = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at(a, i) != F.element_at(b, i))
+    return F.when(n == 0, 0).otherwise(F.coalesce(F.try_element_at(apart, F.lit(1)) - 1, n))
+
+
+def _grown(islands: DataFrame, rows: DataFrame, min_lines: int) -> DataFrame:
+    """``islands`` grown to both sides by the lines that all occurrences of their class have in common, ``CONTEXT`` at most.
+
+    What all of a class have in common is what its least and its greatest sequence have; so one aggregate finds it.
+    """
+    last = F.col("end") + min_lines - 1
+    after, before = F.least(F.col("high") - F.col("end"), F.lit(CONTEXT)), F.least(F.col("first") - F.col("low"), F.lit(CONTEXT))
+    sides = {}
+    for name in ("h", "line"):
+        sides[f"after_{name}"] = F.slice(F.col(f"rows.{name}"), last + 2, after)
+        sides[f"before_{name}"] = F.reverse(F.slice(F.col(f"rows.{name}"), F.col("first") - before + 1, before))
+    met = cut(islands.join(rows, "path").withColumns(sides).drop("rows"))
+    least = [f(f"{side}_h").alias(f"{name}_{side}") for side in ("after", "before") for name, f in (("least", F.min), ("most", F.max))]
+    by = {side: _common(F.col(f"least_{side}"), F.col(f"most_{side}")) for side in ("after", "before")}
+    common = met.groupBy("class").agg(*least).select("class", *[n.alias(f"by_{side}") for side, n in by.items()])
+    out = met.join(common, "class")
+    line = lambda side, old: F.when(F.col(f"by_{side}") > 0, F.try_element_at(f"{side}_line", F.col(f"by_{side}"))).otherwise(F.col(old))
+    grown = {"first": F.col("first") - F.col("by_before"), "end": F.col("end") + F.col("by_after"), "start_line": line("before", "start_line"), "end_line": line("after", "end_line")}
+    return out.withColumns(grown | {"open": F.greatest("by_after", "by_before") == CONTEXT}).select(*islands.columns, "open")
+
+
+def _blocks(rows: DataFrame, min_lines: int) -> DataFrame:
+    """``class, path, first, last, start_line, end_line, total``: each occurrence of each maximal block of ``code_rows``."""
+    found = windows(rows, min_lines)
     repeated = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    occurrences = found.join(repeated, "key")
+    occurrences = cut(found.join(repeated, "key"))
     along = Window.partitionBy("path").orderBy("i")
     follows = (F.lead("i").over(along) == F.col("i") + 1) & (F.lead("n").over(along) == F.col("n"))
-    occurrences = occurrences.withColumn("next", F.when(follows, F.lead("key").over(along)))
+    occurrences = occurrences.withColumns({"next": F.when(follows, F.lead("key").over(along)), "region": F.col("i") - F.row_number().over(along)})
     # a class goes on into the next one if every occurrence does
     links = occurrences.groupBy("key", "n").agg(F.min("next").alias("next"), F.max("next").alias("same"), F.count("next").alias("c"))
     links = links.where((F.col("next") == F.col("same")) & (F.col("c") == F.col("n"))).select("key", F.col("next").alias("linked"))
     joined = occurrences.join(links, "key", "left")
     before = F.coalesce(F.lag("linked").over(along) == F.col("key"), F.lit(False)) & (F.lag("i").over(along) == F.col("i") - 1)
-    starts = joined.withColumn("start", F.when(before, 0).otherwise(1))
+    # blocks lie within regions, which are runs of repeated windows
+    region = Window.partitionBy("path", "region")
+    starts = joined.withColumns({"start": F.when(before, 0).otherwise(1), "low": F.min("i").over(region), "high": F.max("i").over(region)})
     starts = starts.withColumn("island", F.sum("start").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     islands = starts.groupBy("path", "island").agg(
-        F.min_by("key", "i").alias("class"), F.first("n").alias("n"), F.min("i").alias("first"), F.max("i").alias("end"),
+        F.min_by("key", "i").alias("class"), F.min("i").alias("first"), F.max("i").alias("end"), F.first("low").alias("low"), F.first("high").alias("high"),
         F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.first("total").alias("total"),
     )
-    islands = cut(islands)
-    # growth: while the islands just before, or just after, all occurrences of a class are of one class
-    sides = islands.select("path", "first", "end", "start_line", "end_line", F.col("class").alias("beside"))
-    done, open_ = None, islands.withColumn("moved", F.lit(False))
+    done, open_ = None, islands.drop("island")
     while True:
-        for edge, at, grown, line in (("first", F.col("end") + 1, "end", "end_line"), ("end", F.col("first") - 1, "first", "start_line")):
-            near = sides.select("path", F.col(edge).alias("at"), F.col(grown).alias("reach"), F.col(line).alias("reach_line"), "beside")
-            met = open_.withColumn("at", at).join(near, ["path", "at"], "left")
-            one = met.groupBy("class").agg(F.min("beside").alias("l"), F.max("beside").alias("r"), F.count("beside").alias("c"), F.first("n").alias("m"))
-            one = one.where((F.col("l") == F.col("r")) & (F.col("c") == F.col("m"))).select("class", F.lit(True).alias("grows"))
-            moved = met.join(one, "class", "left").withColumn("grows", F.coalesce("grows", F.lit(False)))
-            new = {grown: F.when(F.col("grows"), F.col("reach")).otherwise(F.col(grown)), line: F.when(F.col("grows"), F.col("reach_line")).otherwise(F.col(line))}
-            open_ = moved.withColumns(new | {"moved": F.col("moved") | F.col("grows")}).select(open_.columns)
-        now = cut(open_)
-        still = now.where("NOT moved")
+        now = cut(_grown(open_, rows, min_lines))
+        still = now.where("NOT open")
         done = still if done is None else done.unionByName(still)
-        open_ = now.where("moved").withColumn("moved", F.lit(False))
+        open_ = now.where("open").drop("open")
         if open_.isEmpty():
             break
     return done.select("class", "path", "first", (F.col("end") + min_lines - 1).alias("last"), "start_line", "end_line", "total")
 
 
 def fragments(rows: DataFrame, min_lines: int = MIN_LINES, min_copies: int = MIN_COPIES, cross_file_only: bool = False) -> DataFrame:
-    """A row for each fragment of each group of equal blocks, from ``code_rows``, which is read twice: give it as a table.
+    """A row for each fragment of each group of equal blocks, from ``code_rows``, which is read more than once: give it as a table.
 
     ``path, start_line, end_line`` are in lines of the file, ``first`` and ``last`` indexes of code lines, and ``total``
     the file's code lines. Overlapping fragments of a file are one; a group needs ``min_copies`` of what is left. Its
     ``class``, ``copies`` and ``line_count`` (of its first fragment) stand on every row. No group is held together:
     classes that have grown into the same block are told by the number and hashes of their fragments.
     """
-    found = _blocks(windows(rows, min_lines), min_lines)
+    found = _blocks(rows, min_lines)
     order = Window.partitionBy("class", "path").orderBy("first", "last")
     reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     apart = found.withColumn("new", F.when(F.col("first") <= reach, 0).otherwise(1))

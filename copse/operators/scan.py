@@ -44,8 +44,9 @@ def measured(lexed: DataFrame) -> DataFrame:
 
 
 def with_roles(files: DataFrame, patterns: dict[str, Sequence[str]] | None = None, attributes: dict[str, Sequence[str]] | None = None) -> DataFrame:
-    """``files`` with ``role``."""
-    return files.withColumn("role", paths.role_of(F.col("path"), F.coalesce("content", F.lit("")), patterns, attributes))
+    """``files`` with ``role``, computed once: filters on it are not pushed below, where they would compute it and what it is made of again."""
+    roled = files.withColumn("role", paths.role_of(F.col("path"), F.coalesce("content", F.lit("")), patterns, attributes))
+    return roled.where(F.spark_partition_id() >= 0)  # always true
 
 
 def scoped(files: DataFrame, changed: DataFrame | None = None) -> DataFrame:

@@ -26,6 +26,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> DataFrame:
+    """A table of texts, over all cores."""
+    return scan.spread(_table(spark, sf_dir, name).select(key, *columns), key)
+
+
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, path, content`` of documents."""
     content = F.col("text")
@@ -34,13 +39,13 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = F.when(F.col("doc_id") % 10 == 0, "tests/").when(F.col("doc_id") % 17 == 0, "vendor/").when(F.col("doc_id") % 19 == 0, "docs/").otherwise("")
     ext = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (F.col("doc_id") % len(EXTENSIONS) + 1).cast("int"))
     path = F.concat("source", F.lit("/"), "lang", F.lit("/"), folder, F.lit("d"), F.expr("cast(doc_id div 97 as string)"), F.lit("/doc_"), (F.col("doc_id") % 97).cast("string"), ext)
-    return _table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), content.alias("content"))
+    return _texts(spark, sf_dir, "documents", "doc_id", "text", "source", "lang").select("doc_id", path.alias("path"), content.alias("content"))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``path, content, role``."""
-    pages = _table(spark, sf_dir, "pages").select(F.concat(F.lit("site/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("content"))
-    return scan.with_roles(scan.spread(pages.unionByName(document_files(spark, sf_dir).drop("doc_id"))))
+    pages = _texts(spark, sf_dir, "pages", "page_id", "html").select(F.concat(F.lit("site/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("content"))
+    return scan.with_roles(pages.unionByName(document_files(spark, sf_dir).drop("doc_id")))
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +163,7 @@ def densest_window(spark, sf_dir):
 
 
 def token_estimate(spark, sf_dir):
-    return scan.spread(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
+    return _texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
 
 
 def context_files(spark, sf_dir):
