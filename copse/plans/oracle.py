@@ -289,8 +289,8 @@ ORACLE_SQL: dict[str, str] = {
         """SELECT path, count(*) AS blocks, count(*) FILTER (WHERE code_time - comment_time > 94608000) AS drifted FROM zipped_drifting
         WHERE path IN (SELECT path FROM chosen WHERE comment > 0 ORDER BY comment DESC, path LIMIT 50) GROUP BY path"""
     ),
-    "rename_resolution": """SELECT file || '_v' || max(k // 7) OVER (PARTITION BY file) AS path, ord, l_quantity::BIGINT AS added FROM (SELECT *, -l_orderkey AS ord, 'dir/f' || (l_suppkey % 50)::VARCHAR AS file,
-        row_number() OVER (PARTITION BY l_suppkey % 50 ORDER BY l_orderkey) - 1 AS k FROM lineitem WHERE l_linenumber = 1)""",
+    "rename_resolution": """SELECT 'dir/f' || file::VARCHAR || '_v' || max(k // 7) OVER (PARTITION BY file) AS path, (-l_orderkey)::INT AS ord, added FROM (SELECT *,
+        row_number() OVER (PARTITION BY file ORDER BY l_orderkey) - 1 AS k FROM (SELECT l_orderkey, min(l_suppkey) % 50 AS file, sum(l_linenumber)::BIGINT AS added FROM lineitem GROUP BY l_orderkey))""",
     "agent_risk": _with(_AGENT),
     "agent_verdicts": _with(f"SELECT {', '.join(f"count(*) FILTER (WHERE verdict = '{v}') AS {v}" for v in ('safe', 'review', 'human'))} FROM ({_AGENT})"),
     "refactor_verdicts": _with(

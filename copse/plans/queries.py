@@ -307,12 +307,12 @@ def comment_blame(spark, sf_dir):
 
 def rename_resolution(spark, sf_dir):
     """A history of fifty files, each renamed at every seventh of its changes."""
-    own = Window.partitionBy(F.col("l_suppkey") % 50).orderBy("l_orderkey")
-    rows = _table(spark, sf_dir, "lineitem").where("l_linenumber = 1").withColumn("k", F.row_number().over(own) - 1)
-    name = lambda version: F.concat(F.lit("dir/f"), (F.col("l_suppkey") % 50).cast("string"), F.lit("_v"), version.cast("string"))
+    orders = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg((F.min("l_suppkey") % 50).alias("file"), F.sum("l_linenumber").alias("added"))
+    rows = orders.withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy("l_orderkey")) - 1)
+    name = lambda version: F.concat(F.lit("dir/f"), F.col("file").cast("string"), F.lit("_v"), version.cast("string"))
     now = F.floor(F.col("k") / 7)
     before = F.when((F.col("k") % 7 == 0) & (F.col("k") > 0), now - 1).otherwise(now)
-    log = rows.select((-F.col("l_orderkey")).cast("int").alias("ord"), F.lit(0).alias("line"), F.col("l_quantity").cast("long").alias("added"), F.lit(0).cast("long").alias("deleted"), name(before).alias("from"), name(now).alias("to"))
+    log = rows.select((-F.col("l_orderkey")).cast("int").alias("ord"), F.lit(0).alias("line"), F.col("added").cast("long").alias("added"), F.lit(0).cast("long").alias("deleted"), name(before).alias("from"), name(now).alias("to"))
     return resolve(log).select("path", "ord", "added")
 
 
