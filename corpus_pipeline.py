@@ -18,29 +18,39 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; it learns from the labels of rows that are not held out."""
+    """Documents that the classifier rejects go; it learns from the labels of rows that are not held out.
+
+    A null text is scored as an empty one and stays null; repeated rows are judged alike; other columns are left out.
+    """
     model = toxicity.fit_on(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.reject(docs.select(*COLUMNS), model)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of each source go; a document of nothing else stays as it is."""
+    """Boilerplate lines of each source go; a document of nothing else stays as it is.
+
+    A null text stays null, a null source is a source of its own, repeated rows are pages of their own, and a line on
+    exactly the ratio of a source's pages stays.
+    """
     kept = line_dedup.drop_boilerplate(docs, host="source", keep_whole=True)
     return kept.selectExpr("doc_id", "text", "lang", "source", "CAST(length(text) AS LONG) AS n_chars")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: the one with the smallest id.
+
+    Rows without an id, and null, empty and wordless texts, are no copies and stay. Of rows with one id all stay or go.
+    """
     return simhash_dedup.keep_one(docs).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data are replaced by their kind."""
+    """Spans of personal data are replaced by their kind; of spans that overlap the first and longest counts. A null text stays null."""
     return pii.redacted(docs).selectExpr("doc_id", "text", "lang", "source", "CAST(length(text) AS LONG) AS n_chars")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, packed into sequences."""
+    """What is left, packed into sequences; a null text is its end id alone, and repeated rows are documents of their own."""
     return packing.packed_digests(docs)
 
 
