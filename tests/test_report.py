@@ -65,6 +65,23 @@ def test_readme_and_html(capsys, spark, project):
     (project / "out.html").unlink()
 
 
+def test_duplication_reports(capsys, spark, project):
+    code, out, _ = ran(capsys, spark, "dup", str(project), "--renamed", "--html", str(project / "dup.html"))
+    assert code == 0 and "groups: 1, 6 lines to save" in out and "size: 100 % under 10 lines, median 6, largest 6" in out and "where: 100 % in one directory" in out
+    assert "src/a.ts +1      6       2          6" in out
+    page = (project / "dup.html").read_text()
+    (project / "dup.html").unlink()
+    assert "<li>src/b.ts:2-7</li>" in page and "<pre><code>if (a0 &amp;&amp; b) { call0(); }" in page and "6 lines, 2 copies" in page
+    assert "code" not in json.loads(ran(capsys, spark, "dup", str(project), "--json")[1])["result"]["clones"][0]
+    clone = {"lineCount": 90, "fragments": [{"path": "<a>.ts", "startLine": 1, "endLine": 90}] * 2}
+    shape = {"groups": 1, "removable": 90, "underTen": 0.0, "medianLines": 90, "maxLines": 90, "topTenShare": 100.0, "byLocation": {"withinFile": 1, "sameDirectory": 0, "samePackage": 0, "crossPackage": 0}}
+    result = {"clones": [clone], "ranked": [{"files": ["<a>.ts"], "copies": 2, "lineCount": 90, "removable": 90}], "perFile": [], "shape": shape, "totalLines": 180, "duplicatedLines": 180, "percentage": 100.0}
+    page = render.page("dup", result, ["\n".join(f"l{i}" for i in range(90))])
+    assert "(30 more lines)" in page and "&lt;a&gt;.ts:1-90" in page and "l59" in page and "l60" not in page
+    told = render.duplication(result | {"churn": {"<a>.ts": 0}}, 10, now=800 * 86400)
+    assert "last change" in told[1] and told[1].endswith("2y") and render.duplication(result | {"shape": shape | {"groups": 0}, "clones": [], "ranked": []}, 10) == ["no duplicated blocks", "", ""]
+
+
 def test_argument_parsers():
     assert [cli.token_count(x) for x in ("5000", "200k", "1.5M")] == [5000, 200_000, 1_500_000] and cli.row_count("all") is None and cli.row_count("0") is None and cli.row_count("7") == 7 and cli.percentage("20%") == 20
     for parse, bad in ((cli.token_count, "-1"), (cli.token_count, "x"), (cli.percentage, "101"), (cli.positive, "0"), (cli.row_count, "-3")):
@@ -73,6 +90,7 @@ def test_argument_parsers():
 
 
 def test_layout():
+    assert render.wrap("aa bb cc", 5) == "aa bb\ncc" and render.multiple(30, 20) == "1.5x" and render.multiple(1, 0) == "-"
     assert render.number(1234567) == "1,234,567" and render.number(2.5) == "2.5" and render.compact(1234) == "1.2k" and render.money(0.001) == "$0.0010" and render.age(400 * 86400) == "1y"
     assert render.shorten("a/very/long/path.ts", 8) == "…path.ts" and render.table(["a", "n"], [["x", 1], ["yy", 1000]]) == "a       n\n--  -----\nx       1\nyy  1,000"
     assert json.loads(render.envelope("cx", "/r", {"a": 1})) == {"schema": 1, "tool": "copse", "version": render.VERSION, "command": "cx", "root": "/r", "result": {"a": 1}}
