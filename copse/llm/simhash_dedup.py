@@ -95,11 +95,13 @@ def near_duplicates(
 def close_fingerprints(nodes: DataFrame, radius: int = VERIFIED_RADIUS) -> DataFrame:
     """``a, b``: pairs of ``nodes`` (``node, w0``) whose fingerprints are within the radius, by deletion-variant signatures.
 
-    Nodes of one fingerprint are each paired with the least of them, and fingerprints are linked by way of these.
+    Nodes of one fingerprint are each paired with the least of them, and fingerprints are linked by way of these. Of the
+    pairs that a node is the greater of, the one with the least other stays: one pair a node.
     """
     leasts = cut(nodes.groupBy("w0").agg(F.min("node").alias("id"), F.count("*").alias("n")))
     equal = nodes.join(leasts.where("n > 1"), "w0").where("node <> id").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    return equal.unionByName(links(leasts.select("id", "w0"), ["w0"], variant_keys([F.col("w0")], segments(radius)), radius))
+    found = equal.unionByName(links(leasts.select("id", "w0"), ["w0"], variant_keys([F.col("w0")], segments(radius)), radius))
+    return found.groupBy(F.greatest("a", "b").alias("b")).agg(F.min(F.least("a", "b")).alias("a"))
 
 
 def verified_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
