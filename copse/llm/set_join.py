@@ -35,8 +35,8 @@ HOT_KEY = 4096
 COUNTED = 16
 #: Bytes of a hash that whole sets carry, and ids of documents that are broadcast at most.
 KEPT, BROADCAST_IDS = 5, 4_000_000
-#: Each round tries so many times the distance of the one before.
-WIDER = 8
+#: Each round tries so many times the distance of the one before; rows of keys of more members than NEAR all go on.
+WIDER, NEAR = 32, 64
 
 
 def hashed(text: str, words: int) -> np.ndarray:
@@ -115,8 +115,8 @@ def _shared(similarity: float):
             key, _, size, place = cols
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             n = np.repeat(sizes := np.diff(np.r_[starts, len(key)]), sizes)
-            useful = n > WIDER**2  # rows of larger keys all stay
-            for d in range(1, WIDER**2):
+            useful = n > NEAR
+            for d in range(1, NEAR):
                 i = np.flatnonzero(key[d:] == key[:-d]) if len(key) > d else np.array([], int)
                 if not len(i):
                     break
