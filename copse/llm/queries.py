@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copse.llm import ann, bpe, fingerprints, line_dedup, packing, pii, secrets, simhash_dedup, toxicity, urls
+from copse.llm import ann, bpe, collocations, exact_search, fingerprints, hard_negatives, line_dedup, packing, pii, secrets, simhash_dedup, toxicity, urls
 from copse.llm.common import spans_digest, table
 
 
@@ -69,6 +69,19 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,9 +90,18 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_fingerprints, op3_url_filters, op4_line_dedup, op5_nearest, op6_secrets, op7_simhash_dedup, op8_toxicity, op9_pii, op10_byte_bpe, pipeline)
+    for f in (
+        op1_packing, op2_fingerprints, op3_url_filters, op4_line_dedup, op5_nearest, op6_secrets, op7_simhash_dedup, op8_toxicity, op9_pii, op10_byte_bpe,
+        op11_exact_search, op12_hard_negatives, op13_collocations, pipeline,
+    )
 }
 
+#: Vectors that take part, each component as a whole number; their products are below 2^53, where doubles are exact.
+_WHOLE = """whole AS (
+            SELECT vec_id, label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        )"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": f"""
         WITH lines AS (
@@ -95,4 +117,53 @@ ORACLE_SQL: dict[str, str] = {
             length(kept) AS kept_chars, md5(kept) AS kept_md5
         FROM (SELECT *, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped) OVER (PARTITION BY rowid_), '') AS kept FROM judged)
         GROUP BY rowid_, doc_id, kept""",
+    "op11_exact_search": f"""
+        WITH {_WHOLE}
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score
+        FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+            FROM (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS score FROM whole q JOIN whole c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+        ) WHERE rank <= 5""",
+    "op12_hard_negatives": f"""
+        WITH {_WHOLE}, labelled AS (SELECT vec_id, v, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM whole WHERE label IS NOT NULL),
+        scores AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+            FROM labelled a JOIN labelled c ON c.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0
+        ), positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+        FROM (
+            SELECT p.*, n.vec_id AS negative_id, n.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.vec_id) AS rank
+            FROM positives p JOIN scores n USING (anchor_id)
+            WHERE NOT n.same AND 30 * positive_score <= 100 * n.score AND 100 * n.score <= 90 * positive_score
+        ) WHERE rank <= 10""",
+    "op13_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+        grams AS (
+            SELECT lang, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS phrase
+            FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words), unnest([1, 2, 3, 4]) s(size) WHERE i + size - 1 <= len(w)
+        ), f AS (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+        candidates AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+        inside AS (
+            SELECT lang, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase, max(a) AS longer
+            FROM candidates, unnest([2, 3]) s(m), unnest([1, 2, 3]) t(i) WHERE m < size AND i + m - 1 <= size GROUP BY ALL
+        ), parts AS (
+            SELECT lang, phrase, a, k, array_to_string(list_slice(w, 1, k), ' ') AS left_, array_to_string(list_slice(w, k + 1, size), ' ') AS right_
+            FROM candidates, unnest([1, 2, 3]) s(k) WHERE k < size
+        ), cuts AS (
+            SELECT p.lang, p.phrase, a, k, x.f AS l, y.f AS r, 2000000::HUGEINT * a // (x.f::HUGEINT + y.f) AS score
+            FROM parts p JOIN f x ON x.lang = p.lang AND x.phrase = left_ JOIN f y ON y.lang = p.lang AND y.phrase = right_
+        ), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+        SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+        FROM (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+            FROM best LEFT JOIN inside USING (lang, phrase) WHERE 100::HUGEINT * coalesce(longer, 0) < 80::HUGEINT * a
+        ) JOIN totals USING (lang) WHERE rank <= 2000""",
 }
