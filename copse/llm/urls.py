@@ -23,10 +23,11 @@ MAX_RULES = 1000
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TRACKING = r"(?:utm_[^=&]*|ref|fbclid|gclid)(?:=[^&]*)?"
 _COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+#: Tags as far as the next angle bracket: no expression over a tag looks back or repeats a group, so each is linear in it.
+_LINK, _META = r"(?is)<link\b[^<>]*+", r"(?is)<meta\b[^<>]*+"
 #: The value of an attribute in either kind of quotes, or bare.
-_VALUE = r"(?:\"\s*([^\">]*)|'\s*([^'>]*)|([^\"'>\s]+))"
-_CANONICAL = r"(?is)<link\b(?=[^>]*\srel\s*=\s*[\"']?\s*(?:[a-z-]+\s+)*canonical\b)[^>]*?\shref\s*=\s*" + _VALUE
-_REFRESH = r"(?is)<meta\b(?=[^>]*\shttp-equiv\s*=\s*[\"']?\s*refresh\b)[^>]*?[\s;,\"']url\s*=\s*[\"']?\s*([^\"'>]+)"
+_VALUE = r"\s*+=\s*+(?:\"([^\"]*+)|'([^']*+)|([^\"'\s]++))"
+_URL = r"(?is)[\s;,\"']url\s*+=\s*+[\"']?+\s*+([^\"']++)"
 _TARGET = r"[?&](?:url|redirect|redirect_uri|dest|target|to)=(https?(?::|%3A|%3a)[^&#]*)"
 #: Pages without one of these words have no link of either kind; the patterns are not tried on them.
 _HINT = r"(?i)canonical|http-equiv"
@@ -91,11 +92,21 @@ def _without_dots(url: Column) -> Column:
     return F.concat(F.regexp_extract(url, r"^(.*?://[^/?#]*)", 1), F.lit("/"), F.array_join(kept, "/"), F.when(F.size(kept) > 0, slash).otherwise(""), rest)
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's first attribute of a name, without white space around it; empty if there is none."""
+    return F.trim(F.concat(*[F.regexp_extract(tag, rf"(?is)\s{name}{_VALUE}", i) for i in (1, 2, 3)]))
+
+
 def _links(html: Column) -> Column:
-    """Targets of all canonical links and refresh redirects outside comments, with ``&amp;`` and its like decoded."""
+    """Targets of all canonical links and refresh redirects outside comments, with ``&amp;`` and its like decoded.
+
+    A link is canonical if that is one of the words of its ``rel``, however many there are.
+    """
     text = F.regexp_replace(html, _COMMENT, "")
-    canonical = F.concat(*[F.regexp_extract_all(text, F.lit(_CANONICAL), i) for i in (1, 2, 3)])
-    found = F.concat(canonical, F.regexp_extract_all(text, F.lit(_REFRESH), 1))
+    tags = lambda pattern, fits: F.filter(F.regexp_extract_all(text, F.lit(pattern), 0), fits)
+    canonical = tags(_LINK, lambda t: F.array_contains(F.split(F.lower(_attribute(t, "rel")), r"\s+"), "canonical"))
+    refresh = tags(_META, lambda t: _attribute(t, "http-equiv").rlike(r"(?i)^refresh\b"))
+    found = F.concat(F.transform(canonical, lambda t: _attribute(t, "href")), F.transform(refresh, lambda t: F.regexp_extract(t, _URL, 1)))
     return F.transform(found, lambda x: F.trim(F.regexp_replace(x, "(?i)&(?:amp|#38|#x26);", "&")))
 
 

@@ -1,6 +1,7 @@
 """URL verdicts and line dedup against slow versions."""
 
 import random
+import time
 
 import pytest
 
@@ -166,3 +167,28 @@ def test_keep_whole(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(df, keep_whole=True).collect()}
     assert got == {**{i: "same\ncopy" for i in range(5)}, 9: "own"}
+
+
+def test_long_and_broken_html_is_linear(spark):
+    """No page crashes a task or takes quadratic time, whatever its tags hold."""
+    target = "http://bad.net/"
+    pages = {
+        "many words": ('<link rel="' + "a " * 100_000 + f'canonical" href="{target}">', "block"),
+        "many other words": ('<link rel="' + "a " * 100_000 + f'canonicals" href="{target}">', "allow"),
+        "canonical among others": (f"<LINK data-x='1' REL=' next\n Canonical nofollow' HREF = ' {target} '>", "block"),
+        "bare values": (f"<link rel=canonical href={target}>", "block"),
+        "open links": ("<link " * 20_000 + 'rel="canonical ', "allow"),
+        "open metas": ("<meta " * 20_000 + 'http-equiv="refresh ', "allow"),
+        "open comments": ("<!-- canonical" * 20_000, "allow"),
+        "white space": ('<link rel="canonical"' + " " * 1_000_000 + f'href="{target}">', "block"),
+        "open value": ('<link rel="canonical" href="' + "x" * 1_000_000, "allow"),
+        "no end": (f'<link rel="canonical" href="{target}"', "block"),
+        "refresh": (f'<meta content="5; URL=\'{target}\'" http-equiv=\'Refresh\'>', "block"),
+        "many urls": ('<meta http-equiv="refresh" content="' + "url " * 200_000 + f'url={target}">', "block"),
+        "no refresh": (f'<meta http-equiv="refresher" content="0; url={target}">', "allow"),
+    }
+    for name, (html, want) in pages.items():
+        df = spark.createDataFrame([(1, f"http://{name.replace(' ', '-')}.io/", html)], "page_id long, url string, html string")
+        began = time.monotonic()
+        assert urls.judge(df).first().verdict == want, name
+        assert time.monotonic() - began < 15, name  # a few seconds of which are Spark's own
