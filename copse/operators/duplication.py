@@ -2,10 +2,12 @@
 
 Every run of ``min_lines`` code lines of a file is a window, keyed by hashes of its lines. Windows that occur more
 than once form classes. Where every occurrence of a class is followed by the same next class, both belong to one
-block; islands of such windows are blocks, and a block grows to either side by the lines that stand beside all its
-occurrences. A repeat of which every window also occurs elsewhere is not a block of its own: those inside it are.
-Only keys travel: lines are hashed before anything is shuffled, and windows that occur once leave after one
-pre-aggregated count.
+block; such islands are blocks, and a block grows to either side by the islands that stand beside all its occurrences.
+How far is found by prefix doubling: names of 1, 2, 4 ... neighbouring islands, each made of two shorter names, are
+compared over a class from the longest to the shortest, so the work is the number of islands times the logarithm of a
+region's length, and no occurrence carries its surroundings. A repeat of which every window also occurs elsewhere is not
+a block of its own: those inside it are. Only keys travel: lines are hashed before anything is shuffled, and windows that
+occur once leave after one pre-aggregated count.
 """
 
 from __future__ import annotations
@@ -20,8 +22,6 @@ from copse.operators.scan import one_value, path_order
 from copse.session import cut
 
 MIN_LINES, MIN_COPIES = 5, 2
-#: Lines by which a block grows to a side at once.
-CONTEXT = 1024
 #: First parts of a path that name its package, and lines below which a block is short.
 PACKAGE_PARTS, SHORT = 2, 10
 LOCATIONS = ("within-file", "same-directory", "same-package", "cross-package")
@@ -63,32 +63,67 @@ def windows(rows: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     return placed.select("path", "i", "w.key", "w.start_line", "w.end_line", "total")
 
 
-def _common(a: Column, b: Column) -> Column:
-    """How many elements two arrays have in common from their start."""
-    n = F.least(F.size(a), F.size(b))
-    apart = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at(a, i) != F.element_at(b, i))
-    return F.when(n == 0, 0).otherwise(F.coalesce(F.try_element_at(apart, F.lit(1)) - 1, n))
+def _named(islands: DataFrame, levels: int) -> DataFrame:
+    """``islands`` with ``after_j`` and ``before_j``: a name of the 2**j islands from the next one on, or up to the one before.
 
+    Names double: that of 2**j islands is made of two names of 2**(j-1). They are null where a region ends.
+    """
+    region = Window.partitionBy("path", "region").orderBy("island")
+    out = islands.withColumn("name_0", F.xxhash64("class"))
+    for j in range(1, levels):
+        second = F.lead(f"name_{j - 1}", 1 << (j - 1)).over(region)
+        out = out.withColumn(f"name_{j}", F.when(second.isNotNull(), F.xxhash64(f"name_{j - 1}", second)))
+    sides = {f"after_{j}": F.lead(f"name_{j}", 1).over(region) for j in range(levels)} | {f"before_{j}": F.lag(f"name_{j}", 1 << j).over(region) for j in range(levels)}
+    return out.withColumns(sides).drop(*[f"name_{j}" for j in range(levels)])
+
+
+def _step(at: DataFrame, side: str, levels: int) -> DataFrame:
+    """``class, by``: how many islands of a side all occurrences of a class have in common, as far as one name tells; classes with none are left out."""
+    names = [f"{side}_{j}" for j in range(levels)]
+    found = at.groupBy("class").agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in names for f in (F.min, F.max, F.count)])
+    by = F.coalesce(*[F.when((F.col(f"count_{c}") == F.col("n")) & (F.col(f"min_{c}") == F.col(f"max_{c}")), F.lit(1 << j)) for j, c in reversed(list(enumerate(names)))])
+    return found.select("class", by.alias("by")).where("by IS NOT NULL")
+
+
+def _reached(islands: DataFrame, named: DataFrame, side: str, levels: int) -> DataFrame | None:
+    """``class, by``: how many islands of a side all occurrences of a class have in common; None if none has any.
+
+    Each step takes the longest name that all occurrences have in common, then goes on from where that name ends with
+    shorter ones, so there are no more steps than names.
+    """
+    names, way = [f"{side}_{j}" for j in range(levels)], 1 if side == "after" else -1
+    done, step = None, cut(_step(named, side, levels))
+    while not step.isEmpty():
+        done = step if done is None else cut(done.unionByName(step).groupBy("class").agg(F.sum("by").cast("int").alias("by")))
+        if levels == 1:
+            break
+        levels, names = levels - 1, names[: levels - 1]
+        there = islands.join(step.select("class"), "class", "left_semi").join(done, "class").select("class", "path", (F.col("island") + way * F.col("by")).alias("island"))
+        step = cut(_step(there.join(named.select("path", "island", *names), ["path", "island"]), side, levels))
+    return done
 
-def _grown(islands: DataFrame, rows: DataFrame, min_lines: int) -> DataFrame:
-    """``islands`` grown to both sides by the lines that all occurrences of their class have in common, ``CONTEXT`` at most.
 
-    What all of a class have in common is what its least and its greatest sequence have; so one aggregate finds it.
+def _grown(islands: DataFrame) -> DataFrame:
+    """``islands`` grown to both sides by the islands that stand beside all occurrences of their class.
+
+    Islands of a region follow each other without a gap, and wherever a class occurs its whole island does, so what all
+    occurrences have in common is a number of whole islands to either side.
     """
-    last = F.col("end") + min_lines - 1
-    after, before = F.least(F.col("high") - F.col("end"), F.lit(CONTEXT)), F.least(F.col("first") - F.col("low"), F.lit(CONTEXT))
-    sides = {}
-    for name in ("h", "line"):
-        sides[f"after_{name}"] = F.slice(F.col(f"rows.{name}"), last + 2, after)
-        sides[f"before_{name}"] = F.reverse(F.slice(F.col(f"rows.{name}"), F.col("first") - before + 1, before))
-    met = cut(islands.join(rows, "path").withColumns(sides).drop("rows"))
-    least = [f(f"{side}_h").alias(f"{name}_{side}") for side in ("after", "before") for name, f in (("least", F.min), ("most", F.max))]
-    by = {side: _common(F.col(f"least_{side}"), F.col(f"most_{side}")) for side in ("after", "before")}
-    common = met.groupBy("class").agg(*least).select("class", *[n.alias(f"by_{side}") for side, n in by.items()])
-    out = met.join(common, "class")
-    line = lambda side, old: F.when(F.col(f"by_{side}") > 0, F.try_element_at(f"{side}_line", F.col(f"by_{side}"))).otherwise(F.col(old))
-    grown = {"first": F.col("first") - F.col("by_before"), "end": F.col("end") + F.col("by_after"), "start_line": line("before", "start_line"), "end_line": line("after", "end_line")}
-    return out.withColumns(grown | {"open": F.greatest("by_after", "by_before") == CONTEXT}).select(*islands.columns, "open")
+    longest = islands.groupBy("path", "region").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    if longest == 1:
+        return islands
+    levels = (longest - 1).bit_length()
+    named = cut(_named(islands.select("path", "region", "island", "class"), levels))
+    out = islands
+    for side, edge, lines in (("after", "end", "end_line"), ("before", "first", "start_line")):
+        reached = _reached(islands, named, side, levels)
+        if reached is not None:
+            way = F.col("by") if side == "after" else -F.col("by")
+            last = islands.join(reached, "class").select("path", "island", (F.col("island") + way).alias("__to"))
+            ends = islands.select("path", F.col("island").alias("__to"), F.col(edge).alias("__edge"), F.col(lines).alias("__lines"))
+            out = out.join(last.join(ends, ["path", "__to"]).drop("__to"), ["path", "island"], "left")
+            out = out.withColumns({edge: F.coalesce("__edge", edge), lines: F.coalesce("__lines", lines)}).drop("__edge", "__lines")
+    return out
 
 
 def _blocks(rows: DataFrame, min_lines: int) -> DataFrame:
@@ -105,22 +140,12 @@ def _blocks(rows: DataFrame, min_lines: int) -> DataFrame:
     joined = occurrences.join(links, "key", "left")
     before = F.coalesce(F.lag("linked").over(along) == F.col("key"), F.lit(False)) & (F.lag("i").over(along) == F.col("i") - 1)
     # blocks lie within regions, which are runs of repeated windows
-    region = Window.partitionBy("path", "region")
-    starts = joined.withColumns({"start": F.when(before, 0).otherwise(1), "low": F.min("i").over(region), "high": F.max("i").over(region)})
-    starts = starts.withColumn("island", F.sum("start").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    islands = starts.groupBy("path", "island").agg(
-        F.min_by("key", "i").alias("class"), F.min("i").alias("first"), F.max("i").alias("end"), F.first("low").alias("low"), F.first("high").alias("high"),
-        F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.first("total").alias("total"),
+    starts = joined.withColumn("island", F.sum(F.when(before, 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = starts.groupBy("path", "region", "island").agg(
+        F.min_by("key", "i").alias("class"), F.min("i").alias("first"), F.max("i").alias("end"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.first("total").alias("total")
     )
-    done, open_ = None, islands.drop("island")
-    while True:
-        now = cut(_grown(open_, rows, min_lines))
-        still = now.where("NOT open")
-        done = still if done is None else done.unionByName(still)
-        open_ = now.where("open").drop("open")
-        if open_.isEmpty():
-            break
-    return done.select("class", "path", "first", (F.col("end") + min_lines - 1).alias("last"), "start_line", "end_line", "total")
+    grown = _grown(cut(islands))
+    return grown.select("class", "path", "first", (F.col("end") + min_lines - 1).alias("last"), "start_line", "end_line", "total")
 
 
 def fragments(rows: DataFrame, min_lines: int = MIN_LINES, min_copies: int = MIN_COPIES, cross_file_only: bool = False) -> DataFrame:

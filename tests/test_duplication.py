@@ -132,3 +132,17 @@ def test_blocks_are_the_maximal_repeats(spark):
             files[f"f{f}.ts"] = lines
         got, _, _ = found(spark, files, 3)
         assert {tuple(x) for _, x in got} == brute(files, 3)
+
+
+def test_blocks_of_many_islands(spark):
+    """Copies of which many parts also stand elsewhere: what a class's occurrences have in common spans many islands to either side."""
+    for seed in range(3):
+        rng = random.Random(100 + seed)
+        base = [f"b{i}" for i in range(40)]
+        files = {"a.ts": ["x1", *base, "x2"], "z/a.ts": ["y1", *base[:35], "y2"], "z/b.ts": [*base[3:], "v", *base[10:22]]}
+        for f in range(7):
+            at = rng.randint(0, 34)
+            files[f"s{f}.ts"] = [f"u{f}", *base[at : at + rng.randint(3, 9)], f"w{f}"]
+        files["loop.ts"] = ["p", "q"] * 6 + ["r"] + ["p", "q"] * 4
+        got, _, _ = found(spark, files, 3)
+        assert {tuple(x) for _, x in got} == brute(files, 3)
