@@ -1,11 +1,12 @@
 """History, coupling, drift and verdicts."""
 
+import random
 import subprocess
 
 import pytest
 from pyspark.sql import functions as F
 
-from copse.operators import drift, history, verdicts
+from copse.operators import asof, drift, history, verdicts
 from copse.plans import analyses
 from copse.sources import git
 
@@ -59,6 +60,52 @@ def test_renames_are_followed(spark):
     assert back.count() == 3  # there and back ends
 
 
+def follow_all(rows):
+    """Renames followed one row at a time, newest first."""
+    now, out = {}, []
+    for _, old, new in rows:
+        seen, path = set(), new
+        while path in now and path not in seen:
+            seen.add(path)
+            path = now[path]
+        if old != new:
+            now[old] = path
+        out.append(path)
+    return out
+
+
+def test_renames_equal_a_walk_over_the_log(spark):
+    """Names that are given up, taken again, swapped and chained, in any order."""
+    rng = random.Random(2)
+    names = [f"n{i}" for i in range(9)]
+    rows = [(i // 3, old, rng.choice(names) if rng.random() < 0.25 else old) for i, old in enumerate(rng.choice(names) for _ in range(60))]
+    df = spark.createDataFrame([(o, i % 3, i, 0, a, b) for i, (o, a, b) in enumerate(rows)], "ord int, line int, added long, deleted long, from string, to string")
+    got = {r.added: r.path for r in git.resolve(df.repartition(5)).collect()}
+    assert [got[i] for i in range(len(rows))] == follow_all(rows)
+
+
+def test_a_long_chain_of_renames_takes_few_rounds(spark):
+    df = spark.range(400).selectExpr("cast(id as int) ord", "0 line", "id added", "0L deleted", "concat('v', 400 - id - 1) from", "concat('v', 400 - id) to")
+    assert git.resolve(df).select("path").distinct().collect() == [("v400",)]
+
+
+def test_as_of_join(spark):
+    """One key holds nearly all rows and spreads over many ranges; the last event before a range reaches into it."""
+    rng = random.Random(4)
+    keys = ["hot"] * 9 + ["b", "c"]
+    events = [(rng.choice(keys), t, f"e{t}") for t in rng.sample(range(1000), 12)]
+    rows = [(rng.choice(keys), rng.randint(-5, 1005), i) for i in range(400)] + [(None, 5, 400)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = asof.latest(spark.createDataFrame(rows, "k string, t int, n int"), spark.createDataFrame(events, "k string, t int, e string"), "k", "t", "e")
+        assert got.columns == ["k", "t", "n", "e"]
+        want = {n: max(((u, e) for q, u, e in events if q == k and u < t), default=(0, None))[1] for k, t, n in rows}
+        assert {r.n: r.e for r in got.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert asof.latest(spark.createDataFrame(rows, "k string, t int, n int").limit(0), spark.createDataFrame(events, "k string, t int, e string"), "k", "t", "e").count() == 0
+
+
 def test_decay(spark):
     commits, changes = parsed(spark, *[(str(i), 1000 - 100 * i, "", "", [(1, 1, f"{i}.ts"), (2, 0, "all.ts")]) for i in range(5)])
     got = {r.path: r for r in history.file_changes(commits, changes).collect()}
