@@ -266,6 +266,9 @@ ORACLE_SQL: dict[str, str] = {
     "dup_windows": _with("SELECT copies, count(*) AS classes FROM dup_classes GROUP BY copies"),
     "drift_candidates": _with("SELECT path FROM chosen WHERE comment > 0 ORDER BY comment DESC, path LIMIT 50"),
     "dup_clones": _with("SELECT lines::INT AS line_count, copies::INT AS copies, fragments FROM clone_groups"),
+    "clone_code": _with("""SELECT g.lines::INT AS line_count, g.copies::INT AS copies, g.fragments, string_agg(raw, chr(10) ORDER BY line) AS code
+        FROM (SELECT *, string_split(string_split(fragments, ',')[1], ':') AS first FROM clone_groups) g
+        JOIN rows_ r ON r.path = first[1] AND r.line BETWEEN first[2]::INT AND first[3]::INT GROUP BY ALL"""),
     "dup_cross_file": _with("SELECT lines::INT AS line_count, copies::INT AS copies, fragments FROM clone_groups WHERE copies >= 3 AND len(files) > 1"),
     "dup_ranked": _with("SELECT array_to_string(files, ',') AS files, copies::INT AS copies, lines::INT AS line_count, (lines * (copies - 1))::INT AS removable FROM clone_groups"),
     "dup_per_file": _with(
@@ -289,6 +292,16 @@ ORACLE_SQL: dict[str, str] = {
         """SELECT path, count(*) AS blocks, count(*) FILTER (WHERE code_time - comment_time > 94608000) AS drifted FROM zipped_drifting
         WHERE path IN (SELECT path FROM chosen WHERE comment > 0 ORDER BY comment DESC, path LIMIT 50) GROUP BY path"""
     ),
+    "log_parsing": _with(f"""SELECT c.ord, 'h' || c.ord::VARCHAR AS hash, time, email, name,
+        ends_with(trim(lower(name)), '[bot]') OR list_contains({MACHINES}, regexp_replace(split_part(lower(email), '@', 1), '\\[bot\\]$', '')) AS bot,
+        coalesce(files, 0) AS files, added, deleted, last, old_path, new_path
+        FROM commits c LEFT JOIN (
+            SELECT l_orderkey AS ord, count(*) AS files, sum(CASE WHEN l_quantity % 5 = 0 THEN 0 ELSE l_quantity::BIGINT END)::BIGINT AS added,
+                sum(CASE WHEN l_quantity % 5 = 0 THEN 0 ELSE l_linenumber END)::BIGINT AS deleted, (count(*) - 1)::INT AS last,
+                min('mod/s' || l_suppkey::VARCHAR || '/f.ts') AS old_path,
+                max(CASE WHEN l_linenumber % 3 = 0 THEN 'mod/t' || l_linenumber::VARCHAR ELSE 'mod/s' || l_suppkey::VARCHAR END || '/f.ts') AS new_path
+            FROM lineitem GROUP BY l_orderkey
+        ) l USING (ord)"""),
     "rename_resolution": """SELECT 'dir/f' || file::VARCHAR || '_v' || max(k // 7) OVER (PARTITION BY file) AS path, (-l_orderkey)::INT AS ord, added FROM (SELECT *,
         row_number() OVER (PARTITION BY file ORDER BY l_orderkey) - 1 AS k FROM (SELECT l_orderkey, min(l_suppkey) % 50 AS file, sum(l_linenumber)::BIGINT AS added FROM lineitem GROUP BY l_orderkey))""",
     "agent_risk": _with(_AGENT),

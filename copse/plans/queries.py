@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from copse.functions import paths, text
 from copse.operators import complexity, context, counts, drift, duplication, history, scan, verdicts
 from copse.plans import analyses
 from copse.session import cut
-from copse.sources.git import resolve
+from copse.sources.git import parsed, resolve
 
 EXTENSIONS = (".ts", ".py", ".sql", ".rb", ".md", ".json", ".css", ".lua", ".go")
 #: What stands in for words of a document, in this order.
@@ -253,9 +253,13 @@ def _clones(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return duplication.listed(_fragments(spark, sf_dir, **options))
 
 
-def _listed(groups: DataFrame) -> DataFrame:
+def _clones_of(sources: DataFrame) -> DataFrame:
+    return duplication.listed(duplication.fragments(duplication.code_rows(sources)))
+
+
+def _listed(groups: DataFrame, *more: Column) -> DataFrame:
     at = F.transform("fragments", lambda f: F.concat_ws(":", f["path"], f["start_line"].cast("string"), f["end_line"].cast("string")))
-    return duplication.order(groups).select("line_count", "copies", F.array_join(at, ",").alias("fragments"))
+    return duplication.order(groups).select("line_count", "copies", F.array_join(at, ",").alias("fragments"), *more)
 
 
 def dup_windows(spark, sf_dir):
@@ -267,6 +271,13 @@ def dup_clones(spark, sf_dir):
     return _listed(_clones(spark, sf_dir))
 
 
+def clone_code(spark, sf_dir):
+    """The code of each group: the lines of its first fragment."""
+    sources = cut(_sources(spark, sf_dir).select("path", "content", duplication.hashed_lines().alias("rows")))
+    groups = duplication.with_code(_clones_of(sources), sources)
+    return _listed(groups, F.array_join("code", "\n").alias("code"))
+
+
 def dup_cross_file(spark, sf_dir):
     return _listed(_clones(spark, sf_dir, min_copies=3, cross_file_only=True))
 
@@ -316,6 +327,26 @@ def rename_resolution(spark, sf_dir):
     return resolve(log).select("path", "ord", "added")
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ord, record``: orders as a log prints commits; every fifth change has no counts, and every third renames a file."""
+    lines = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ord"), "l_linenumber", "l_quantity", F.col("l_suppkey").cast("string").alias("s"))
+    n = F.col("l_linenumber").cast("string")
+    binary = F.col("l_quantity") % 5 == 0
+    field = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("mod/{s"), "s", F.lit(" => t"), n, F.lit("}/f.ts"))).otherwise(F.concat(F.lit("mod/s"), "s", F.lit("/f.ts")))
+    text_of = F.concat_ws("\t", F.when(binary, "-").otherwise(F.col("l_quantity").cast("long").cast("string")), F.when(binary, "-").otherwise(n), field)
+    bodies = lines.groupBy("ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", text_of.alias("text")))), lambda x: x["text"]), "\n").alias("body"))
+    heads = commits(spark, sf_dir).withColumn("head", F.concat_ws("\x1f", F.concat(F.lit("h"), F.col("ord").cast("string")), F.col("time").cast("string"), "email", "name"))
+    return heads.join(bodies, "ord", "left").select("ord", F.concat_ws("\n", "head", "body").alias("record"))
+
+
+def log_parsing(spark, sf_dir):
+    heads, lines = parsed(_records(spark, sf_dir))
+    sums = lines.groupBy("ord").agg(
+        F.count("*").alias("files"), F.sum("added").alias("added"), F.sum("deleted").alias("deleted"), F.max("line").cast("int").alias("last"), F.min("from").alias("old_path"), F.max("to").alias("new_path")
+    )
+    return heads.join(sums, "ord", "left").select("ord", "hash", "time", "email", "name", "bot", F.coalesce("files", F.lit(0)).alias("files"), "added", "deleted", "last", "old_path", "new_path")
+
+
 def _refactor(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return analyses.refactor(files(spark, sf_dir), commits(spark, sf_dir), document_changes(spark, sf_dir))
 
@@ -349,6 +380,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         line_kinds, count_by_language, count_totals, size_distribution, concentration, largest_files, role_classify, role_summary, test_ratio, ignore_filter, glob_match,
         complexity_rank, complexity_density, complexity_breakdown, densest_window, token_estimate, context_files, context_dirs, context_totals, navigability, repeated_names,
         budget_tiers, diff_scope, bot_filter, rename_pair, file_changes, coupling_pairs, coupling_files, coupling_commits, comment_drift, drift_summary, drift_candidates,
-        dup_windows, dup_clones, dup_cross_file, dup_ranked, dup_shape, dup_per_file, dup_focus, dup_renamed, clone_newest, comment_blame, rename_resolution, refactor_verdicts, refactor_limits, agent_risk, agent_verdicts, size_label,
+        dup_windows, dup_clones, dup_cross_file, dup_ranked, dup_shape, dup_per_file, dup_focus, dup_renamed, clone_newest, comment_blame, rename_resolution, log_parsing, clone_code, refactor_verdicts, refactor_limits, agent_risk, agent_verdicts, size_label,
     )
 }
