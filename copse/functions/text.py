@@ -51,21 +51,50 @@ def _marking(blocks: list[tuple[str, str]], line: str | None) -> str:
     return "|".join([f"({'|'.join(comments)})" if comments else f"({_NEVER})", *strings])
 
 
-def code_text(text: Column, ext: Column) -> Column:
-    """The text without comments and without what stands inside strings; every line keeps its place."""
+def _marked(text: Column, ext: Column, end: str = "") -> Column:
+    """The text with each comment between marks and each string emptied; ``end`` is put behind it."""
     clean = F.translate(F.regexp_replace(text, "\r\n", "\n"), _OPEN + _CLOSE + _NEVER, "\uFFFD\uFFFD\uFFFD")
+    clean = F.concat(clean, F.lit(end)) if end else clean
     marks = f"{_OPEN}$1{_CLOSE}$2$3$4$5$6$7"
     syntax = syntax_name(ext)
     marked = F.regexp_replace(clean, _marking([], None), marks)
     for name, (blocks, line, _) in SYNTAX.items():
         marked = F.when(syntax == name, F.regexp_replace(clean, _marking(blocks, line), marks)).otherwise(marked)
-    parts = F.split(marked, _OPEN, -1)
+    return marked
+
+
+def code_text(text: Column, ext: Column) -> Column:
+    """The text without comments and without what stands inside strings; every line keeps its place."""
+    parts = F.split(_marked(text, ext), _OPEN, -1)
     kept = F.transform(
         parts, lambda p: F.when(F.instr(p, _CLOSE) > 0, F.concat(F.regexp_replace(F.substring_index(p, _CLOSE, 1), "[^\n]", ""), F.substring_index(p, _CLOSE, -1))).otherwise(p)
     )
     return F.array_join(kept, "")
 
 
+#: States of the lexer at a line's start: in code, or in one of its syntax's block comments, as they are listed.
+STATES = 1 + max(len(blocks) for blocks, _, _ in SYNTAX.values())
+
+
+def opener(ext: Column, state: Column) -> Column:
+    """What opens the block comment of a state; a text that starts in a state is lexed as if this stood before it."""
+    syntax, out = syntax_name(ext), F.lit("")
+    for name, (blocks, _, _) in SYNTAX.items():
+        for k, (a, _) in enumerate(blocks, 1):
+            out = F.when((syntax == name) & (state == k), a).otherwise(out)
+    return out
+
+
+def end_state(text: Column, ext: Column) -> Column:
+    """The state in which whole lines of text leave the lexer: strings and line comments end with their line, so only block comments go on."""
+    last = F.element_at(F.split(_marked(text, ext, _NEVER), _OPEN, -1), -1)
+    syntax, comment, out = syntax_name(ext), F.substring_index(last, _CLOSE, 1), F.lit(0)
+    for name, (blocks, _, _) in SYNTAX.items():
+        for k, (a, _) in reversed(list(enumerate(blocks, 1))):
+            out = F.when((syntax == name) & comment.startswith(a), k).otherwise(out)
+    return F.when((F.instr(last, _CLOSE) > 0) & F.endswith(comment, F.lit(_NEVER)), out).otherwise(0)
+
+
 def code_lines(code: Column, lines: Column) -> Column:
     """The lines of ``code_text``, as many as there are lines."""
     return F.slice(F.split(code, "\n", -1), 1, F.size(lines))

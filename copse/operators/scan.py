@@ -23,10 +23,11 @@ def spread(files: DataFrame, key: str = "path") -> DataFrame:
 def with_lines(files: DataFrame) -> DataFrame:
     """``files`` (``path, content``) with ``ext, language, lines, code_lines, kinds``; ``content`` stays.
 
-    A null content has no lines.
+    A null content has no lines. With a column ``state``, a content starts in that state of the lexer.
     """
     out = files.withColumns({"content": F.coalesce("content", F.lit("")), "ext": text.extension(F.col("path"))})
-    out = out.withColumns({"language": language_name(F.col("ext")), "lines": text.split_lines(F.col("content")), "code_text": text.code_text(F.col("content"), F.col("ext"))})
+    whole = F.concat(text.opener(F.col("ext"), F.col("state")), F.col("content")) if "state" in files.columns else F.col("content")
+    out = out.withColumns({"language": language_name(F.col("ext")), "lines": text.split_lines(F.col("content")), "code_text": text.code_text(whole, F.col("ext"))})
     out = out.withColumn("code_lines", text.code_lines(F.col("code_text"), F.col("lines")))
     return out.withColumn("kinds", text.line_kinds(F.col("lines"), F.col("code_lines")))
 

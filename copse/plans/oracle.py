@@ -216,6 +216,7 @@ _AGENT = f"""SELECT path, round(density, 6) AS density, round(concentration, 6)
 
 ORACLE_SQL: dict[str, str] = {
     "line_kinds": _with("SELECT path, language, code, comment, blank, total FROM measured"),
+    "chunk_kinds": _with("SELECT path, language, code, comment, blank, total, complexity FROM measured"),
     "count_by_language": _with(f"SELECT language, count(*) AS files, {_SUMS} FROM chosen GROUP BY language"),
     "count_totals": _with(f"SELECT count(*) AS files, {_SUMS} FROM chosen"),
     "size_distribution": _with(

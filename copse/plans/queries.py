@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from copse.functions import paths, text
-from copse.operators import complexity, context, counts, drift, duplication, history, scan, verdicts
+from copse.operators import chunks, complexity, context, counts, drift, duplication, history, scan, verdicts
 from copse.plans import analyses
 from copse.session import cut
 from copse.sources.git import parsed, resolve
@@ -101,6 +101,12 @@ def line_kinds(spark, sf_dir):
     return scan.measured(_lexed(spark, sf_dir)).select("path", "language", "code", "comment", "blank", "total")
 
 
+def chunk_kinds(spark, sf_dir):
+    """The same sums of files that are cut after every 1,000 characters."""
+    cut_up = chunks.chunked(files(spark, sf_dir).select("path", "content"), 1000)
+    return chunks.measured(cut_up).select("path", "language", "code", "comment", "blank", "total", "complexity")
+
+
 def count_by_language(spark, sf_dir):
     return counts.by_language(_measured(spark, sf_dir))
 
@@ -377,7 +383,7 @@ def size_label(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        line_kinds, count_by_language, count_totals, size_distribution, concentration, largest_files, role_classify, role_summary, test_ratio, ignore_filter, glob_match,
+        line_kinds, chunk_kinds, count_by_language, count_totals, size_distribution, concentration, largest_files, role_classify, role_summary, test_ratio, ignore_filter, glob_match,
         complexity_rank, complexity_density, complexity_breakdown, densest_window, token_estimate, context_files, context_dirs, context_totals, navigability, repeated_names,
         budget_tiers, diff_scope, bot_filter, rename_pair, file_changes, coupling_pairs, coupling_files, coupling_commits, comment_drift, drift_summary, drift_candidates,
         dup_windows, dup_clones, dup_cross_file, dup_ranked, dup_shape, dup_per_file, dup_focus, dup_renamed, clone_newest, comment_blame, rename_resolution, log_parsing, clone_code, refactor_verdicts, refactor_limits, agent_risk, agent_verdicts, size_label,

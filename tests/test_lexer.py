@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from copse.operators import scan
+from copse.operators import chunks, scan
 from copse.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -60,9 +60,30 @@ def test_all_files_of_the_tables(spark):
     agree(queries.files(spark, SF))
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_odd_files(spark, seed):
+def odd(seed):
     rng = random.Random(seed)
     parts = ["/*", "*/", "//", "#", "--", "--[[", "]]", "<!--", "-->", '"""', "\'\'\'", '"', "'", "`", "\\", "\n", "\r\n", " ", "\t", "　", "x", "if", "a b", "\n\n"]
-    rows = [(f"f{i}{ext}", "".join(rng.choices(parts, k=rng.randint(0, 40)))) for i in range(40) for ext in OF]
-    agree(spark.createDataFrame(rows, "path string, content string"))
+    return [(f"f{i}{ext}", "".join(rng.choices(parts, k=rng.randint(0, 40)))) for i in range(40) for ext in OF]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_odd_files(spark, seed):
+    agree(spark.createDataFrame(odd(seed), "path string, content string"))
+
+
+@pytest.mark.parametrize("size", [1, 7])
+def test_chunks_of_any_size_are_lexed_as_whole_files(spark, size):
+    rows = odd(size) + [("long.ts", "a /* b\n" + "c\n" * 50 + "*/ d\n\n" + "x" * 40), ("none.py", None), ("empty.lua", "")]
+    files = spark.createDataFrame(rows, "path string, content string")
+    lexed = chunks.with_lines(chunks.chunked(files, size)).select("path", "part", "kinds").collect()
+    got = {}
+    for r in sorted(lexed, key=lambda r: (r.path, r.part)):
+        got.setdefault(r.path, []).extend(r.kinds)
+    assert got == {path: slow_kinds(content or "", OF.get("." + path.rsplit(".")[-1], "text")) for path, content in rows}
+
+
+def test_sums_of_chunks_are_those_of_files(spark):
+    files = queries.files(spark, SF).select("path", "content").where("path LIKE '%7.%'")
+    columns = ["path", "language", "code", "comment", "blank", "total", "branch", "loop", "bool", "complexity"]
+    parts = chunks.measured(chunks.chunked(files, 100)).select(*columns)
+    assert sorted(parts.collect()) == sorted(scan.measured(scan.with_lines(files)).select(*columns).collect())

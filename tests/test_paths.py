@@ -102,3 +102,34 @@ def test_tree(spark, tmp_path):
     assert got == {"src/__init__.py": ("x = 1\n", "source"), "src/.eslintrc.js": ("a", "source"), "b/bad.ts": ("�\n", "test"), "README.md": ("d", "docs")}
     with pytest.raises(FileNotFoundError):
         config.load(str(tmp_path), str(tmp_path / "none.json"))
+
+
+def test_tree_source(spark, tmp_path, monkeypatch):
+    """Directories are partitions; what is ignored or cannot fit a filter is not entered."""
+    for path in ("a.py", "src/b.ts", "src/deep/er/c.ts", "src/deep/d.py", "node_modules/x/e.js", ".hidden/_f.ts", "other/g.ts"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(f"{path}\n" * 3)
+    (tmp_path / "link").symlink_to(tmp_path / "src")
+    (tmp_path / "empty").mkdir()
+    root = str(tmp_path)
+    found = tree.tree(spark, root, ["node_modules"])
+    assert sorted(r.path for r in found.collect()) == [".hidden/_f.ts", "a.py", "other/g.ts", "src/b.ts", "src/deep/d.py", "src/deep/er/c.ts"]
+    assert {r.content for r in found.where("path = 'a.py'").collect()} == {"a.py\n" * 3}
+    parts = tree.tree(spark, root, [], chunk=4).where("path = 'src/b.ts'").orderBy("part").collect()
+    assert [len(r.content) for r in parts] == [4] * 6 + [3] and "".join(r.content for r in parts) == "src/b.ts\n" * 3
+    by = lambda condition: sorted(r.path for r in found.where(condition).collect())
+    assert by("path LIKE 'src/%' AND path LIKE '%.ts'") == ["src/b.ts", "src/deep/er/c.ts"]
+    assert by("path IN ('a.py', 'other/g.ts', 'no')") == ["a.py", "other/g.ts"] and by("path > 'src/deep/e'") == ["src/deep/er/c.ts"]
+    reader = tree.TreeReader({"path": root, "ignore_dirs": '["node_modules"]'})
+    rest = list(reader.pushFilters([tree.StringStartsWith(("path",), "src/deep/"), tree.StringEndsWith(("path",), ".py"), tree.EqualTo(("part",), 0)]))
+    assert [f.attribute for f in rest] == [("part",)]
+    entered = []
+    real = tree._listed
+    monkeypatch.setattr(tree, "_listed", lambda root, folder, ignore: entered.append(folder) or real(root, folder, ignore))
+    assert [(d.path, d.deep) for d in reader.partitions()] == [("src/deep", False)]
+    assert sorted(set(entered)) == ["", "src", "src/deep", "src/deep/er"]
+    monkeypatch.setattr(tree, "PARTITIONS", 3)
+    few = tree.TreeReader({"path": root}).partitions()
+    assert sum(d.deep for d in few) >= 2 and sorted(r[0] for d in few for r in tree.TreeReader({"path": root}).read(d)) == sorted([*by("true"), "node_modules/x/e.js"])
+    monkeypatch.undo()
+    assert tree.tree(spark, str(tmp_path / "empty"), []).count() == 0
