@@ -68,6 +68,35 @@ def file_changes(commits: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
+def partials(commits: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a batch of commits adds to ``file_changes``: ``path, time, changes, churn``, and one row ``oldest, newest``.
+
+    Both merge: see ``folded``. Weights are left out, since they depend on the newest time and the half-life of all
+    commits, those of later batches included.
+    """
+    rows = changes.join(commits.select("ord", "time"), "ord").groupBy("path", "time")
+    times = commits.where("time > 0").agg(F.min("time").alias("oldest"), F.max("time").alias("newest"))
+    return rows.agg(F.count("*").alias("changes"), F.sum(F.col("added") + F.col("deleted")).alias("churn")), times
+
+
+def folded(*parts: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Partials of several batches as one; in any order and grouping."""
+    sums, times = parts[0]
+    for more, other in parts[1:]:
+        sums, times = sums.unionByName(more), times.unionByName(other)
+    return sums.groupBy("path", "time").agg(F.sum("changes").alias("changes"), F.sum("churn").alias("churn")), times.agg(F.min("oldest").alias("oldest"), F.max("newest").alias("newest"))
+
+
+def changes_of(sums: DataFrame, times: DataFrame, now: int | None = None, half_life: float | None = None) -> DataFrame:
+    """``file_changes`` from partials; ``now`` and ``half_life`` are those of all commits unless they are given."""
+    newest = F.coalesce("newest", F.lit(0)) if now is None else F.lit(now)
+    life = F.coalesce((F.col("newest") - F.col("oldest")) / 4, F.lit(0.0)) if half_life is None else F.lit(float(half_life))
+    rows = sums.crossJoin(F.broadcast(times.select(newest.alias("now"), life.alias("half_life"))))
+    weight = F.when(F.col("half_life") == 0, 1.0).otherwise(F.pow(F.lit(0.5), (F.col("now") - F.col("time")) / F.when(F.col("half_life") != 0, F.col("half_life"))))
+    momentum = F.sum((weight * F.col("changes")).cast("decimal(28, 15)")).cast("double")
+    return rows.groupBy("path").agg(F.sum("changes").alias("changes"), F.sum("churn").alias("churn"), momentum.alias("momentum"), F.max("time").alias("last_change"))
+
+
 def _sized(changes: DataFrame) -> DataFrame:
     """The different paths of each commit, with their number."""
     paths = changes.select("ord", "path").distinct()

@@ -90,23 +90,31 @@ def one_value(values: DataFrame, column: str, fraction: float, name: str) -> Dat
     return quantiles(values, column, fraction).agg(F.coalesce(F.max("value"), F.lit(0)).alias(name))
 
 
-def wide_value(values: DataFrame, column: str, fraction: float, name: str) -> DataFrame:
-    """As ``one_value``, for columns that may have as many different values as rows.
+def wide_values(values: DataFrame, wanted: dict[str, tuple[Column, float]]) -> DataFrame:
+    """One row with a quantile for each name, as ``one_value`` has it, of columns that may have as many different values as rows.
 
-    A sketch brackets the quantile first, so that only the few values in the bracket are put in order; the values
-    below it are only counted. ``values`` is read three times: give it as a table or checkpoint.
+    ``wanted`` gives each name's values (nulls do not count) and fraction. ``values`` is read twice, however many quantiles
+    there are: sketches that merge bracket all of them in one pass, and in a second what lies in a bracket is kept, as
+    counts of equal values, and what lies below is counted.
     """
-    edges = [max(0.0, fraction - 2 / ACCURACY), min(1.0, fraction + 2 / ACCURACY)]
-    found = values.agg(F.percentile_approx(column, edges, ACCURACY).alias("e"), F.count(column).alias("total"))
-    bracket = found.select(F.col("e")[0].alias("low"), F.col("e")[1].alias("high"), "total")
-    met = values.select(column).crossJoin(F.broadcast(bracket))
-    below = met.agg(F.count_if(F.col(column) < F.col("low")).alias("below"), F.max("total").alias("total"))
-    inside = met.where(F.col(column).between(F.col("low"), F.col("high"))).groupBy(column).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-    placed = inside.withColumn("upto", upto).crossJoin(F.broadcast(below)).withColumn("upto", F.col("upto") + F.col("below"))
-    index = F.least(F.col("total") - 1, F.floor(F.col("total") * F.lit(float(fraction))))
-    chosen = placed.where((F.col("upto") > index) & (F.col("upto") - F.col("n") <= index))
-    return chosen.agg(F.coalesce(F.max(column), F.lit(0)).alias(name))
+    sketches = []
+    for name, (column, fraction) in wanted.items():
+        edges = [max(0.0, fraction - 2 / ACCURACY), min(1.0, fraction + 2 / ACCURACY)]
+        sketches += [F.percentile_approx(column, edges, ACCURACY).alias(f"__edges_{name}"), F.count(column).alias(f"__total_{name}")]
+    met = values.crossJoin(F.broadcast(values.agg(*sketches)))
+    entries = []
+    for name, (column, fraction) in wanted.items():
+        low, high, total = F.col(f"__edges_{name}")[0], F.col(f"__edges_{name}")[1], F.col(f"__total_{name}")
+        index = F.least(total - 1, F.floor(total * F.lit(float(fraction)))).cast("long")
+        # a null stands for all values below the bracket
+        own = [F.when(column >= low, column).alias(n) if n == name else F.lit(None).cast(met.select(c).schema[0].dataType).alias(n) for n, (c, _) in wanted.items()]
+        entries.append(F.when(column <= high, F.struct(F.lit(name).alias("__of"), index.alias("__index"), *own)))
+    rows = met.select(F.inline(F.filter(F.array(*entries), lambda x: x.isNotNull())))
+    counted = rows.groupBy("__of", "__index", *wanted).agg(F.count("*").alias("__n"))
+    order = Window.partitionBy("__of").orderBy(*[F.asc_nulls_first(n) for n in wanted]).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.withColumn("__upto", F.sum("__n").over(order))
+    chosen = placed.where((F.col("__upto") > F.col("__index")) & (F.col("__upto") - F.col("__n") <= F.col("__index")))
+    return chosen.agg(*[F.coalesce(F.max(n), F.lit(0)).alias(n) for n in wanted])
 
 
 def path_order() -> Column:

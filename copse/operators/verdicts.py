@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from copse.operators.complexity import density
-from copse.operators.scan import wide_value, path_order
+from copse.operators.scan import path_order, wide_values
 
 REFACTOR, AGENT = ("refactor", "split", "watch", "quiet", "inert"), ("safe", "review", "human")
 # fixed values: changes from which a file is busy; floors and limits of risks
@@ -24,11 +24,8 @@ def refactor_input(scored: DataFrame, contexts: DataFrame, changes: DataFrame) -
 def refactor_limits(files: DataFrame) -> DataFrame:
     """One row: ``busy, dense, costly``: the median momentum of changed files, upper quartiles of density and tokens."""
     measured = files.where(F.col("complexity") > 0)
-    busy = wide_value(measured.where(F.col("changes") > 0), "momentum", 0.5, "busy")
-    rest = [wide_value(measured, "density", 0.75, "dense"), wide_value(measured, "tokens", 0.75, "costly")]
-    for one in rest:
-        busy = busy.crossJoin(F.broadcast(one))
-    return busy
+    changed = F.when(F.col("changes") > 0, F.col("momentum"))
+    return wide_values(measured, {"busy": (changed, 0.5), "dense": (F.col("density"), 0.75), "costly": (F.col("tokens"), 0.75)})
 
 
 def refactor(files: DataFrame) -> DataFrame:
@@ -66,7 +63,7 @@ def agent_input(scored: DataFrame, contexts: DataFrame, duplication: DataFrame)
 def agent_limits(files: DataFrame) -> DataFrame:
     """One row: ``dense, large``: upper quartiles, but no less than their floors."""
     code = files.where(F.col("code") > 0)
-    both = wide_value(code, "density", 0.75, "d").crossJoin(F.broadcast(wide_value(code, "tokens", 0.75, "t")))
+    both = wide_values(code, {"d": (F.col("density"), 0.75), "t": (F.col("tokens"), 0.75)})
     return both.select(F.greatest(F.lit(float(MIN_DENSE)), "d").alias("dense"), F.greatest(F.lit(MIN_LARGE), "t").alias("large"))
 
 

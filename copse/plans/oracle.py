@@ -256,6 +256,7 @@ ORACLE_SQL: dict[str, str] = {
     "bot_filter": _with("SELECT ord, name FROM people"),
     "rename_pair": _RENAMES,
     "file_changes": _with("SELECT path, changes, churn, round(momentum, 6) AS momentum, last_change FROM history"),
+    "folded_changes": _with("SELECT path, changes, churn, round(momentum, 6) AS momentum, last_change FROM history"),
     "coupling_pairs": _with("SELECT a, b, shared, revisions_a, revisions_b, round(strength, 6) AS strength FROM pairs"),
     "coupling_files": _with(
         """SELECT path, any_value(revisions) AS revisions, sum(shared)::BIGINT AS sum_of_coupling, count(*) AS partners FROM

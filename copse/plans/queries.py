@@ -220,6 +220,13 @@ def file_changes(spark, sf_dir):
     return _rounded(history.file_changes(history.commits_of(commits(spark, sf_dir)), changes(spark, sf_dir)), "momentum")
 
 
+def folded_changes(spark, sf_dir):
+    """``file_changes`` of four batches of commits, each summed by itself and folded afterwards."""
+    people, all_changes = history.commits_of(commits(spark, sf_dir)), changes(spark, sf_dir)
+    parts = [history.partials(people.where(F.col("ord") % 4 == k), all_changes.where(F.col("ord") % 4 == k)) for k in range(4)]
+    return _rounded(history.changes_of(*history.folded(*parts)), "momentum")
+
+
 LOOSE = {"min_revisions": 10, "min_shared": 2, "min_strength": 0.3, "max_commit_size": 30}
 
 
@@ -385,7 +392,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         line_kinds, chunk_kinds, count_by_language, count_totals, size_distribution, concentration, largest_files, role_classify, role_summary, test_ratio, ignore_filter, glob_match,
         complexity_rank, complexity_density, complexity_breakdown, densest_window, token_estimate, context_files, context_dirs, context_totals, navigability, repeated_names,
-        budget_tiers, diff_scope, bot_filter, rename_pair, file_changes, coupling_pairs, coupling_files, coupling_commits, comment_drift, drift_summary, drift_candidates,
+        budget_tiers, diff_scope, bot_filter, rename_pair, file_changes, folded_changes, coupling_pairs, coupling_files, coupling_commits, comment_drift, drift_summary, drift_candidates,
         dup_windows, dup_clones, dup_cross_file, dup_ranked, dup_shape, dup_per_file, dup_focus, dup_renamed, clone_newest, comment_blame, rename_resolution, log_parsing, clone_code, refactor_verdicts, refactor_limits, agent_risk, agent_verdicts, size_label,
     )
 }

@@ -115,6 +115,21 @@ def test_decay(spark):
     assert (one.changes, one.momentum) == (2, 2.0)
 
 
+def test_batches_of_commits_are_folded(spark):
+    rng = random.Random(9)
+    commits = [(i, rng.choice([0, 50, 1000 + 37 * i])) for i in range(60)]
+    changes = [(rng.randrange(60), rng.choice("abc"), rng.randint(0, 9), 1) for _ in range(200)]
+    frames = lambda keep: (spark.createDataFrame([c for c in commits if keep(c[0])], "ord long, time long"), spark.createDataFrame([c for c in changes if keep(c[0])], "ord long, path string, added long, deleted long"))
+    parts = [history.partials(*frames(lambda o, k=k: o % 3 == k)) for k in range(3)]
+    row = lambda r: (r.path, r.changes, r.churn, pytest.approx(r.momentum, abs=1e-9), r.last_change)
+    want = sorted(map(row, history.file_changes(*frames(lambda o: True)).collect()), key=lambda r: r[0])
+    for order in ((0, 1, 2), (2, 0, 1)):
+        stored = history.folded(history.folded(parts[order[0]], parts[order[1]]), parts[order[2]])
+        assert sorted((tuple(r) for r in history.changes_of(*stored).select("path", "changes", "churn", "momentum", "last_change").collect())) == want
+    later = {r.path: r.momentum for r in history.changes_of(*stored, now=10_000, half_life=100.0).collect()}
+    assert later["a"] == pytest.approx(sum(0.5 ** ((10_000 - commits[o][1]) / 100) for o, p, *_ in changes if p == "a"), abs=1e-9)
+
+
 def test_coupling(spark):
     both = [(f"j{i}", i, "", "", [(1, 1, "b.ts"), (1, 1, "a.ts"), (1, 1, "a.ts")]) for i in range(3)]
     solo = [(f"s{i}", i, "", "", [(1, 1, "a.ts")]) for i in range(3)]

@@ -133,7 +133,13 @@ def test_bracketed_quantiles_are_exact(spark):
         df = spark.createDataFrame([(v,) for v in values], "v double")
         for f in (0.0, 0.5, 0.75, 0.9, 1.0):
             want = sorted(values)[min(len(values) - 1, int(len(values) * f))] if values else 0
-            assert scan.wide_value(df, "v", f, "q").first().q == want
+            assert scan.wide_values(df, {"q": (F.col("v"), f)}).first().q == want
+
+
+def test_many_quantiles_at_once(spark):
+    df = spark.range(5000).selectExpr("(id * 7919) % 5000 a", "cast(id % 3 as double) b", "if(id % 2 = 0, id / 7, null) c", "id % 10 = 0 d")
+    got = scan.wide_values(df, {"x": (F.col("a"), 0.5), "y": (F.col("b"), 0.9), "z": (F.col("c"), 0.25), "w": (F.when(F.col("d"), F.col("a")), 0.0), "v": (F.when(F.lit(False), F.col("a")), 0.5)}).first()
+    assert got.asDict() == {"x": 2500, "y": 2.0, "z": 1250 / 7, "w": 0, "v": 0}
 
 
 def test_quantile_and_concentration(spark):
