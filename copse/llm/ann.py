@@ -3,7 +3,7 @@
 Vectors get one more component so that all of a slice have its longest one's length; then the largest inner product is
 the smallest distance. Directions drawn as random orthonormal bases give each vector one number each, and each
 direction's numbers are one sorted array. Around a query's number a window grows on every array at once; by virtual
-rehashing each wider window contains the one before. When enough vectors lie in the windows of a share of the
+rehashing each wider window contains the one before, so only what its ends pass is counted anew. When enough vectors lie in the windows of a share of the
 directions, those with most collisions are verified by the exact inner product. Slices hold vectors of similar
 lengths, the longest first, and a slice that cannot hold a nearer one than those found is left out. (Gan et al., C2LSH,
 2012; Huang et al., QALSH, 2015; Yan et al., "Norm-Ranging LSH for Maximum Inner Product Search", 2018.)
@@ -22,11 +22,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from copse.llm.common import cut
+from copse.llm.exact_search import one_query
 
 #: Orthonormal bases of directions; share of directions that must collide; verified candidates of a slice: a number and
 #: a share; width of the first window in standard deviations, and growth of the windows; seed of the directions; shares of
 #: a block's vectors at which slices end; vectors and queries of a block.
-BASES, THRESHOLD, ENOUGH, SHARE, WIDTH, GROWTH, SEED = 3, 0.9, 100, 0.012, 1.7, 1.15, 7
+BASES, THRESHOLD, ENOUGH, SHARE, WIDTH, GROWTH, SEED = 1, 0.9, 100, 0.04, 2.6, 1.15, 7
 SLICES = (0.005, 0.05, 0.2, 1.0)
 BLOCK, QUERY_BLOCK = 32768, 8192
 
@@ -39,11 +40,7 @@ def directions(dim: int, bases: int = BASES, seed: int = SEED) -> np.ndarray:
 
 
 class Slice:
-    """The sorted arrays of vectors of similar lengths.
-
-    An array is kept as the place of each vector in the order of a direction, so that a window, which is a range of
-    places, is compared with all vectors at once.
-    """
+    """The sorted arrays of vectors of similar lengths: for each direction the numbers, and the vectors in their order."""
 
     def __init__(self, vectors: np.ndarray, rows: np.ndarray):
         lengths = np.sqrt((vectors**2).sum(axis=1))
@@ -51,10 +48,8 @@ class Slice:
         rest = np.sqrt(np.maximum(0, self.longest**2 - lengths**2))
         self.by = directions(vectors.shape[1] + 1)
         numbers = (np.c_[vectors, rest] @ self.by).T
-        order = np.argsort(numbers, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(numbers, order, axis=1)
-        self.place = np.empty(order.shape, dtype=np.uint16 if n < 65536 else np.uint32)
-        np.put_along_axis(self.place, order, np.arange(n, dtype=self.place.dtype)[None, :], axis=1)
+        self.order = np.argsort(numbers, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(numbers, self.order, axis=1)
         self.first = self.sorted.std(axis=1).mean() * WIDTH or 1e-9
         self.enough = min(n, ENOUGH + int(SHARE * n))
 
@@ -62,35 +57,37 @@ class Slice:
         """Take in a block of queries of length 1; their windows of each level are found together, when a query needs them."""
         self.at, self.windows = (np.c_[directed * self.longest, np.zeros(len(directed))] @ self.by).T, {}
 
-    def _collisions(self, q: int, level: int) -> np.ndarray:
-        """In how many directions each vector lies in the window of a query at a level."""
+    def _window(self, q: int, level: int) -> tuple[list[int], list[int]]:
+        """The first and last place of a query's window on each array."""
         if level not in self.windows:
             width = self.first * GROWTH**level
             low = np.stack([line.searchsorted(x - width) for line, x in zip(self.sorted, self.at, strict=True)], axis=1)
             high = np.stack([line.searchsorted(x + width, "right") for line, x in zip(self.sorted, self.at, strict=True)], axis=1)
-            self.windows[level] = low.astype(self.place.dtype), (high - low).astype(self.place.dtype)
-        (lows, sizes), n = self.windows[level], self.place.shape[1]
-        total, few = np.zeros(n, dtype=np.uint16), np.zeros(n, dtype=np.uint8)
-        gap, inside = np.empty(n, dtype=self.place.dtype), np.empty(n, dtype=bool)
-        counted = inside.view(np.uint8)
-        for j, (place, low, size) in enumerate(zip(self.place, lows[q], sizes[q], strict=True)):
-            if j % 255 == 254:  # before a byte can overflow
-                total += few
-                few[:] = 0
-            np.subtract(place, low, out=gap)  # places below the window wrap around
-            np.less(gap, size, out=inside)
-            np.add(few, counted, out=few)
-        return total + few
+            self.windows[level] = low, high
+        low, high = self.windows[level]
+        return low[q].tolist(), high[q].tolist()
+
+    def _in(self, ranges: list[tuple[int, int, int]]) -> np.ndarray:
+        """How many of the ranges (array, start, end) hold each vector."""
+        return np.bincount(np.concatenate([self.order[j, a:b] for j, a, b in ranges]), minlength=len(self.vectors))
 
     def candidates(self, q: int) -> np.ndarray:
-        """The places of the vectors that collide with a query most, at the first level where enough do in enough directions."""
-        if self.enough == len(self.vectors):
-            return np.arange(self.enough)
-        level, counts = 0, self._collisions(q, 0)
-        while np.count_nonzero(counts >= THRESHOLD * len(self.at)) < self.enough:
+        """The places of the vectors that collide with a query most, at the first level where enough do in enough directions.
+
+        A vector's misses are the arrays on whose window it does not stand. The first windows leave out few vectors, which
+        are counted; from then on the two ends of a window only move outwards, and what they pass is taken off.
+        """
+        n, arrays = len(self.vectors), len(self.at)
+        if self.enough == n:
+            return np.arange(n)
+        level, (low, high) = 0, self._window(q, 0)
+        misses = self._in([(j, a, b) for j in range(arrays) for a, b in ((0, low[j]), (high[j], n))])
+        while np.count_nonzero(misses <= (1 - THRESHOLD) * arrays) < self.enough:
             level += 1
-            counts = self._collisions(q, level)
-        return np.flatnonzero(counts >= np.partition(counts, len(counts) - self.enough)[len(counts) - self.enough])
+            wider = self._window(q, level)
+            misses -= self._in([(j, a, b) for j in range(arrays) for a, b in ((wider[0][j], low[j]), (high[j], wider[1][j]))])
+            low, high = wider
+        return np.flatnonzero(misses <= np.partition(misses, self.enough - 1)[self.enough - 1])
 
 
 class Index:
@@ -160,8 +157,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """``query_id, rank, vec_id, score``: the nearest ``k`` found for each query, nearest first.
 
     Vectors (``vec_id, embedding``) that are null, zero or hold null or non-finite components take no part, and
-    vectors meet queries of their own length only. Repeated rows are candidates each; repeated rows of a query
-    are one query. Ties go to the smaller id; a null id is no query and comes last. Fewer candidates than ``k``
+    vectors meet queries of their own length only. Repeated rows are candidates each. A row with the query's id is the
+    query's own; of rows that share an id the least vector asks, and all are candidates of other queries. Ties go to the
+    smaller id; a null id is no query and comes last. Fewer candidates than ``k``
     are all returned. An empty table gives an empty result; other columns are left out.
     """
     vector = F.col("embedding").cast("array<double>")
@@ -174,7 +172,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     query_blocks = max(1, -(-asked // QUERY_BLOCK), min(-(-cores // blocks), asked // 256))
     base = rows.select("dim", F.coalesce("vec_id", F.lit(_NO_ID)).cast("long").alias("vec_id"), "vector", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"))
     base = base.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    queries = rows.where("q AND vec_id IS NOT NULL").selectExpr("dim AS dim", "vec_id AS query_id", "vector AS vector").distinct()
+    queries = one_query(rows.where("q"))
     queries = queries.withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
     queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     key = ["dim", "block", "query_block"]

@@ -58,3 +58,52 @@ def test_every_query_meets_every_block(spark, monkeypatch):
     want = brute(rows, 20)
     assert len(got) == 20 * len(want) == 20 * 35
     assert sum((r.vec_id in dict(want[r.query_id])) for r in got) / len(got) > 0.95
+
+
+def shapes(rng):
+    gauss = rng.normal(size=(20_000, 64))
+    long = gauss.copy()
+    long[17] *= 20
+    return {"gaussian": gauss, "lengths": gauss * rng.lognormal(0, 0.5, size=(20_000, 1)), "one outlier": long, "clusters": gauss * 0.3 + rng.normal(size=(50, 64))[rng.integers(50, size=20_000)]}
+
+
+def test_recall_at_size():
+    """Recall against brute force on tables of 20,000 x 64 of several shapes."""
+    for name, vectors in shapes(np.random.default_rng(8)).items():
+        vectors = vectors.astype("f4").astype(float)
+        index, asked, hits = ann.Index(vectors), np.arange(0, 20_000, 500), 0
+        index.ask(vectors[asked])
+        for n, q in enumerate(asked):
+            rows, scores = index.nearest(np.arange(20_000), q, n, 20)
+            whole = vectors @ vectors[q]
+            whole[q] = -np.inf
+            hits += len(set(rows) & set(np.argsort(-whole, kind="stable")[:20]))
+            assert np.allclose(scores, whole[rows]) and (np.diff(scores) <= 0).all()
+        assert hits / (20 * len(asked)) >= 0.95, name
+
+
+def test_windows_only_grow():
+    """Collisions counted by what the ends of windows pass are those of the windows themselves."""
+    rng = np.random.default_rng(2)
+    part = ann.Slice(rng.normal(size=(500, 6)), np.arange(500))
+    part.enough = 200
+    part.ask(rng.normal(size=(3, 6)))
+    part.first /= 4
+    for q in range(3):
+        level, least = 0, int(np.ceil(ann.THRESHOLD * len(part.at) - 1e-9))
+        numbers = np.empty_like(part.sorted)
+        np.put_along_axis(numbers, part.order, part.sorted, axis=1)
+        while True:
+            counts = (np.abs(numbers - part.at[:, q : q + 1]) <= part.first * ann.GROWTH**level).sum(axis=0)
+            if (counts >= least).sum() >= 200:
+                break
+            level += 1
+        assert part.candidates(q).tolist() == np.flatnonzero(counts >= np.sort(counts)[-200]).tolist()
+
+
+def test_one_id_with_two_vectors(spark):
+    rows = [(0, [2.0, 0.0]), (0, [0.0, 1.0]), (1, [0.5, 3.0]), (2, [5.0, 1.0]), (20, [1.0, 1.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0)
+    found = {q: [(r.vec_id, r.score) for r in sorted(got.collect(), key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 20)}
+    # the least vector of id 0 asks, and both are candidates of id 20
+    assert found == {0: [(1, 3.0), (2, 1.0), (20, 1.0)], 20: [(2, 6.0), (1, 3.5), (0, 2.0), (0, 1.0)]}
