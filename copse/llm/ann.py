@@ -27,7 +27,7 @@ from copse.llm.exact_search import one_query
 #: Orthonormal bases of directions; share of directions that must collide; verified candidates of a slice: a number and
 #: a share; width of the first window in standard deviations, and growth of the windows; seed of the directions; shares of
 #: a block's vectors at which slices end; vectors and queries of a block.
-BASES, THRESHOLD, ENOUGH, SHARE, WIDTH, GROWTH, SEED = 1, 0.9, 100, 0.04, 2.6, 1.15, 7
+BASES, THRESHOLD, ENOUGH, SHARE, WIDTH, GROWTH, SEED = 2, 0.9, 100, 0.04, 2.6, 1.15, 7
 SLICES = (0.005, 0.05, 0.2, 1.0)
 BLOCK, QUERY_BLOCK = 32768, 8192
 
