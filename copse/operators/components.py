@@ -47,6 +47,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state == before or not state[0]:
             break
         before, parts = state, parts or -(-state[0] // PART_EDGES)
-        now = cut(_small_star(_large_star(now, parts), parts))
+        now = cut(_small_star(_large_star(now.coalesce(-(-state[0] // PART_EDGES)), parts), parts))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

@@ -27,3 +27,18 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+#: Rows that fill a part of a narrow table.
+PART_ROWS = 250_000
+
+
+def gathered(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut``, read in as many parts as its rows fill, and its number of rows.
+
+    What is left of a large table after a filter lies in as many parts as the table had; every shuffle of it would write
+    that many files.
+    """
+    out = cut(df)
+    n = out.count()
+    return out.coalesce(max(1, -(-n // PART_ROWS))), n
