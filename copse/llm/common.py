@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copse.session import cut, shared_folder
+from copse.session import cut, gathered, shared_folder
 
-__all__ = ["cut", "shared_folder", "small_batches", "spans_digest", "table", "text_of"]
+__all__ = ["cut", "gathered", "shared_folder", "small_batches", "spans_digest", "table", "text_of"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

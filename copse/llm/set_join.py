@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from copse.llm.buckets import _dealt
-from copse.llm.common import cut, small_batches, text_of
+from copse.llm.common import cut, gathered, small_batches, text_of
 from copse.llm.components import components
 from copse.llm.fingerprints import bit_counts, majority, shingles
 
@@ -195,17 +195,16 @@ def verified(pairs: DataFrame, own: DataFrame, docs: DataFrame, similarity: floa
     """
     sides = pairs.join(own.select(F.col("node").alias("a"), F.col("profile").alias("x"), F.col("size").alias("m")), "a")
     sides = sides.join(own.select(F.col("node").alias("b"), F.col("profile").alias("y"), F.col("size").alias("n")), "b").select("a", "b", "x", "y", "m", "n")
-    hopeful = cut(sides.mapInArrow(_kept_pairs(lambda x, y, m, n: may_be_similar(x, y, m, n, similarity)), "a long, b long"))
-    needed = cut(hopeful.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(own.select("node", "doc_id"), "node").select("doc_id").distinct())
-    count = needed.count()
+    hopeful, _ = gathered(sides.mapInArrow(_kept_pairs(lambda x, y, m, n: may_be_similar(x, y, m, n, similarity)), "a long, b long"))
+    needed, count = gathered(hopeful.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(own.select("node", "doc_id"), "node").select("doc_id").distinct())
     if not count:
         return None
     chosen = docs.join(F.broadcast(needed) if count <= BROADCAST_IDS else needed, "doc_id", "left_semi")
     sets = chosen.select("text").mapInArrow(_whole(words), "node long, hashes binary").dropDuplicates(["node"])
     both = hopeful.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
-    found = cut(both.mapInArrow(_kept_pairs(lambda x, y: jaccard(unpacked(x), unpacked(y)) >= similarity), "a long, b long"))
-    return None if found.isEmpty() else found
+    found, linked = gathered(both.mapInArrow(_kept_pairs(lambda x, y: jaccard(unpacked(x), unpacked(y)) >= similarity), "a long, b long"))
+    return found if linked else None
 
 
 def _described(docs: DataFrame, similarity: float, words: int) -> DataFrame:
@@ -228,7 +227,7 @@ def similar_components(docs: DataFrame, similarity: float, words: int, first: Ca
     """``doc_id, component_id`` for every row of ``docs`` (``doc_id, text``): components of all pairs that are similar.
 
     ``first`` makes pairs ``a, b`` (names of sets) of ``node, w0`` (fingerprints of the sets) that are verified
-    before any others; pairs that these connect are not tried again. Equal sets are one node. Texts without words are
+    with the first round's; pairs that these connect are not tried again. Equal sets are one node. Texts without words are
     no copies of one another; they have no component.
     """
     small_batches(docs.sparkSession)
@@ -244,10 +243,8 @@ def similar_components(docs: DataFrame, similarity: float, words: int, first: Ca
         found = verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), own, docs, similarity, words)
         if found is not None:
             # what was linked before is a star around each root
-            roots = cut(components(found if roots is None else found.unionByName(roots.toDF("a", "b"))))
+            roots, _ = gathered(components(found if roots is None else found.unionByName(roots.toDF("a", "b"))))
 
-    if first is not None:
-        tried(first(nodes.select("node", "w0")))
     index = nodes.select(F.col("node").alias("id"), "size", F.posexplode("keys").alias("place", "key")).select("key", "id", "size", "place")
     dealt = _dealt(index, HOT_KEY, COUNTED).repartition("key").sortWithinPartitions("key", "size", "id")
     shared = cut(dealt.mapInArrow(_shared(similarity), "key long, node long, size int, place int, n long"))
@@ -257,7 +254,9 @@ def similar_components(docs: DataFrame, similarity: float, words: int, first: Ca
         rows = shared.where(F.col("n") > near).drop("n")
         rows = rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         rows = rows.select("key", "node", "size", "place", "root").repartition("key").sortWithinPartitions("key", "size", "node")
-        tried(rows.mapInArrow(_tried(similarity, near, far), "a long, b long"))
+        pairs = rows.mapInArrow(_tried(similarity, near, far), "a long, b long")
+        # similar sets share a key, so where no key is shared those of ``first`` cannot be similar either
+        tried(pairs if near or first is None else pairs.unionByName(first(nodes.select("node", "w0")).select("a", "b")))
         near, far = far, far * WIDER
     named = prints.select("doc_id", "node")
     rooted = named.withColumn("root", F.col("node")) if roots is None else named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
