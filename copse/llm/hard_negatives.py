@@ -83,10 +83,12 @@ class Tree:
             start, end, children = self.nodes[node]
             if needed and not children:
                 scores = tiles.products(query[None], self.vectors[start:end])[0]
-                for j in needed:
-                    here = np.flatnonzero(able[start:end] & (scores >= least[j]) & (scores <= windows[j][1]))
+                fit = np.flatnonzero(able[start:end] & (scores >= min(least[j] for j in needed)))
+                scores = scores[fit]
+                for j in needed if len(fit) else ():
+                    here = np.flatnonzero((scores >= least[j]) & (scores <= windows[j][1]))
                     if len(here):
-                        rows, s = np.r_[found[j][0], here + start], np.r_[found[j][1], scores[here]]
+                        rows, s = np.concatenate((found[j][0], fit[here] + start)), np.concatenate((found[j][1], scores[here]))
                         first = tiles.ordered(s, ids[rows])[:k]
                         found[j] = rows[first], s[first]
                         if len(first) == k:  # what follows must at least reach the last of these
