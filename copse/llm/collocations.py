@@ -160,13 +160,14 @@ def _suffixes(max_n: int, bits):
         for lang, block, own in _blocks(batches, max_n):
             number, first = block.names()
             n = len(block)
-            goes_on = np.r_[block.paired & often(block.pair), np.zeros(min(1, n), dtype=bool)]
-            length = often(block.hash).astype(np.int64)
-            open_ = length > 0
+            known = often(block.hash)
+            goes_on = np.r_[block.paired & known[1:] & often(block.pair), np.zeros(min(1, n), dtype=bool)]
+            length, open_ = known.astype(np.int64), known
             for j in range(max_n - 1):
                 open_ = open_ & np.r_[goes_on[j:], np.zeros(min(j, n), dtype=bool)]
                 length += open_
-            names = [block.word(i) + b" " for i in first]
+            whole = block.data.tobytes()
+            names = [whole[a:b] + b" " if k else b"" for a, b, k in zip(block.start[first].tolist(), block.end[first].tolist(), known[first].tolist(), strict=True)]
             suffixes, counts, keys = [b""], [int((length[:own] == 0).sum())], [xxhash.xxh64_intdigest(lang)]
             code, some = number.astype(np.int64), np.flatnonzero(length[:own] > 0)
             for size in range(1, max_n + 1):
@@ -192,7 +193,7 @@ def _prefixes(min_count: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[str, str, int, int]] = []
-        now, words, counts = None, [], [0]  # counts[i] is what the first i words have so far
+        now, last, words, counts = None, None, [], [0]  # counts[i] is what the first i words have so far
 
         def close(keep: int) -> None:
             while len(words) > keep:
@@ -218,6 +219,10 @@ def _prefixes(min_count: int):
                 if lang != now:
                     whole()
                     now, counts[0] = lang, 0
+                elif suffix == last:  # of another block
+                    counts[-1] += n
+                    continue
+                last = suffix
                 parts, common = suffix.split(" ")[:-1], 0
                 while common < min(len(parts), len(words)) and parts[common] == words[common]:
                     common += 1
