@@ -21,18 +21,19 @@ def hits() -> Column:
 
 
 def complexity(files: DataFrame, window: int = text.DENSEST_WINDOW) -> DataFrame:
-    """``path, language, complexity, code, density, branch, loop, bool, densest, concentration`` of measured files.
+    """``path, language, complexity, code, density, branch, loop, bool, densest, concentration`` of measured files; without buckets if they have none.
 
     ``densest`` is the most decisions in any run of ``window`` lines, and ``concentration`` its percentage of the
     file's. Only lines that have decisions are exploded; the window and the sums share one shuffle by path. A column
     ``hits`` is used if there is one.
     """
-    names = ["path", "language", "complexity", "code", "branch", "loop", "bool"]
+    buckets = [b for b in ("branch", "loop", "bool") if b in files.columns]
+    names = ["path", "language", "complexity", "code", *buckets]
     rows = files.select(*names, F.explode_outer(F.col("hits") if "hits" in files.columns else hits()).alias("h")).select(*names, "h.line", "h.n")
     run = Window.partitionBy("path").orderBy("line").rangeBetween(-(window - 1), 0)
     out = rows.withColumn("run", F.sum("n").over(run)).groupBy(*names).agg(F.coalesce(F.max("run"), F.lit(0)).cast("long").alias("densest"))
     share = F.when(F.col("complexity") > 0, F.col("densest") / F.col("complexity") * 100).otherwise(0.0)
-    return out.select("path", "language", "complexity", "code", density().alias("density"), "branch", "loop", "bool", "densest", share.alias("concentration"))
+    return out.select("path", "language", "complexity", "code", density().alias("density"), *buckets, "densest", share.alias("concentration"))
 
 
 def rank(scored: DataFrame, sort: str = "raw", min_lines: int = 1) -> DataFrame:

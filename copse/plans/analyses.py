@@ -21,7 +21,7 @@ def _sources(files: DataFrame, include_all: bool, changed: DataFrame | None) ->
 def _excluded(files: DataFrame, include_all: bool, changed: DataFrame | None) -> DataFrame:
     """``role, files, code`` of what an analysis leaves out."""
     rest = scan.scoped(files, changed).where(F.lit(False) if include_all else F.col("role") != "source")
-    return scan.role_summary(scan.measured(scan.with_lines(rest)))
+    return scan.role_summary(scan.measured(scan.with_lines(rest), buckets=False))
 
 
 def facts(lexed: DataFrame, rows: bool = True) -> DataFrame:
@@ -30,12 +30,12 @@ def facts(lexed: DataFrame, rows: bool = True) -> DataFrame:
     Cut from its lineage, so that each file is lexed once for an analysis that needs several of them.
     """
     more = {"hits": complexity.hits(), "costs": context.costs()} | ({"rows": duplication.hashed_lines()} if rows else {})
-    return cut(scan.measured(lexed).withColumns(more).drop("content", "lines", "code_text", "code_lines", "kinds"))
+    return cut(scan.measured(lexed, buckets=False).withColumns(more).drop("content", "lines", "code_text", "code_lines", "kinds"))
 
 
 def count(files: DataFrame, include_all: bool = False, changed: DataFrame | None = None) -> dict[str, DataFrame]:
     """Lines of code. Roles are counted over all files in scope."""
-    roled = cut(scan.measured(scan.with_lines(scan.scoped(files, changed))).select("path", "role", "language", *counts.SUMS))
+    roled = cut(scan.measured(scan.with_lines(scan.scoped(files, changed)), buckets=False).select("path", "role", "language", *counts.SUMS))
     chosen = scan.included(roled, include_all)
     return {
         "languages": counts.by_language(chosen), "totals": counts.totals(chosen), "distribution": counts.distribution(chosen),
@@ -80,7 +80,7 @@ def dup(
 
 def comments(files: DataFrame, blame: DataFrame, include_all: bool = False, changed: DataFrame | None = None, years: float = 3, limit: int = 50) -> dict[str, DataFrame]:
     """Comment drift of the files with most comments; files that are not blamed are left out."""
-    lexed = scan.measured(scan.with_lines(_sources(files, include_all, changed)))
+    lexed = scan.measured(scan.with_lines(_sources(files, include_all, changed)), buckets=False)
     chosen = lexed.join(drift.candidates(lexed, limit), "path", "left_semi").join(blame.select("path").distinct(), "path", "left_semi")
     lines = chosen.select("path", F.posexplode("kinds").alias("line", "kind")).withColumn("line", F.col("line") + 1)
     found = drift.drift(lines.join(blame.select("path", F.col("line").cast("int").alias("line"), "time"), ["path", "line"], "left"), years)

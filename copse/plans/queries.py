@@ -84,8 +84,8 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.with_lines(scan.included(files(spark, sf_dir)))
 
 
-def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.measured(_sources(spark, sf_dir))
+def _measured(spark: SparkSession, sf_dir: str, buckets: bool = False) -> DataFrame:
+    return scan.measured(_sources(spark, sf_dir), buckets)
 
 
 def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +98,7 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def line_kinds(spark, sf_dir):
-    return scan.measured(_lexed(spark, sf_dir)).select("path", "language", "code", "comment", "blank", "total")
+    return scan.measured(_lexed(spark, sf_dir), buckets=False).select("path", "language", "code", "comment", "blank", "total")
 
 
 def chunk_kinds(spark, sf_dir):
@@ -132,11 +132,11 @@ def role_classify(spark, sf_dir):
 
 
 def role_summary(spark, sf_dir):
-    return scan.role_summary(scan.measured(_lexed(spark, sf_dir)))
+    return scan.role_summary(scan.measured(_lexed(spark, sf_dir), buckets=False))
 
 
 def test_ratio(spark, sf_dir):
-    return _rounded(counts.test_ratio(scan.measured(_lexed(spark, sf_dir))), "ratio")
+    return _rounded(counts.test_ratio(scan.measured(_lexed(spark, sf_dir), buckets=False)), "ratio")
 
 
 GLOBS = ("src1*/en/**", "doc_?.go", "**/d1/*.sql", "*7.html")
@@ -161,7 +161,7 @@ def complexity_density(spark, sf_dir):
 
 
 def complexity_breakdown(spark, sf_dir):
-    return _measured(spark, sf_dir).select("path", "branch", "loop", "bool", "complexity")
+    return _measured(spark, sf_dir, buckets=True).select("path", "branch", "loop", "bool", "complexity")
 
 
 def densest_window(spark, sf_dir):
