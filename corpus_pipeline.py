@@ -39,6 +39,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id.
 
+    SimHash variants make the first pairs; what they miss is found by prefix filtering, and whole sets of shingle hashes
+    (40 bits each) decide all links, so a link is exact up to equal hashes.
+
     Rows without an id, and null, empty and wordless texts, are no copies and stay. Of rows with one id all stay or go.
     """
     return simhash_dedup.keep_one(docs).select(*COLUMNS)
