@@ -171,7 +171,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model from a sample of at most about ``sample`` labelled rows that are not held out, chosen by a hash of the id."""
+    """The model from a sample of at most about ``sample`` labelled rows that are not held out, chosen by a hash of the id.
+
+    A null id or label teaches nothing; of several labels of one id the toxic one counts; each repeated row of a document
+    is an example of its own, and a null text is an empty one. Without labels every score is one half.
+    """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     share = min(1.0, sample / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
