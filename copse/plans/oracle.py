@@ -236,6 +236,14 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "ignore_filter": _with(f"SELECT path FROM plain_files WHERE NOT {_IGNORED}"),
     "glob_match": _with(f"SELECT path, {_MATCHED} AS matched FROM plain_files"),
+    # numbers in the paths against the rule that makes the globs, rather than the globs one by one
+    "glob_many": _with(
+        r"""SELECT path, coalesce(folder % 3 = 0 AND folder < 3000, false) OR coalesce(list_bool_or([n % 3 = 0 AND n < 3000 FOR n IN [page % 10, page % 100, page % 1000, page % 10000]]), false)
+            OR coalesce(typed % 3 = 1 AND typed < 3000, false) OR coalesce(seven % 3 = 2 AND seven < 3000, false) OR coalesce(doc % 3 = 0, false) AS matched
+        FROM (SELECT path, TRY_CAST(nullif(regexp_extract(path, '/d([0-9]+)/', 1), '') AS BIGINT) AS folder, TRY_CAST(nullif(regexp_extract(path, '^site/([0-9]+)\.html$', 1), '') AS BIGINT) AS page,
+            TRY_CAST(nullif(regexp_extract(path, '^src[^/]*/[^/]*/d([0-9]+)/[^/]*\.ts$', 1), '') AS BIGINT) AS typed,
+            CASE WHEN page % 10 = 7 AND page >= 10 THEN page // 10 END AS seven, TRY_CAST(nullif(regexp_extract(path, '/doc_([0-9]+)\.[^/]s[^/]*$', 1), '') AS BIGINT) AS doc FROM plain_files)"""
+    ),
     "complexity_rank": _with(
         "SELECT path, language, complexity, code, round(density, 6) AS density, densest, round(concentration, 6) AS concentration FROM scored WHERE complexity > 0 AND code >= 3"
     ),

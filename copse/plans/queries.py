@@ -151,6 +151,15 @@ def glob_match(spark, sf_dir):
     return files(spark, sf_dir).select("path", paths.matches_any(F.col("path"), GLOBS).alias("matched"))
 
 
+#: Thousands of globs by a rule: folders, names within folders at any depth, and ends of names.
+MANY_GLOBS = [g for i in range(0, 3000, 3) for g in (f"**/d{i}/**", f"*{i}.html", f"src*/*/d{i + 1}/*.ts", f"site/{i + 2}7.*", f"**/doc_{i}.?s*")]
+
+
+def glob_many(spark, sf_dir):
+    """Which files fit any of 5,000 globs."""
+    return files(spark, sf_dir).select("path", paths.matches_any(F.col("path"), MANY_GLOBS).alias("matched"))
+
+
 def complexity_rank(spark, sf_dir):
     out = complexity.rank(complexity.complexity(_measured(spark, sf_dir)), "raw", 3)
     return _rounded(out.select("path", "language", "complexity", "code", "density", "densest", "concentration"), "density", "concentration")
@@ -390,7 +399,7 @@ def size_label(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        line_kinds, chunk_kinds, count_by_language, count_totals, size_distribution, concentration, largest_files, role_classify, role_summary, test_ratio, ignore_filter, glob_match,
+        line_kinds, chunk_kinds, count_by_language, count_totals, size_distribution, concentration, largest_files, role_classify, role_summary, test_ratio, ignore_filter, glob_match, glob_many,
         complexity_rank, complexity_density, complexity_breakdown, densest_window, token_estimate, context_files, context_dirs, context_totals, navigability, repeated_names,
         budget_tiers, diff_scope, bot_filter, rename_pair, file_changes, folded_changes, coupling_pairs, coupling_files, coupling_commits, comment_drift, drift_summary, drift_candidates,
         dup_windows, dup_clones, dup_cross_file, dup_ranked, dup_shape, dup_per_file, dup_focus, dup_renamed, clone_newest, comment_blame, rename_resolution, log_parsing, clone_code, refactor_verdicts, refactor_limits, agent_risk, agent_verdicts, size_label,

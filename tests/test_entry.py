@@ -11,7 +11,7 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.abspath(driver.__file__))
-QUICK = ["count_by_language", "role_summary", "token_estimate", "file_changes", "glob_match", "rename_pair", "budget_tiers", "coupling_pairs", "comment_drift", "dup_windows", "log_parsing", "folded_changes", "chunk_kinds"]
+QUICK = ["count_by_language", "role_summary", "token_estimate", "file_changes", "glob_match", "glob_many", "rename_pair", "budget_tiers", "coupling_pairs", "comment_drift", "dup_windows", "log_parsing", "folded_changes", "chunk_kinds"]
 
 
 def test_names():

@@ -1,6 +1,9 @@
 """Globs, ignore rules, roles and configuration."""
 
 import json
+import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +59,37 @@ def test_scope_and_summary(spark):
     assert scan.included(files).count() == 1 and scan.included(files, True).count() == 3
 
 
+def test_many_globs_equal_each_alone(spark):
+    """Any mix of heads, tails, inner pieces, long pieces and globs without any, against every glob tried by itself."""
+    rng = random.Random(3)
+    part = lambda: rng.choice(["a", "b", "ab", "src", "x.ts", "é", "'q", "\\\\d", "$", "(", "long" * 9])
+    globs = ["".join(rng.choice([part(), "/", "*", "**", "?", "."]) for _ in range(rng.randint(1, 6))) for _ in range(400)]
+    names = ["/".join("".join(part() for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 4))) for _ in range(300)] + ["", "/", "a", "long" * 9]
+    usable = [g for g in globs if not re.fullmatch(r"[*?./]*", g)]
+    frame = spark.createDataFrame([(n,) for n in [*names, None]], "p string").repartition(4)
+    for chosen in (usable[:40], usable, [*usable, "?", "??/a*"]):
+        want = {n: any(re.match(paths.glob_pattern(g), x) for g in chosen for x in (n, n.rsplit("/", 1)[-1])) for n in names} | {None: None}
+        got = {r.p: r.m for r in frame.select("p", paths.matches_any(F.col("p"), chosen).alias("m")).collect()}
+        assert got == want and len(set(got.values())) > 2
+    assert on(spark, "any/thing", lambda p: paths.matches_any(p, [*usable, "**"])) is True
+
+
+def test_cost_of_a_path_does_not_grow_with_the_globs(spark):
+    globs = [g for i in range(2500) for g in (f"pkg{i}/**", f"*.gen{i}.ts", f"**/mod{i}/*.py", f"lib{i}.js")]
+    frame = spark.range(40_000).selectExpr("concat('pkg', id, 'x/mod', id % 5000, '/f', id % 7, if(id % 2 = 0, '.py', '.js')) AS p").repartition(8).cache()
+    frame.count()
+
+    def took(chosen):
+        start = time.time()
+        n = frame.where(paths.matches_any(F.col("p"), chosen)).count()
+        return n, time.time() - start
+
+    took(globs[:100])
+    few, many = min(took(globs[:100])[1] for _ in range(2)), took(globs)
+    assert many[0] == 10_000 and many[1] < 10 * few + 5  # one alternation of all takes minutes
+    frame.unpersist()
+
+
 GOOD = [{}, {"ignore": {}}, {"ignore": {"dirs": ["x"], "globs": ["*.z"]}}, {"unignore": {"dirs": ["dist"]}}, {"roles": {"test": ["a/**"]}}, {"respectGitignore": False}]
 BAD = [
     (None, "expected object, received null"), ([], "expected object, received array"), ({"ignore": []}, "ignore: expected object, received array"), ({"ignore": {"dirs": "x"}}, "ignore.dirs: expected array, received string"),
