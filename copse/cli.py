@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 
 from copse import runner
-from copse.report import render
+from copse.report import render, results, sink
 from copse.sources.config import ConfigError
 
 #: Options that bound a figure: the command, its option, and where the figure is.
@@ -58,6 +58,7 @@ def build_parser() -> argparse.ArgumentParser:
         p.add_argument("dir", nargs="?", default=".")
         p.add_argument("--json", action="store_true")
         p.add_argument("--html", metavar="FILE")
+        p.add_argument("--json-dir", metavar="DIR", help="write what --json prints as parts, by tasks, into a new folder that all executors share")
         p.add_argument("--config")
         p.add_argument("--top", type=row_count, default=10 if name == "dup" else 20)
         if name != "coupling":
@@ -115,8 +116,12 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     if args.command == "count" and args.readme and args.diff:
         print("--readme needs the whole tree, not --diff", file=sys.stderr)
         return 1
+    if args.json_dir and (args.json or args.html or getattr(args, "readme", False) or getattr(args, "gate", None) is not None):
+        print("--json-dir goes with no other report or gate", file=sys.stderr)
+        return 1
     try:
-        outcome = runner.run(spark or session(), args.command, args.dir, _options(args))
+        report = sink.Report(args.json_dir) if args.json_dir else None
+        outcome = runner.run(spark or session(), args.command, args.dir, _options(args), listed=report.listing if report else results.rows)
     except (ConfigError, OSError, ValueError) as error:
         print(error, file=sys.stderr)
         return 1
@@ -127,6 +132,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         result |= {"window": args.window, "budget": args.budget}
     if result is not None and args.command == "comments":
         result["years"] = args.years
+    if report:
+        report.finish(args.command, args.dir, result, outcome.unavailable)
+        return 0
     code = result.pop("code", []) if result is not None else []
     if args.json:
         print(render.envelope(args.command, args.dir, result, outcome.unavailable))

@@ -57,8 +57,8 @@ def _changed(spark: SparkSession, root: str, ref: str | None) -> DataFrame | Non
     return spark.createDataFrame([(n,) for n in names], "path string")
 
 
-def run(spark: SparkSession, command: str, root: str, options: Options | None = None, limit: int | None = None) -> Outcome:
-    """One analysis; ``limit`` bounds the rows of each listing."""
+def run(spark: SparkSession, command: str, root: str, options: Options | None = None, limit: int | None = None, listed: results.Listed = results.rows) -> Outcome:
+    """One analysis; ``limit`` bounds the rows of each listing, ``listed`` takes the listings (``report.sink``: written by tasks)."""
     o = options or Options()
     if command not in COMMANDS:
         raise ValueError(f"unknown analysis {command}")
@@ -71,7 +71,7 @@ def run(spark: SparkSession, command: str, root: str, options: Options | None =
             return Outcome(None, "no-git")
         commits, changes = log
         if command == "coupling":
-            return Outcome(results.coupling(analyses.coupling(commits, changes, o.include_bots, **o.limits), limit), warning=warning)
+            return Outcome(results.coupling(analyses.coupling(commits, changes, o.include_bots, **o.limits), limit, listed), warning=warning)
     changed = _changed(spark, root, o.diff)
     files = tree.read_tree(spark, root, config.load(root, o.config)).persist()
     try:
@@ -80,7 +80,7 @@ def run(spark: SparkSession, command: str, root: str, options: Options | None =
             out = analyses.count(files, **scope)
         elif command == "dup":
             out = analyses.dup(files, o.min_lines or duplication.MIN_LINES, o.min_copies, cross_file_only=o.cross_file, renamed=o.renamed, **scope)
-            result = results.dup(out, limit)
+            result = results.dup(out, limit, listed)
             if o.snippets:
                 result["code"] = results.snippets(out, o.snippets)
             if o.churn:
@@ -104,6 +104,6 @@ def run(spark: SparkSession, command: str, root: str, options: Options | None =
             if blame.isEmpty():
                 return Outcome(None, "no-git")
             out = analyses.comments(files, blame, years=o.years, limit=o.scan, **scope)
-        return Outcome(results.RESULTS[command](out, limit), warning=warning)
+        return Outcome(results.RESULTS[command](out, limit, listed), warning=warning)
     finally:
         files.unpersist()

@@ -6,7 +6,7 @@ import pytest
 
 from copse import cli, rpc
 from copse.operators import scan
-from copse.report import render
+from copse.report import render, sink
 from copse.streaming.counts import running_counts
 
 
@@ -41,6 +41,41 @@ def test_json_of_every_analysis(capsys, spark, project):
         assert payload["result"] is None and payload["unavailable"] == "no-git"
 
 
+def test_json_written_by_tasks_has_the_same_bytes(capsys, spark, project, tmp_path):
+    for command in ("count", "dup", "cx", "ctx", "agent", "refactor"):
+        folder = tmp_path / command
+        assert ran(capsys, spark, command, str(project), "--json-dir", str(folder))[:2] == (0, "")
+        want = ran(capsys, spark, command, str(project), "--json")[1].removesuffix("\n")
+        parts = sorted(folder.glob("part-*"))
+        assert "".join(p.read_text() for p in parts) == want and {p.name for p in folder.iterdir()} == {p.name for p in parts} | {sink.DONE}
+    assert ran(capsys, spark, "cx", str(project), "--json-dir", str(folder))[0] == 1 and ran(capsys, spark, "ctx", str(project), "--json-dir", str(tmp_path / "x"), "--max", "1")[0] == 1
+    with pytest.raises(FileNotFoundError):
+        sink.copy_to(str(tmp_path), None)
+
+
+def test_listing_over_many_tasks(spark, tmp_path):
+    """Parts in the order of rows, empty tasks, names, nested rows, line ends of every kind, and an empty listing."""
+    rows = spark.range(0, 1000, 1, 16).selectExpr("id AS some_id", "named_struct('in_ner', array(id, null), 'text', concat('a\"', decode(unhex('0AE280A85CC3A9C2850D'), 'UTF-8'))) AS nested_row", "id / 3 AS share").where("some_id % 125 > 60 AND some_id > 200")
+    report = sink.Report(str(tmp_path / "r"))
+    result = {"few": 1, "rows": report.listing(rows), "none": report.listing(rows.where("false")), "first": report.listing(rows.orderBy("some_id"), 3), "text": "\0listing"}
+    report.finish("cx", "/r", result)
+    from copse.report.results import rows as collected
+
+    want = render.envelope("cx", "/r", {"few": 1, "rows": collected(rows), "none": [], "first": collected(rows.orderBy("some_id"), 3), "text": "\0listing"})
+    with open(tmp_path / "out", "w", newline="") as f:
+        sink.copy_to(report.folder, f)
+    assert (tmp_path / "out").read_bytes().decode() == want and len(list((tmp_path / "r").glob("part-*"))) > 8
+    with pytest.raises(FileExistsError):
+        sink.Report(report.folder)
+
+
+def test_a_listing_that_fails_leaves_no_rows(spark, tmp_path):
+    report = sink.Report(str(tmp_path / "r"))
+    with pytest.raises(Exception, match="bad row"):
+        report.listing(spark.range(0, 100, 1, 4).selectExpr("if(id = 90, raise_error('bad row'), id) AS id"))
+    assert [p for p in (tmp_path / "r").rglob("*") if p.is_file()] == []
+
+
 def test_text_gates_and_errors(capsys, spark, project):
     code, out, _ = ran(capsys, spark, "dup", str(project))
     assert code == 0 and "src/a.ts:1-6, src/b.ts:2-7" in out
