@@ -154,11 +154,13 @@ def normalize_line(lines: Column) -> Column:
 
 
 # fixed values: words that stay when identifiers are masked
-KEYWORDS = (
-    "abstract and as async await break case catch class const continue def default delete do elif else enum except export extends false final finally fn for from func "
-    "function if implements import in interface is lambda let match namespace new nil none not null or package pass private protected public raise return self static "
-    "struct super switch this throw true try type typeof undefined use var void when while with yield"
-).split()
+KEYWORDS = [
+    "abstract", "and", "as", "async", "await", "break", "case", "catch", "class", "const", "continue", "def", "default", "delete", "do", "elif", "else",
+    "enum", "except", "export", "extends", "false", "final", "finally", "fn", "for", "from", "func", "function", "if", "implements", "import", "in",
+    "interface", "is", "lambda", "let", "match", "namespace", "new", "nil", "none", "not", "null", "or", "package", "pass", "private", "protected",
+    "public", "raise", "return", "self", "static", "struct", "super", "switch", "this", "throw", "true", "try", "type", "typeof", "undefined", "use",
+    "var", "void", "when", "while", "with", "yield",
+]
 
 
 def normalize_renamed(line: Column) -> Column:

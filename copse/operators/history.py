@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: accounts of machines
-BOT_ACCOUNTS = "dependabot renovate github-actions greenkeeper snyk-bot imgbot allcontributors mergify codecov semantic-release-bot bot".split()
+BOT_ACCOUNTS = [
+    "dependabot", "renovate", "github-actions", "greenkeeper", "snyk-bot", "imgbot", "allcontributors", "mergify", "codecov", "semantic-release-bot",
+    "bot",
+]
 #: Limits of coupling: changes of either file, joint changes, percentage, and files of a commit.
 MIN_REVISIONS, MIN_SHARED, MIN_STRENGTH, MAX_COMMIT_SIZE = 10, 10, 50, 30
 

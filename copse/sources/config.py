@@ -13,11 +13,12 @@ from copse.functions.paths import ROLES
 CONFIG_FILE = "copse.json"
 
 # fixed values: what is ignored unless the configuration says otherwise
-IGNORE_DIRS = "node_modules dist build coverage logs .git .idea .vscode tmp out public static".split()
-IGNORE_FILES = [CONFIG_FILE, *"tsconfig.json package.json package-lock.json pnpm-lock.yaml LICENSE .gitignore .gitmodules".split()]
-IGNORE_EXTENSIONS = (
-    ".log .csv .ini .jpg .jpeg .png .gif .mp3 .mp4 .avi .mpg .mov .svg .webp .ico .lock .lockb .map .snap .snapshot .tsbuildinfo .code-workspace"
-).split()
+IGNORE_DIRS = ["node_modules", "dist", "build", "coverage", "logs", ".git", ".idea", ".vscode", "tmp", "out", "public", "static"]
+IGNORE_FILES = [CONFIG_FILE, "tsconfig.json", "package.json", "package-lock.json", "pnpm-lock.yaml", "LICENSE", ".gitignore", ".gitmodules"]
+IGNORE_EXTENSIONS = [
+    ".log", ".csv", ".ini", ".jpg", ".jpeg", ".png", ".gif", ".mp3", ".mp4", ".avi", ".mpg", ".mov", ".svg", ".webp", ".ico", ".lock", ".lockb", ".map",
+    ".snap", ".snapshot", ".tsbuildinfo", ".code-workspace",
+]
 
 _LISTS = {"ignore": ("dirs", "files", "extensions", "globs"), "unignore": ("dirs", "files", "extensions"), "roles": ROLES}
 _KEYS = (*_LISTS, "respectGitignore")
