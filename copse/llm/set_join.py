@@ -7,7 +7,9 @@ Data Cleaning", 2006; Xiao et al., "Efficient Similarity Joins for Near Duplicat
 
 Inside a key, pairs are tried by growing distance in the order of sizes, and only those not yet linked, so that a
 group of copies is linked long before all its pairs are listed. A pair that fails leaves both open for others:
-every pair that shares a key is verified on whole sets, or is connected by links that were.
+every pair that shares a key is verified on whole sets, ruled out by a bound, or is connected by links that were.
+After the first round rows carry counts of their hashes and their first keys, so a pair that cannot be similar, or that
+meets at an earlier key of these, is not made a row.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ HOT_KEY = 4096
 COUNTED = 16
 #: Bytes of a hash that whole sets carry, and ids of documents that are broadcast at most.
 KEPT, BROADCAST_IDS = 5, 4_000_000
+#: Bytes of a profile, and shingles of a prefix that go with it.
+BINS, FIRST = 256, 8
 #: Each round tries so many times the distance of the one before; rows of keys of more members than NEAR all go on.
 WIDER, NEAR = 32, 64
 
@@ -80,13 +84,18 @@ def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64)
 
 
+def _array(column: pa.Array) -> np.ndarray:
+    """A column of numbers, or of byte strings of one length as rows of a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1) if pa.types.is_binary(column.type) else column.to_numpy()
+
+
 def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of whole keys, of rows sorted by the first column."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
-        cols = [c.to_numpy() for c in batch.columns]
-        if not len(cols[0]):
+        if not batch.num_rows:
             continue
+        cols = [_array(c) for c in batch.columns]
         if held and cols[0][-1] == held[-1][0][-1]:
             held.append(cols)
             continue
@@ -128,13 +137,23 @@ def _shared(similarity: float):
 
 
 def _tried(similarity: float, near: int, far: int):
+    """Pairs of rows of one key at these distances that are not linked yet and may be similar.
+
+    Rows that come with profiles and first keys make only pairs that these leave: that may be similar by profiles, and
+    share no earlier key that both know of, where they meet as well.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, size, place, root in _by_key(batches):
+        for key, node, size, place, root, *known in _by_key(batches):
             for d in range(near + 1, far + 1):
                 i = np.flatnonzero(key[d:] == key[:-d]) if len(key) > d else np.array([], int)
                 if not len(i):
                     break
                 i = _fits(i[root[i] != root[i + d]], d, size, place, similarity)
+                if known:
+                    profiles, firsts = known[0], known[1].view(np.int64)
+                    i = i[may_be_similar(profiles[i], profiles[i + d], size[i], size[i + d], similarity)]
+                    i = i[~_met_before(firsts[i], firsts[i + d], place[i], place[i + d])]
                 a, b = np.minimum(node[i], node[i + d]), np.maximum(node[i], node[i + d])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -142,16 +161,33 @@ def _tried(similarity: float, near: int, far: int):
 
 
 def profile(hashes: np.ndarray) -> bytes:
-    """How many hashes have each last byte, 255 at most."""
-    return np.minimum(np.bincount(hashes & 255, minlength=256), 255).astype(np.uint8).tobytes()
+    """How many hashes have each last 9 bits, modulo 16; two counts a byte."""
+    counts = np.bincount(hashes & (2 * BINS - 1), minlength=2 * BINS) & 15
+    return (counts[:BINS] | counts[BINS:] << 4).astype(np.uint8).tobytes()
+
 
+def may_be_similar(a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
+    """False only where sets of m and n hashes with these profiles cannot be that similar: they differ in as many at least.
 
-def may_be_similar(a: bytes, b: bytes, m: int, n: int, similarity: float) -> bool:
-    """False only if sets of m and n hashes with these profiles cannot be that similar: they differ in as many at least."""
-    apart = int(np.abs(np.frombuffer(a, np.uint8).astype(np.int16) - np.frombuffer(b, np.uint8)).sum())
+    Counts that differ by x differ by min(x, 16 - x) or more before they are taken modulo 16.
+    """
+    low, high = (a - b) & 15, ((a >> 4) - (b >> 4)) & 15
+    apart = (np.minimum(low, 16 - low) + np.minimum(high, 16 - high)).sum(axis=-1, dtype=np.int64)
     return (m + n - apart) * (1 + similarity) >= 2 * similarity * (m + n) - 1e-6
 
 
+def first_keys(keys: np.ndarray) -> bytes:
+    """The first ``FIRST`` shingles of a prefix; fewer are filled up with zeros."""
+    return np.r_[keys[:FIRST], np.zeros(max(0, FIRST - len(keys)), np.int64)].astype(np.int64).tobytes()
+
+
+def _met_before(a: np.ndarray, b: np.ndarray, place: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether rows with these first keys share one before these places."""
+    at = np.arange(FIRST)
+    both = (at < place[:, None])[:, :, None] & (at < other[:, None])[:, None, :]
+    return (both & (a[:, :, None] == b[:, None, :])).any(axis=(1, 2))
+
+
 def packed(hashes: np.ndarray) -> bytes:
     """The last ``KEPT`` bytes of each hash, which tell the shingles of any two texts apart."""
     return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :KEPT]).tobytes()
@@ -195,7 +231,7 @@ def verified(pairs: DataFrame, own: DataFrame, docs: DataFrame, similarity: floa
     """
     sides = pairs.join(own.select(F.col("node").alias("a"), F.col("profile").alias("x"), F.col("size").alias("m")), "a")
     sides = sides.join(own.select(F.col("node").alias("b"), F.col("profile").alias("y"), F.col("size").alias("n")), "b").select("a", "b", "x", "y", "m", "n")
-    hopeful, _ = gathered(sides.mapInArrow(_kept_pairs(lambda x, y, m, n: may_be_similar(x, y, m, n, similarity)), "a long, b long"))
+    hopeful, _ = gathered(sides.mapInArrow(_kept_pairs(lambda x, y, m, n: bool(may_be_similar(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), m, n, similarity))), "a long, b long"))
     needed, count = gathered(hopeful.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(own.select("node", "doc_id"), "node").select("doc_id").distinct())
     if not count:
         return None
@@ -208,19 +244,20 @@ def verified(pairs: DataFrame, own: DataFrame, docs: DataFrame, similarity: floa
 
 
 def _described(docs: DataFrame, similarity: float, words: int) -> DataFrame:
-    """``doc_id, node, size, w0, keys, profile``: the name of each text's set, its size, fingerprint, prefix and profile."""
+    """``doc_id, node, size, w0, keys, profile, firsts``: the name of each text's set, its size, fingerprint, prefix, profile and first keys."""
     common, times = _common(docs, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [hashed(t, words) for t in batch.column(1).to_pylist()]
             prints = b"".join(majority(bit_counts(s.astype(">i8").view(np.uint8).reshape(-1, 8)), len(s)) for s in sets)
-            keys = pa.array([prefix(s, similarity, common, times) for s in sets], pa.list_(pa.int64()))
+            keys = [prefix(s, similarity, common, times) for s in sets]
             cols = [batch.column(0), pa.array([name_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())]
-            cols += [pa.array(np.frombuffer(prints, dtype=">i8").astype(np.int64)), keys, pa.array([profile(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "node", "size", "w0", "keys", "profile"])
+            cols += [pa.array(np.frombuffer(prints, dtype=">i8").astype(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+            cols += [pa.array([profile(s) for s in sets], pa.binary()), pa.array([first_keys(k) for k in keys], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "node", "size", "w0", "keys", "profile", "firsts"])
 
-    return docs.mapInArrow(run, "doc_id long, node long, size int, w0 long, keys array<long>, profile binary").where("size > 0")
+    return docs.mapInArrow(run, "doc_id long, node long, size int, w0 long, keys array<long>, profile binary, firsts binary").where("size > 0")
 
 
 def similar_components(docs: DataFrame, similarity: float, words: int, first: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -233,9 +270,9 @@ def similar_components(docs: DataFrame, similarity: float, words: int, first: Ca
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).where("doc_id IS NOT NULL")
     prints = cut(_described(docs, similarity, words))
-    every = [F.any_value(c).alias(c) for c in ("size", "w0", "keys", "profile")]
-    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *every)
-    own = prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *every[::3])
+    size, w0, keys, counts, firsts = (F.any_value(c).alias(c) for c in ("size", "w0", "keys", "profile", "firsts"))
+    nodes = prints.groupBy("node").agg(size, w0, keys)
+    own = prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), size, counts, firsts)
     roots = None
 
     def tried(pairs: DataFrame) -> None:
@@ -250,10 +287,15 @@ def similar_components(docs: DataFrame, similarity: float, words: int, first: Ca
     shared = cut(dealt.mapInArrow(_shared(similarity), "key long, node long, size int, place int, n long"))
     most = shared.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     near, far = 0, 1
-    while near < most:
-        rows = shared.where(F.col("n") > near).drop("n")
+    while near + 1 < most:
+        rows = shared.where(F.col("n") > near + 1).drop("n")
         rows = rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rows = rows.select("key", "node", "size", "place", "root").repartition("key").sortWithinPartitions("key", "size", "node")
+        rows = rows.select("key", "node", "size", "place", "root")
+        if near:
+            # the first round makes a pair a row at most; later ones might make all pairs of a key, most of them hopeless
+            open_keys = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
+            rows = rows.join(open_keys, "key", "left_semi").join(own.select("node", "profile", "firsts"), "node").select(*rows.columns, "profile", "firsts")
+        rows = rows.repartition("key").sortWithinPartitions("key", "size", "node")
         pairs = rows.mapInArrow(_tried(similarity, near, far), "a long, b long")
         # similar sets share a key, so where no key is shared those of ``first`` cannot be similar either
         tried(pairs if near or first is None else pairs.unionByName(first(nodes.select("node", "w0")).select("a", "b")))

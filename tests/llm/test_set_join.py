@@ -67,3 +67,49 @@ def test_pairs_near_the_threshold_are_judged_on_whole_sets(spark):
 
 def test_exact_copies_that_share_no_key_with_others(spark):
     assert got(spark, {4: "a b", 2: "A b", 7: "c", 9: ""}) == {4: 2, 2: 2, 7: 7}
+
+
+def test_pairs_that_cannot_be_similar_are_no_rows(spark, monkeypatch):
+    # variants of one template of which hardly any two are similar: all share keys, few may be paired
+    rng, docs, made = random.Random(8), {}, []
+    base = [f"w{i}" for i in range(200)]
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(200), 4):
+            words[at] = f"e{i}x{at}"
+        docs[i] = " ".join(words)
+    for i in range(150, 170):  # and some groups of long texts, each pair of which shares hundreds of keys
+        words = [f"l{i // 5}w{k}" for k in range(2000)]
+        words[:i] = [f"l{i}v{k}" for k in range(i)]
+        docs[i] = " ".join(words)
+    tried = set_join._tried
+
+    def counted(similarity, near, far):
+        run, rows = tried(similarity, near, far), spark.sparkContext.accumulator(0)
+        made.append(rows)
+
+        def counting(batches):
+            for batch in run(batches):
+                rows.add(batch.num_rows)
+                yield batch
+
+        return counting
+
+    monkeypatch.setattr(set_join, "_tried", counted)
+    assert got(spark, docs) == exact_components(docs)
+    assert len(made) > 1 and sum(rows.value for rows in made[1:]) < 2 * len(docs), [rows.value for rows in made]
+
+
+def test_bounds_never_leave_out_similar_sets():
+    rng = random.Random(9)
+    for n in (1, 5, 30, 400, 3000, 30_000):
+        a = set_join.hashed(" ".join(rng.choices([f"w{i}" for i in range(5000)], k=n + 4)), 5)
+        for share in (0, 0.02, 0.1, 0.12, 0.3):
+            own = set_join.hashed(" ".join(f"o{share}x{i}" for i in range(int(share * n) + 5)), 5)
+            b = set_join.np.unique(set_join.np.r_[a[int(share * n) :], own[: int(share * n)]])
+            x, y = (set_join.np.frombuffer(set_join.profile(s), set_join.np.uint8) for s in (a, b))
+            assert set_join.may_be_similar(x, y, len(a), len(b), min(0.8, set_join.jaccard(a, b)))
+    firsts = [set_join.np.frombuffer(set_join.first_keys(set_join.np.array(k, dtype="int64")), "int64")[None] for k in ([3, 7, 9], [5, 7], [0])]
+    met = lambda i, j, p, q: bool(set_join._met_before(firsts[i], firsts[j], set_join.np.array([p]), set_join.np.array([q]))[0])
+    assert met(0, 1, 2, 2) and not met(0, 1, 1, 1) and not met(0, 1, 2, 1)  # before both places, not at them
+    assert not met(0, 2, 3, 1) and not met(1, 2, 2, 1)  # what fills up is no key
