@@ -33,6 +33,10 @@ def test_sql_agrees(spark, name):
     assert sorted(map(str, (tuple(r[c] for c in columns) for r in ours.collect()))) == sorted(str(tuple(r[i] for i in order)) for r in theirs.fetchall())
 
 
+def test_comment_blame_agrees(spark):
+    test_sql_agrees(spark, "comment_blame")
+
+
 def test_works_without_the_subpackage(tmp_path):
     shutil.copytree(os.path.join(ROOT, "copse"), tmp_path / "copse", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(os.path.join(ROOT, "__spark_entry__.py"), tmp_path)

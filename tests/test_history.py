@@ -6,6 +6,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
+from copse.functions import text
 from copse.operators import asof, drift, history, verdicts
 from copse.plans import analyses
 from copse.sources import git
@@ -167,6 +168,39 @@ def test_drift_order_and_summary(spark):
     assert tuple(drift.summary(rows).first()) == (3, 10, 7)
 
 
+def test_comments_lex_each_file_once_and_blame_the_chosen_alone(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(content):
+        read.add(1)
+        return content
+
+    counted = F.udf(passed, "string").asNondeterministic()
+    # d0 has no comment, d1 one, and so on; the two of d4 have one path, of which one is blank
+    texts = [(f"d{n}.ts", "// a\nx\n\n" * n + "y\n", "source") for n in range(6)] + [("d4.ts", "\n\n", "source"), ("t.ts", "// a\nx\n" * 9, "test")]
+    files = spark.createDataFrame(texts, "path string, content string, role string").withColumn("content", counted("content")).where(F.spark_partition_id() >= 0)
+    asked = []
+
+    def blamed(chosen):
+        asked.extend(sorted(r.path for r in chosen.collect()))
+        lines = chosen.select("path", F.posexplode("kinds").alias("line", "kind")).where("path <> 'd3.ts'")
+        return lines.groupBy("path", (F.col("line") + 1).alias("line")).agg(F.max(F.when(F.col("kind") == "code", 5 * YEAR).otherwise(0)).alias("time"))
+
+    out = analyses.comments(files, blamed, limit=3)
+    assert [tuple(r) for r in out["files"].collect()] == [("d5.ts", 5, 5), ("d4.ts", 4, 4)]
+    assert tuple(out["summary"].first()) == (2, 9, 9)
+    assert asked == ["d3.ts", "d4.ts", "d4.ts", "d5.ts"] and read.value == len(texts)
+    table = blamed(spark.createDataFrame([(f"d{n}.ts", ["comment", "code", "blank"] * n + ["code"]) for n in range(6)], "path string, kinds array<string>"))
+    assert [tuple(r) for r in analyses.comments(files, table, limit=3)["files"].collect()] == [("d5.ts", 5, 5), ("d4.ts", 4, 4)]
+
+
+def test_kinds_are_packed_and_unpacked(spark):
+    rows = spark.createDataFrame([(["code", "blank", "comment", "code"],), ([],), (None,)], "kinds array<string>")
+    packed = rows.select("kinds", text.packed_kinds(F.col("kinds")).alias("packed"))
+    assert packed.schema["packed"].dataType.elementType.typeName() == "byte"
+    assert all(r[0] == r[1] for r in packed.select("kinds", text.unpacked_kinds(F.col("packed"))).collect())
+
+
 REFACTOR = "path string, complexity long, code long, density double, tokens long, changes long, churn long, momentum double, last_change long"
 
 
